@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import Forest, block_pairs, connected, grouped, written
 
-SHINGLE, PERCENT, RATIO, BLOCK_SETS = 4, 85, 1.6, 128
+SHINGLE, PERCENT, RATIO, BLOCK_SETS, SEEN = 4, 85, 1.6, 128, 500_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +96,44 @@ def sketch_keys(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return key[keep], np.searchsorted(rows[which[keep]], np.arange(len(n) + 1))
 
 
-def sets_of(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """``(doc, n, s, keys)``: set size, a hash of the set, keys of its sketches' chunks."""
+def signatures(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textnum.mix(h ^ np.uint64(0x27D4EB2F165667C5)), dtype=np.uint64)])
+    return textnum.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
+
+
+def sets_of(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
+    """``(doc, n, s)``: set size and a hash of the set."""
 
     def run(batches):
-        bands = Bands(percent)
         for b in batches:
             for at, part in textnum.blocks(b.column(1)):
                 h, offs = shingle_sets(part, k)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textnum.mix(h ^ np.uint64(0x27D4EB2F165667C5)), dtype=np.uint64)])
-                s = textnum.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64))
-                keys, ends = sketch_keys(h, offs, bands)
-                cols = [pa.array(np.diff(offs), pa.int64()), pa.array(s.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), *cols], ["doc", "n", "s", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(np.diff(offs), pa.int64()), pa.array(signatures(h, offs))], ["doc", "n", "s"])
+
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, s long")
+
+
+def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """``(key, s)`` for every chunk of the sketches; a task sends a set that it has just seen no second time."""
+
+    def run(batches):
+        bands, seen = Bands(percent), set()
+        for b in batches:
+            for _, part in textnum.blocks(b.column(0)):
+                h, offs = shingle_sets(part, k)
+                s, n = signatures(h, offs), np.diff(offs)
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = [not (x in seen or seen.add(x)) for x in s.tolist()]
+                at = np.flatnonzero(np.array(new) & (n > 0))
+                keys, ends = sketch_keys(textnum.gather(h, offs[at], n[at]), np.concatenate([[0], np.cumsum(n[at])]), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(s[at], np.diff(ends)))], ["key", "s"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, s long, keys array<long>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, s long")
 
 
-def stars(sets: DataFrame) -> DataFrame:
+def stars(keys: DataFrame) -> DataFrame:
     """``(a, b)``: each set with the first one that has an equal chunk, for every chunk."""
 
     def run(batches):
@@ -131,8 +151,7 @@ def stars(sets: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([lead[edge], s[edge]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = sets.where("n > 0").select("s", "keys").dropDuplicates(["s"]).select(F.explode("keys").alias("key"), "s")
-    rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "s")
+    rows = keys.repartition(F.col("key")).sortWithinPartitions("key", "s")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -180,8 +199,8 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """One row a document: ``key``, ``n_shingles``, ``component_id``."""
-    sets = written(sets_of(docs, text, key, k, percent), "sets")
-    clusters = connected(stars(sets), "clusters")
+    sets = written(sets_of(docs, text, key, k), "sets")
+    clusters = connected(stars(chunk_keys(docs, text, k, percent)), "clusters")
     first = sets.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"))
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("s"))
 
@@ -190,8 +209,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
             for at, part in textnum.blocks(b.column("text")):
                 h, offs = shingle_sets(part, k)
                 blob = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((offs * 8).astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textnum.mix(h ^ np.uint64(0x27D4EB2F165667C5)), dtype=np.uint64)])
-                s = textnum.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
+                s = signatures(h, offs)
                 same = pa.array(s == b.column("s").slice(at, len(part)).to_numpy())  # of several texts with one doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(s), blob], ["s", "h"]).filter(same)
 
