@@ -8,9 +8,11 @@ pigeonhole principle two linked sets have an equal chunk. Equal chunks give the
 which are verified by the exact sizes of intersection and union. Sets near the upper end of a
 band enter the next one as well.
 
-Equal sets collapse to one before any chunk is shuffled. Candidates are first joined to
-clusters by stars; inside a cluster, blocks of sets meet in pairs and report a spanning forest
-of their verified links, so no group emits its pairs and no link between components is lost.
+Sets with an equal chunk meet in a run. Runs of the same sets collapse to one, and there wide
+bit sketches (about a bit a shingle) are compared: their Hamming distance is a lower bound of
+the symmetric difference too. What passes forms clusters, in which the sets themselves are
+compared. Large runs and clusters are dealt as pairs of blocks, and every group reports a
+spanning forest only, so no group emits its pairs and no link between components is lost.
 
 Null text and texts without a word have an empty set and link with nothing. A row with null
 doc_id has null component_id. Rows that share a doc_id are taken for one document with several
@@ -32,6 +34,10 @@ from .common import Forest, block_pairs, connected, grouped, written
 SHINGLE, PERCENT, RATIO, BLOCK_SETS, SEEN = 4, 85, 1.6, 128, 500_000
 
 
+#: Bits of a key that hold the size band.
+BAND = np.uint64(127)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted, and where each text's begin."""
     w = textnum.words(texts, lower=True)
@@ -72,15 +78,33 @@ class Bands:
         return np.searchsorted(self.low, n, "right") - 1
 
 
-def sketch_keys(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketches' chunks, and where each set's begin."""
-    n = np.diff(offs)
+def entered(n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band) for every band that a set enters: its own, and the next if a linked set can lie there."""
     some = np.flatnonzero(n > 0)
     band = bands.of(n[some])
     up = (n[some] * 100 // bands.percent) >= bands.low[band + 1]
     rows, band = np.concatenate([some, some[up]]), np.concatenate([band, band[up] + 1])
     order = np.argsort(rows, kind="stable")
-    rows, band = rows[order], band[order]
+    return rows[order], band[order]
+
+
+def wide_sketches(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(set, band, bits) with about as many bits as the band's largest set has shingles."""
+    n = np.diff(offs)
+    rows, band = entered(n, bands)
+    words = (bands.low[band + 1] + 63) // 64
+    base = np.cumsum(words) - words
+    token = textnum.mix(textnum.gather(h, offs[rows], n[rows]) ^ np.uint64(0x165667B19E3779F9))
+    bit = (token % np.repeat(words * 64, n[rows]).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, np.repeat(base, n[rows]) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return rows, band, [out[b : b + w].tobytes() for b, w in zip(base.tolist(), words.tolist(), strict=True)]
+
+
+def sketch_keys(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sketches' chunks, with the band in the lowest bits, and where each set's begin."""
+    n = np.diff(offs)
+    rows, band = entered(n, bands)
     size, chunks = n[rows], bands.chunks[band]
     token = textnum.gather(h, offs[rows], size)
     base = np.cumsum(chunks) - chunks
@@ -93,6 +117,7 @@ def sketch_keys(h: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarr
     keep = full | (empty > bands.spare[band])[which]
     chunk = np.arange(len(sketch)) - np.repeat(base, chunks)
     key = textnum.mix(sketch ^ textnum.mix((band[which] * (1 << 32) + chunk).astype(np.uint64) + np.uint64(7)))
+    key = key & ~BAND | band[which].astype(np.uint64)
     return key[keep], np.searchsorted(rows[which[keep]], np.arange(len(n) + 1))
 
 
@@ -102,16 +127,22 @@ def signatures(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return textnum.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
 
 
-def sets_of(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """``(doc, n, s)``: set size and a hash of the set."""
+def sets_of(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """``(doc, n, s, sketches)``: set size, a hash of the set, and its wide sketch for each band."""
+    kind = pa.struct([("band", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
+        bands = Bands(percent)
         for b in batches:
             for at, part in textnum.blocks(b.column(1)):
                 h, offs = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(np.diff(offs), pa.int64()), pa.array(signatures(h, offs))], ["doc", "n", "s"])
+                rows, band, bits = wide_sketches(h, offs, bands)
+                flat = pa.StructArray.from_arrays([pa.array(band, pa.int64()), pa.array(bits, pa.binary())], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(part) + 1)), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(np.diff(offs), pa.int64()), pa.array(signatures(h, offs)), lists], ["doc", "n", "s", "sketches"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, s long")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc long, n long, s long, sketches array<struct<band: long, bits: binary>>")
 
 
 def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -133,25 +164,65 @@ def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, s long")
 
 
-def stars(keys: DataFrame) -> DataFrame:
-    """``(a, b)``: each set with the first one that has an equal chunk, for every chunk."""
+def runs(keys: DataFrame) -> DataFrame:
+    """``(run, s)``: the sets that share a chunk, once for all chunks shared by just the same sets.
+
+    The band is in the lowest bits of ``run``."""
 
     def run(batches):
-        last, first = None, None
+        held_key, held = None, np.zeros(0, np.int64)
+
+        def closed(key, s):
+            """Rows of whole runs: at least two sets each."""
+            new = np.append(True, (key[1:] != key[:-1]) | (s[1:] != s[:-1]))
+            key, s = key[new], s[new]
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(edge, len(key)))
+            total = np.add.reduceat(textnum.mix(s.view(np.uint64)), edge)
+            name = textnum.mix(total) & ~BAND | key[edge].view(np.uint64) & BAND
+            keep = np.repeat(n > 1, n)
+            pairs = np.unique(np.stack([np.repeat(name.view(np.int64), n)[keep], s[keep]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["run", "s"])
+
         for b in batches:
             key, s = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(key):
                 continue
-            new = np.append(True, key[1:] != key[:-1])
-            lead = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-            if key[0] == last:
-                lead[: np.append(np.flatnonzero(new)[1:], len(s))[0]] = first
-            last, first = key[-1], lead[-1]
-            edge = lead != s
-            pairs = np.unique(np.stack([lead[edge], s[edge]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            cut = int(np.searchsorted(key, key[-1]))
+            if key[0] != held_key and len(held):
+                yield closed(np.full(len(held), held_key), held)
+                held = held[:0]
+            if cut:
+                yield closed(np.concatenate([np.full(len(held), key[0]), key[:cut]]), np.concatenate([held, s[:cut]]))
+                held = held[:0]
+            held_key, held = key[-1], np.concatenate([held, s[cut:]])
+        if len(held):
+            yield closed(np.full(len(held), held_key), held)
 
     rows = keys.repartition(F.col("key")).sortWithinPartitions("key", "s")
+    return rows.mapInArrow(run, "run long, s long").distinct()
+
+
+def passing(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: a spanning forest of the pairs of each group whose wide sketches don't rule out a link."""
+
+    def run(batches):
+        for t in grouped(batches):
+            if t.num_rows < 2:
+                continue
+            s, n, left, right = (t.column(c).to_numpy() for c in ("s", "n", "left", "right"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
+            forest, out = Forest(len(s)), []
+            for a in range(len(s) - 1):
+                far = np.bitwise_count(bits[a] ^ bits[a + 1 :]).sum(1, dtype=np.int64)
+                meets = (left[a] & right[a + 1 :]) | (right[a] & left[a + 1 :])
+                hit = meets & ((100 + percent) * far <= (100 - percent) * (n[a] + n[a + 1 :]))
+                hit &= percent * np.maximum(n[a], n[a + 1 :]) <= 100 * np.minimum(n[a], n[a + 1 :])
+                out += [(s[a], s[b]) for b in (np.flatnonzero(hit) + a + 1).tolist() if forest.join(a, b)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], ["a", "b"])
+
+    rows = members.repartition(F.col("g")).sortWithinPartitions("g")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -199,8 +270,11 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """One row a document: ``key``, ``n_shingles``, ``component_id``."""
-    sets = written(sets_of(docs, text, key, k), "sets")
-    clusters = connected(stars(chunk_keys(docs, text, k, percent)), "clusters")
+    sets = written(sets_of(docs, text, key, k, percent), "sets")
+    met = written(runs(chunk_keys(docs, text, k, percent)), "runs")
+    met = block_pairs(met, "run", "s", block).withColumn("band", F.col("run").bitwiseAND(F.lit(int(BAND))))
+    bits = sets.select("s", "n", F.explode("sketches").alias("x")).select("s", "n", "x.band", "x.bits").dropDuplicates(["s", "band"])
+    clusters = connected(passing(met.join(bits, ["s", "band"]).select("g", "left", "right", "s", "n", "bits"), percent), "clusters")
     first = sets.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"))
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("s"))
 
