@@ -220,7 +220,7 @@ class Encoder:
 
         A table of distinct words is kept over the blocks of a task, up to ``WORDS`` of them: a word is
         encoded once, and each of its places takes its ids from the table."""
-        for at, part in textnum.blocks(texts, 2 * textnum.BLOCK):
+        for at, part in textnum.blocks(texts, 8 * textnum.BLOCK):
             if len(self.keys) > WORDS:
                 self.clear()
             start, size, before = self.block(*textnum.view(part))

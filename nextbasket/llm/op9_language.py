@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
         lattice = Lattice(pieces, probs)
         keys, table, letters = np.zeros(0, np.uint64), np.zeros((0, len(langs))), np.zeros(0, np.int64)
         for b in batches:
-            for at, part in textnum.blocks(b.column(names.index(text)), 2 * textnum.BLOCK):
+            for at, part in textnum.blocks(b.column(names.index(text)), 8 * textnum.BLOCK):
                 w = textnum.words(part, lower=True, marks=False)
                 uniq, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
                 if len(keys) > CACHE:
