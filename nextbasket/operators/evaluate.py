@@ -103,6 +103,16 @@ def segments(rows: DataFrame) -> DataFrame:
     return out.select(kind.alias("segment_group"), F.coalesce("target", "channel", "context").alias("segment"), "n", "hit10")
 
 
+def in_segments(rows: DataFrame) -> DataFrame:
+    """Each row once for its target, channel and context segment."""
+    parts = {
+        "target": F.when(F.col("warm"), "warm").otherwise("cold"), "channel": F.when(F.col("source") == "pos", "pos").otherwise("online"),
+        "context": F.when(F.col("context_size") == 1, "1").otherwise("2+"),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("segment_group"), v.alias("segment")) for k, v in parts.items()])
+    return rows.select("*", F.inline(each))
+
+
 def coverage(top: DataFrame, universe: DataFrame) -> DataFrame:
     """Distinct recommended over the universe of the last day."""
     last = universe.agg(F.max_by("n_universe", "date").alias("u"))
@@ -125,19 +135,27 @@ def poisson_steps() -> list[float]:
     return out
 
 
-def bootstrap(rows: DataFrame, value: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a mean, resampling baskets with Poisson weights from a hash."""
-    by = rows.groupBy("order_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    rep = by.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+def bootstrap_by(rows: DataFrame, value: str, by: list[str], replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """``(by.., mean, lo, hi)``: percentile interval of a mean, resampling baskets with Poisson weights from a hash.
+
+    A basket has the same weights in every group, so that groups can be compared."""
+    sums = rows.groupBy(*by, "order_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    rep = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
     digest = F.substring(F.md5(F.encode(F.concat_ws("-", F.col("order_id").cast("string"), F.col("r").cast("string"), F.lit(str(seed))), "UTF-8")), 1, 8)
     u = F.conv(digest, 16, 10).cast("double") / 4294967296.0
     w = F.lit(0)
     for step in poisson_steps():
         w = w + F.when(u >= step, 1).otherwise(0)
-    means = rep.withColumn("w", w).groupBy("r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    means = means.where("n > 0").select((F.col("s") / F.col("n")).alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
-    return by.agg((F.sum("s") / F.sum("n")).alias("mean")).join(ends)
+    means = rep.withColumn("w", w).groupBy(*by, "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    means = means.where("n > 0").select(*by, (F.col("s") / F.col("n")).alias("m"))
+    ends = means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    mean = sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return mean.join(ends, by) if by else mean.join(ends)
+
+
+def bootstrap(rows: DataFrame, value: str, **kw) -> DataFrame:
+    """One interval for all rows."""
+    return bootstrap_by(rows, value, [], **kw)
 
 
 def paired_lift(a: DataFrame, b: DataFrame, value: str, **kw) -> DataFrame:
@@ -158,7 +176,7 @@ def gates(board: DataFrame, limits: DataFrame) -> DataFrame:
     return limits.join(board, "name", "left").select("name", F.coalesce("value", F.lit(0.0)).alias("value"), "least", (F.coalesce("value", F.lit(0.0)) >= F.col("least")).alias("passes"))
 
 
-def drift(fresh: DataFrame, committed: DataFrame, tol: float = 1e-9) -> DataFrame:
-    """Committed values that a fresh run doesn't give again; a missing model fails."""
-    rows = committed.select("model", F.col("hit10").alias("was")).join(fresh.select("model", "hit10"), "model", "left")
-    return rows.select("model", F.coalesce(F.abs(F.col("hit10") - F.col("was")) <= tol, F.lit(False)).alias("same"))
+def drift(fresh: DataFrame, committed: DataFrame, tol: float = 1e-9, metric: str = "hit10") -> DataFrame:
+    """Whether a fresh run gives the committed values again; a missing model fails."""
+    rows = committed.select("model", F.col(metric).alias("was")).join(fresh.select("model", F.col(metric).alias("now")), "model", "left")
+    return rows.select("model", F.coalesce(F.abs(F.col("now") - F.col("was")) <= tol, F.lit(False)).alias("same"))

@@ -2,12 +2,14 @@
 
 import hashlib
 import hmac
+import math
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from nextbasket import functions as fn
-from nextbasket.operators import clean, evaluate, models, serve
+from nextbasket.operators import clean, evaluate, models, serve, sweep
 
 LINE = "array<struct<pos:int,variant_id:string,title:string,quantity:int,refunded:int,unit_price:double>>"
 SCHEMA = f"id long, date date, test boolean, cancelled_at string, source_name string, email string, customer_id string, line_items {LINE}"
@@ -86,3 +88,29 @@ def test_stock(spark):
     assert [r.in_stock for r in serve.in_stock(cat, none).collect()] == [None, None]
     fed = spark.createDataFrame([(1, 3)], "variant_id long, quantity int")
     assert {r.variant_id: r.in_stock for r in serve.in_stock(cat, fed).collect()} == {1: True, 2: False}
+
+
+def test_ranks_with_a_prior_equal_a_full_list(spark):
+    r = random.Random(4)
+    days = [date(2026, 1, k) for k in (1, 2, 3)]
+    since = {v: r.choice(days) for v in range(1, 13)}
+    prior = {v: r.choice([0.25, 0.5, 1.0]) for v in range(1, 9)}
+    asked = [(k, t, days[2] if k % 2 else days[1], "pos", c) for k in range(12) for t, *c in [r.sample([v for v in since if since[v] <= (days[2] if k % 2 else days[1])], 3)]]
+    scores = [(k, t, v, r.choice([0.0, 1.0, 2.0]), r.choice([0.0, 1e-7, 3e-7])) for k, t, *_ in asked for v in r.sample(sorted(since), 5)]
+    which = {"a": ("x", "0D"), "b": ("x", "1e-6D * u"), "c": ("0D", "u"), "d": ("y", "1e-6D * u")}
+    rows = sweep.ranks(
+        spark.createDataFrame(asked, "order_id long, target long, date date, source string, context array<long>"), spark.createDataFrame(scores, "order_id long, target long, variant_id long, x double, y double"),
+        spark.createDataFrame(list(prior.items()), "variant_id long, u double"), spark.createDataFrame(list(since.items()), "variant_id long, available_from date"), which,
+    ).collect()
+    got = {(x.model, x.order_id): (x["rank"], x.n_scored) for x in rows}
+    sheet = {(k, v): (x, y) for k, _, v, x, y in scores}
+    for k, t, day, _, ctx in asked:
+        for m, f in {"a": lambda x, y, u: x, "b": lambda x, y, u: x + 1e-6 * u, "c": lambda x, y, u: u, "d": lambda x, y, u: y + 1e-6 * u}.items():
+            s = {v: math.floor(f(*sheet.get((k, v), (0, 0)), prior.get(v, 0)) * 1e12 + 0.5) for v in since if since[v] <= day and v not in ctx}
+            want = 1 + sum(q > s[t] for q in s.values()) + (sum(q == s[t] for q in s.values()) - 1) / 2
+            assert got[m, k] == (want, sum(q > 0 for q in s.values()))
+
+
+def test_configurations():
+    names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
+    assert len(names) == len(set(names)) == 43
