@@ -99,6 +99,19 @@ def test_html(spark):
     assert got[3] == "Text number 3 & more" and got[8] == "" and got[9] == "T ab c"
 
 
+def test_html_constants_inside_an_article(spark):
+    page = lambda k, body: f"<body><p>n{k}</p><article><h1>T{k}</h1><div class='box'>Join <b>our</b> club today</div><p>{body}</p></article></body>"
+    long = "A story that several hosts copy word for word. " * 3
+    rows = [(k, "http://h.org/x", page(k, f"Story {k} of many, with <b>club</b> words.")) for k in range(8)]
+    rows += [(20 + k, "http://copies.org/x", f"<body><p>n{k}</p><article><p>Head</p><p>{long}</p></article></body>") for k in range(5)]
+    other = lambda k: f"<body><main><section class='s'>Buy now</section><p>Other layout {k}</p></main></body>"
+    rows += [(40 + k, "http://h.org/y", other(k)) for k in range(3)]
+    got = {r.page_id: r.text for r in op5_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"T{k} Story {k} of many, with club words." for k in range(8))
+    assert all(got[20 + k] == f"Head {long.strip()}" for k in range(5))
+    assert all(got[40 + k] == f"Other layout {k}" for k in range(3))
+
+
 def test_substrings(spark, corpus):
     got = {r.doc_id: r for r in op6_substring.removed(docs(spark, corpus), op6_substring.repeats(docs(spark, corpus), hot=3, shard_words=500)).collect()}
     seen, texts = set(), [words(t) for t in corpus]
