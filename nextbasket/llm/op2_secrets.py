@@ -3,7 +3,8 @@
 Both models are first-order over the characters of tokens, trained from labelled samples:
 values that the fixed patterns found (random) and the ordinary words beside them
 (identifiers). A token whose log-likelihood ratio passes the threshold is a span of kind
-``markov``. Main path: built-in DataFrame functions.
+``markov``, also if it holds letters or digits only. One without digits is scored in lower case,
+as identifiers in capitals are too rare in the samples. Main path: built-in DataFrame functions.
 
 Null text counts as empty: no spans. Spans are in code points, end exclusive. Other columns
 are ignored, repeated rows each get their own result, an empty table gives no rows. Without
@@ -119,8 +120,8 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", min_ratio: fl
     table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in ratios) + "]"), "array<double>")
 
     def random_ones(tokens: Column) -> Column:
-        mixed = F.filter(tokens, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-        return let(table, lambda m: F.filter(mixed, lambda s: score(s["value"], m) >= min_ratio))
+        folded = lambda v: F.when(v.rlike("[0-9]"), v).otherwise(F.lower(v))
+        return let(table, lambda m: F.filter(tokens, lambda s: score(folded(s["value"]), m) >= min_ratio))
 
     def both(base: Column) -> Column:
         new = F.filter(

@@ -60,6 +60,20 @@ def test_secrets(spark):
     assert key not in {r.doc_id: r.t for r in out}[len(EDGES)]
 
 
+def test_secrets_of_one_class(spark):
+    r = random.Random(9)
+    of = lambda chars, n=24: "".join(r.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    every = lower + lower.upper() + "0123456789"
+    prose = "some ordinary words of the language that make up the thousand names and phrases in a normal text with further information"
+    seen = [f"{prose} {' '.join(r.choice(prose.split()) for _ in range(20))} password={of(every)} {of('0123456789abcdef', 32)}" for _ in range(300)]
+    found = [of(lower), of(lower.upper()), of(lower + lower.upper()), of("0123456789")]
+    kept = ["informationlanguage", "INFORMATIONLANGUAGE", "thousand_ordinary_names", "ThousandOrdinaryNames"]
+    df = docs(spark, [f"a {x} b" for x in found + kept])
+    rows = {x.doc_id: [s.value for s in x.spans] for x in op2_secrets.scan(df, op2_secrets.train(docs(spark, seen))).collect()}
+    assert [rows[k] for k in range(len(found + kept))] == [[x] for x in found] + [[]] * len(kept)
+
+
 def test_jaccard(spark, corpus):
     got = {r.doc_id: r for r in op3_jaccard.components(docs(spark, corpus), block=4).collect()}
     sets = []
