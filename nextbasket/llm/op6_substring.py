@@ -9,8 +9,9 @@ equal anchors, so all places of a window meet in one shard. Fragments whose anch
 are done. Equal fragments collapse to their first place, and the others are repeats as a whole.
 For the distinct ones left, each shard builds an FM-index over their words (BWT in a wavelet
 matrix), searches all their windows backwards, and reports those with an earlier place in
-their suffix interval. An anchor of more than ``HOT`` fragments is dealt anew by window, so that
-a passage in very many documents does not meet in one shard.
+their suffix interval. The windows of an anchor of more than ``HOT`` fragments are not dealt: the
+first place of each is aggregated in Spark, and a join with it marks the later ones, so that a
+passage in very many documents does not meet in one shard.
 
 Null text: no words. Rows with null doc_id are returned unchanged and repeat nothing; rows that
 share a doc_id are taken for one document. Other columns are kept by ``deduplicated``.
@@ -79,7 +80,7 @@ def fragments(docs: DataFrame, text: str = "text", key: str = "doc_id", window:
 
 
 def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: int, hot: int) -> DataFrame:
-    """The word hashes of ``wanted(doc, anchor, start, n, rows)``; those of hot anchors window by window."""
+    """The word hashes of ``wanted(doc, anchor, start, n, rows)``; hot anchors give the hash of each window and no words."""
     need = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "rows")).alias("need"))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(need, "doc")
 
@@ -103,13 +104,20 @@ def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: i
                     first, start, n = first + step, start + step, np.where(is_hot, 1, n)
                     own_hash = textnum.hashes_of(w.hash, first, first + window)
                     anchor = np.where(is_hot, own_hash.view(np.int64), anchor)
-                size = n + window - 1
+                size = np.where(is_hot, 0, n + window - 1)
                 hashes = textnum.gather(w.hash, first, size)
                 offsets = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(start), blob], ["anchor", "doc", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(start), blob, pa.array(is_hot)], ["anchor", "doc", "start", "words", "hot"])
 
-    return rows.mapInArrow(run, "anchor long, doc long, start long, words binary")
+    return rows.mapInArrow(run, "anchor long, doc long, start long, words binary, hot boolean")
+
+
+def later_windows(rows: DataFrame, window: int) -> DataFrame:
+    """``(doc, a, b)`` of the windows ``(anchor, doc, start)`` that come earlier too; ``anchor`` is a window's hash."""
+    first = rows.groupBy("anchor").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    again = rows.join(first, "anchor").where(F.struct("doc", "start") > F.col("first"))
+    return again.select("doc", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
 
 
 def search_shard(doc: np.ndarray, start: np.ndarray, words: list[bytes], window: int):
@@ -197,7 +205,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: in
     later = later.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b"))
     many = own.groupBy("anchor").agg(*counts).where("rows > 1 or inner = 1").select("anchor", "rows")
     wanted = own.join(many, "anchor").select("anchor", "first.doc", "first.start", "n", "rows")
-    inside = searched(extracted(docs, wanted, text, key, window, hot), window, shard_words)
+    parts = extracted(docs, wanted, text, key, window, hot)
+    inside = searched(parts.where("not hot").drop("hot"), window, shard_words)
+    if not many.where(F.col("rows") > hot).isEmpty():
+        # in one plan, so that the texts are shuffled once for all branches
+        inside = inside.union(later_windows(parts.where("hot").select("anchor", "doc", "start"), window))
     return later.union(inside).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

@@ -140,6 +140,22 @@ def test_substrings(spark, corpus):
         assert got[k].kept.encode() == b" ".join(x for i, x in enumerate(w) if i not in gone)
 
 
+def test_hot_windows_do_not_meet_in_a_shard(spark, monkeypatch):
+    r = random.Random(6)
+    of = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = of(60)
+    df = docs(spark, [f"{of(15)} {passage} {of(15)}" for _ in range(60)])
+    dealt, searched = [], op6_substring.searched
+
+    def spy(rows, *args):
+        dealt.append(rows.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0)
+        return searched(rows, *args)
+
+    monkeypatch.setattr(op6_substring, "searched", spy)
+    got = {x.doc_id: x.n_removed for x in op6_substring.removed(df, op6_substring.repeats(df, hot=10)).collect()}
+    assert got == {k: 60 if k else 0 for k in range(60)} and dealt[0] <= 10
+
+
 def test_bpe_and_packing(spark, corpus):
     tok = bpe.load(bpe.source())
     ids = [tok.encode(t or "", add_special_tokens=False).ids for t in corpus]
