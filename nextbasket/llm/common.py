@@ -27,6 +27,8 @@ def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, as the cluster names it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -96,6 +98,29 @@ def block_pairs(rows: DataFrame, key: str, node: str, cap: int) -> DataFrame:
     return rows.select(F.xxhash64(key, low, high).alias("g"), (F.col("__own") == low).alias("left"), (F.col("__own") == high).alias("right"), key, node)
 
 
+def cross_blocks(rows: DataFrame, key: str, node: str, cap: int) -> DataFrame:
+    """Deals nodes of each key so that nodes of different roots meet: ``(g, left, right, key, node, root)``.
+
+    Rows are ``(key, node, root)``. A root of many nodes has blocks of its own, which never meet
+    each other; small roots share blocks of about ``cap`` nodes, which meet themselves as well.
+    """
+    roots = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("__m"))
+    roots = roots.withColumn("__own", F.when(2 * F.col("__m") > cap, F.col("root")))
+    light = roots.where("__own is null").groupBy(key).agg(F.ceil(2 * F.sum("__m") / cap).alias("__l"))
+    roots = written(roots.join(light, key, "left"), "roots")
+    part = F.pmod(F.xxhash64(node, F.lit(17)), F.ceil(F.col("__m") / cap))
+    shared = F.pmod(F.xxhash64("root", F.lit(19)), F.col("__l"))
+    block = F.when(F.col("__own").isNull(), F.xxhash64(shared, F.lit("l"))).otherwise(F.xxhash64("root", part))
+    rows = written(rows.join(roots, [key, "root"]).select(key, node, "root", "__own", block.alias("__b")), "dealt")
+    blocks = rows.select(key, "__own", "__b").distinct()
+    a, b = blocks.toDF(key, "__oa", "a"), blocks.toDF(key, "__ob", "b")
+    pairs = a.join(b, key).where("(a < b and not (__oa is not null and __oa <=> __ob)) or (a = b and __oa is null)").select(key, "a", "b")
+    pairs = written(pairs, "block-pairs").withColumn("g", F.xxhash64(key, "a", "b"))
+    low = rows.join(pairs.withColumn("__b", F.col("a")), [key, "__b"]).withColumns({"left": F.lit(True), "right": F.expr("a = b")})
+    high = rows.join(pairs.where("a < b").withColumn("__b", F.col("b")), [key, "__b"]).withColumns({"left": F.lit(False), "right": F.lit(True)})
+    return low.unionByName(high).select("g", "left", "right", key, node, "root")
+
+
 def grouped(batches, key: str = "g"):
     """Whole groups, as tables, of batches that are sorted by ``key``."""
     import numpy as np
@@ -130,7 +155,7 @@ class Forest:
     """Union-find over a few nodes of one task."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up, self.trees = list(range(n)), n
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -141,4 +166,5 @@ class Forest:
         """False if they were joined already."""
         a, b = self.root(a), self.root(b)
         self.up[max(a, b)] = min(a, b)
+        self.trees -= a != b
         return a != b

@@ -11,8 +11,9 @@ band enter the next one as well.
 Sets with an equal chunk meet in a run. Runs of the same sets collapse to one, and there wide
 bit sketches (about a bit a shingle) are compared: their Hamming distance is a lower bound of
 the symmetric difference too. What passes forms clusters, in which the sets themselves are
-compared. Large runs and clusters are dealt as pairs of blocks, and every group reports a
-spanning forest only, so no group emits its pairs and no link between components is lost.
+compared. Large runs and clusters are dealt as blocks that share a pivot. Each block is compared
+with itself and reports a spanning forest; only where several roots are left do blocks of
+different roots meet. So no group emits its pairs and no link between components is lost.
 
 Null text and texts without a word have an empty set and link with nothing. A row with null
 doc_id has null component_id. Rows that share a doc_id are taken for one document with several
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Forest, block_pairs, connected, grouped, written
+from .common import Forest, connected, cross_blocks, grouped, written
 
-SHINGLE, PERCENT, RATIO, BLOCK_SETS, SEEN = 4, 85, 1.6, 128, 500_000
+SHINGLE, PERCENT, RATIO, BLOCK_SETS, SEEN, RUN_SETS = 4, 85, 1.6, 128, 500_000, 1_000_000
 
 
 #: Bits of a key that hold the size band.
@@ -164,13 +165,20 @@ def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, s long")
 
 
-def runs(keys: DataFrame) -> DataFrame:
-    """``(run, s)``: the sets that share a chunk, once for all chunks shared by just the same sets.
+def runs(keys: DataFrame, block: int) -> DataFrame:
+    """``(run, block, s, pivot)``: the sets that share a chunk, in blocks, once for all chunks shared by just the same sets.
 
-    The band is in the lowest bits of ``run``."""
+    The smallest set of a run is its pivot. The band is in the lowest bits of ``run``. A run of more than ``RUN_SETS``
+    sets is sent on in parts as it is read, under the name of its own chunk."""
 
     def run(batches):
-        held_key, held = None, np.zeros(0, np.int64)
+        held_key, held, pivot, sent = None, np.zeros(0, np.int64), 0, 0
+
+        def dealt(name, s, n, pivot, sent):
+            """Rows of runs of ``n`` sets each, of which ``sent`` went out before."""
+            at = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(sent, n)
+            cols = np.repeat(name, n), np.maximum(at - 1, 0) // block, s, np.repeat(pivot, n)
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["run", "block", "s", "pivot"])
 
         def closed(key, s):
             """Rows of whole runs: at least two sets each."""
@@ -179,72 +187,108 @@ def runs(keys: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(edge, len(key)))
             total = np.add.reduceat(textnum.mix(s.view(np.uint64)), edge)
-            name = textnum.mix(total) & ~BAND | key[edge].view(np.uint64) & BAND
-            keep = np.repeat(n > 1, n)
-            pairs = np.unique(np.stack([np.repeat(name.view(np.int64), n)[keep], s[keep]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["run", "s"])
+            name = (textnum.mix(total) & ~BAND | key[edge].view(np.uint64) & BAND).view(np.int64)
+            keep = n > 1
+            _, once = np.unique(name[keep], return_index=True)
+            some = np.flatnonzero(keep)[once]
+            s = textnum.gather(s, edge[some], n[some])
+            return dealt(name[some], s, n[some], s[np.cumsum(n[some]) - n[some]], np.zeros(len(some), np.int64))
+
+        def part():
+            """What is held of a long run."""
+            s = np.unique(held)
+            return dealt(np.array([held_key]), s, np.array([len(s)]), np.array([pivot if sent else s[0]]), np.array([sent])), len(s)
 
         for b in batches:
             key, s = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(key):
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
             if key[0] != held_key and len(held):
-                yield closed(np.full(len(held), held_key), held)
-                held = held[:0]
+                yield part()[0] if sent else closed(np.full(len(held), held_key), held)
+                held, sent = held[:0], 0
+            cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield closed(np.concatenate([np.full(len(held), key[0]), key[:cut]]), np.concatenate([held, s[:cut]]))
+                first = int(np.searchsorted(key, key[0], "right")) if sent else 0
+                if sent:
+                    held = np.concatenate([held, s[:first]])
+                    yield part()[0]
+                    held, sent = held[:0], 0
+                if cut > first:
+                    yield closed(np.concatenate([np.full(len(held), key[0]), key[first:cut]]), np.concatenate([held, s[first:cut]]))
                 held = held[:0]
             held_key, held = key[-1], np.concatenate([held, s[cut:]])
+            if len(held) > RUN_SETS:
+                tail = held[held == held[-1]]  # may go on in the next batch
+                held = held[held != held[-1]]
+                if len(held):
+                    pivot = pivot if sent else held[0]
+                    rows, n = part()
+                    yield rows
+                    sent += n
+                held = tail
         if len(held):
-            yield closed(np.full(len(held), held_key), held)
+            yield part()[0] if sent else closed(np.full(len(held), held_key), held)
 
     rows = keys.repartition(F.col("key")).sortWithinPartitions("key", "s")
-    return rows.mapInArrow(run, "run long, s long").distinct()
+    return rows.mapInArrow(run, "run long, block long, s long, pivot long").distinct()
+
+
+def spread(members: DataFrame, block: int) -> DataFrame:
+    """``(cluster, block, s, pivot)`` for rows ``(cluster, s)``; a cluster is named by its smallest set, the pivot."""
+    sizes = written(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "sizes")
+    own = F.when(F.col("s") == F.col("cluster"), 0).otherwise(F.pmod(F.xxhash64("s", F.lit(17)), F.col("blocks")))
+    return members.join(sizes, "cluster").select("cluster", own.alias("block"), "s", F.col("cluster").alias("pivot"))
 
 
 def passing(members: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: a spanning forest of the pairs of each group whose wide sketches don't rule out a link."""
+    """``(a, b)``: edges between roots that join the sets of each group of ``(g, left, right, s, root, n, bits)``
+    whose wide sketches don't rule out a link."""
 
     def run(batches):
         for t in grouped(batches):
             if t.num_rows < 2:
                 continue
             s, n, left, right = (t.column(c).to_numpy() for c in ("s", "n", "left", "right"))
+            name, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
-            forest, out = Forest(len(s)), []
+            forest, out = Forest(int(root.max()) + 1), []
             for a in range(len(s) - 1):
+                if forest.trees == 1:
+                    break
                 far = np.bitwise_count(bits[a] ^ bits[a + 1 :]).sum(1, dtype=np.int64)
                 meets = (left[a] & right[a + 1 :]) | (right[a] & left[a + 1 :])
                 hit = meets & ((100 + percent) * far <= (100 - percent) * (n[a] + n[a + 1 :]))
                 hit &= percent * np.maximum(n[a], n[a + 1 :]) <= 100 * np.minimum(n[a], n[a + 1 :])
-                out += [(s[a], s[b]) for b in (np.flatnonzero(hit) + a + 1).tolist() if forest.join(a, b)]
+                out += [(name[root[a]], name[root[b]]) for b in (np.flatnonzero(hit) + a + 1).tolist() if forest.join(root[a], root[b])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], ["a", "b"])
 
-    rows = members.repartition(F.col("g")).sortWithinPartitions("g")
+    rows = members.repartition(F.col("g")).sortWithinPartitions("g", "s")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(members: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest of the links inside each group of ``(g, left, right, s, h)``."""
+    """``(a, b)``: edges between roots by links inside each group of ``(g, left, right, s, root, h)``."""
 
     def run(batches):
         out: list[tuple[int, int]] = []
+        kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in grouped(batches):
             if t.num_rows < 2:
                 continue
-            s, left, right = t.column("s").to_numpy(), t.column("left").to_numpy(), t.column("right").to_numpy()
+            left, right = t.column("left").to_numpy(), t.column("right").to_numpy()
+            name, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
             own = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
             size = np.array([len(x) for x in own])
             order = np.argsort(size, kind="stable")
-            s, left, right, size, own = s[order], left[order], right[order], size[order], [own[k] for k in order]
-            flat = np.concatenate(own)
-            _, flat = np.unique(flat, return_inverse=True)
+            left, right, size, root, own = left[order], right[order], size[order], root[order], [own[k] for k in order]
+            _, flat = np.unique(np.concatenate(own), return_inverse=True)
             flat = flat.reshape(-1)
             start = np.cumsum(size) - size
-            forest, mark = Forest(len(s)), np.zeros(int(flat.max()) + 1, np.int32)
-            for a in range(len(s) - 1):
+            forest, mark = Forest(int(root.max()) + 1), np.zeros(int(flat.max()) + 1, np.int32)
+            for a in range(len(size) - 1):
+                if forest.trees == 1:
+                    break
                 top = int(np.searchsorted(size, size[a] * 100 // percent, "right"))
                 if top <= a + 1:
                     continue
@@ -255,26 +299,57 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
                 mark[mine] = 0
                 meets = (left[a] & right[a + 1 : top]) | (right[a] & left[a + 1 : top])
                 hit = meets & (100 * common >= percent * (size[a] + size[a + 1 : top] - common))
-                for b in (np.flatnonzero(hit) + a + 1).tolist():
-                    if forest.join(a, b):
-                        out.append((int(s[a]), int(s[b])))
+                out += [(name[root[a]], name[root[b]]) for b in (np.flatnonzero(hit) + a + 1).tolist() if forest.join(root[a], root[b])]
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], schema=kind)
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], schema=kind)
 
     rows = members.repartition(F.col("g")).sortWithinPartitions("g")
     return rows.mapInArrow(run, "a long, b long")
 
 
+def joined(blocks: DataFrame, key: str, compare, block: int, name: str, once: bool) -> DataFrame:
+    """``(node, component)`` of the sets of each key that ``compare`` joins.
+
+    ``blocks`` has ``(key, block, s, pivot)``; ``once`` tells that a set has one key only. At first
+    each set goes to one block, that with the smallest pivot, where the pivot goes as well: so
+    a group of alike sets sends an edge a set. Only keys of several roots go on then, and of
+    their blocks only those of different roots meet."""
+    pick = blocks if once else blocks.groupBy("s").agg(F.min(F.struct("pivot", key, "block")).alias("x")).select("s", "x.*")
+    pick = pick.where("s <> pivot").select(F.xxhash64(key, "block").alias("g"), key, "s", "pivot")
+    groups = pick.drop("pivot").union(pick.select("g", key, F.col("pivot").alias("s")).distinct())
+    yes = F.lit(True)
+    label = connected(compare(groups.select("g", yes.alias("left"), yes.alias("right"), key, "s", F.col("s").alias("root"))), name)
+    hot = written(blocks.groupBy(key).agg((F.max("block") > 0).alias("hot"), F.count(F.lit(1)).alias("n")).where("n > 1 and hot" if once else "n > 1").select(key, "hot"), name)
+    if hot.isEmpty():
+        return label
+    root = label.select(F.col("node").alias("s"), F.col("component").alias("root"))
+    rest = blocks.select(key, "s").join(hot, key).join(root, "s", "left")
+    rest = written(rest.select(key, "s", "hot", F.coalesce("root", "s").alias("root")), name)
+    split = written(rest.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(key), name)
+    rest = rest.join(split, key, "left_semi")
+    groups = cross_blocks(rest.where("hot").select(key, "s", "root"), key, "s", block)
+    if not once:
+        groups = groups.union(rest.where("not hot").select(F.xxhash64(key, F.lit("own")), yes, yes, key, "s", "root"))
+    more = connected(compare(groups), name)
+    tops = more.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = label.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(moved.union(more.join(label, "node", "left_anti")), name)
+
+
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """One row a document: ``key``, ``n_shingles``, ``component_id``."""
     sets = written(sets_of(docs, text, key, k, percent), "sets")
-    met = written(runs(chunk_keys(docs, text, k, percent)), "runs")
-    met = block_pairs(met, "run", "s", block).withColumn("band", F.col("run").bitwiseAND(F.lit(int(BAND))))
+    met = written(runs(chunk_keys(docs, text, k, percent), block), "runs")
     bits = sets.select("s", "n", F.explode("sketches").alias("x")).select("s", "n", "x.band", "x.bits").dropDuplicates(["s", "band"])
-    clusters = connected(passing(met.join(bits, ["s", "band"]).select("g", "left", "right", "s", "n", "bits"), percent), "clusters")
+
+    def by_sketch(groups: DataFrame) -> DataFrame:
+        groups = groups.withColumn("band", F.col("run").bitwiseAND(F.lit(int(BAND))))
+        return passing(groups.join(bits, ["s", "band"]).select("g", "left", "right", "s", "root", "n", "bits"), percent)
+
+    clusters = joined(met, "run", by_sketch, block, "clusters", False)
     first = sets.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"))
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("s"))
 
@@ -287,14 +362,19 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
                 same = pa.array(s == b.column("s").slice(at, len(part)).to_numpy())  # of several texts with one doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(s), blob], ["s", "h"]).filter(same)
 
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    texts = texts.join(members.select("s").join(first, "s"), "doc").mapInArrow(hashes, "s long, h binary")
-    groups = block_pairs(members, "cluster", "s", block).select("g", "left", "right", "s")
-    links = verified(groups.join(texts, "s").select("g", "left", "right", "s", "h"), percent)
-    root = connected(links, "links").select(F.col("node").alias("s"), F.col("component").alias("root"))
-    rows = sets.select("doc", "n", "s").join(root, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
-    rows = rows.join(least, "root", "left")
+    def by_set(groups: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+        texts = texts.join(groups.select("s").distinct().join(first, "s"), "doc").mapInArrow(hashes, "s long, h binary")
+        texts = texts.dropDuplicates(["s"])
+        return verified(groups.join(texts, "s").select("g", "left", "right", "s", "root", "h"), percent)
+
+    root = joined(spread(members, block), "cluster", by_set, block, "links", True).select(F.col("node").alias("s"), F.col("component").alias("root"))
+    # the smallest document of each set, then of each component; hot sets are minima before they are sent
+    least = first.join(root, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    least = written(least, "least")
+    tops = written(least.groupBy("root").agg(F.min("doc").alias("least")), "least")
+    least = written(least.join(tops, "root").select("s", "least"), "least")
+    rows = sets.select("doc", "n", "s").join(least, "s", "left")
     component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
     return rows.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

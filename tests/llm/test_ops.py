@@ -213,3 +213,47 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in common.connected(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 150)}
+
+
+def test_jaccard_of_many_near_copies_is_linear(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(2000):
+        w = list(base)
+        w[r.randrange(120)] = f"x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{k}-{j}" for j in range(30)) for k in range(40)]
+    sent, passing, verified = [], op3_jaccard.passing, op3_jaccard.verified
+
+    def counted(compare):
+        def f(members, percent):
+            out = common.written(compare(members, percent), "counted")
+            sent.append(out.count())
+            return out
+
+        return f
+
+    monkeypatch.setattr(op3_jaccard, "passing", counted(passing))
+    monkeypatch.setattr(op3_jaccard, "verified", counted(verified))
+    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), block=32).collect()}
+    assert all(got[k] == (0 if k < 2000 else k) for k in got) and len(got) == len(texts)
+    assert sum(sent) < 2 * len(texts), sent
+
+
+def test_jaccard_of_copies_in_a_chain(spark):
+    """Neighbours link, sets further apart do not: what a pivot does not join is joined across blocks."""
+    w = [f"w{k}" for k in range(400)]
+    texts = [" ".join(w[k : k + 100]) for k in range(0, 300, 4)]
+    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), block=4).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_jaccard_sends_long_runs_in_parts(spark, corpus, monkeypatch):
+    want = sorted(op3_jaccard.components(docs(spark, corpus)).collect())
+    monkeypatch.setattr(op3_jaccard, "RUN_SETS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(op3_jaccard.components(docs(spark, corpus), block=2).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
