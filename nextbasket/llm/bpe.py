@@ -1,8 +1,8 @@
 """Word-level use of a public BPE tokenizer with word ends.
 
 Its pieces never span white space, so the ids of a text are those of its words in order.
-Plain words (Latin letters and marks after them) are merged for many words at once; all
-others go to the tokenizers library, one call a distinct word.
+Plain words (Latin letters) are merged for many words at once; all others, and the marks after
+plain ones, go to the tokenizers library, one call a distinct word.
 """
 
 from __future__ import annotations
@@ -87,6 +87,41 @@ class Merges:
         return out
 
 
+def entries(texts: pa.Array):
+    """Distinct words of a block of texts, and their places.
+
+    ``(bytes, first, last, key, plain, number, before)``: range and hash of each distinct word, whether it
+    is plain (its letters, in lower case, without the marks after them, which are a word of their own), the
+    number of the word at each place, and the places before each text."""
+    data, offs = textnum.view(texts)
+    first, last = textnum.spans(data, offs)
+    prev = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    latin = (prev == 0xC3) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    low[latin & (data <= 0x9E)] += 32
+    good = ((low >= 97) & (low <= 122)) | latin
+    good[:-1] |= (data[:-1] == 0xC3) & latin[1:]
+    bad = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~good, out=bad[1:])
+    end = textnum.unmarked(data, first, last)
+    plain = (end > first) & (bad[end] == bad[first]) & (end - first <= LONGEST)
+    end = np.where(plain, end, last)
+    (keys,) = textnum.hashes(low, (first, end))
+    odd, tails = np.flatnonzero(~plain), np.flatnonzero(end < last)
+    other, marks = textnum.hashes(data, (first[odd], last[odd]), (end[tails], last[tails]))
+    keys[odd] = other ^ np.uint64(0x5851F42D4C957F2D)
+    # the words, each with the marks at its end behind it
+    a, b = np.concatenate([first, end[tails]]), np.concatenate([end, last[tails]])
+    plain = np.concatenate([plain, np.zeros(len(tails), bool)])
+    keys = np.concatenate([keys, marks ^ np.uint64(0x5851F42D4C957F2D)])
+    order = np.argsort(a, kind="stable")
+    uniq, at, number = np.unique(keys[order], return_index=True, return_inverse=True)
+    at = order[at]
+    shift = np.where(plain[at], 0, len(data))
+    return np.concatenate([low, data]), a[at] + shift, b[at] + shift, uniq, plain[at], number.reshape(-1), np.searchsorted(a[order], offs)
+
+
 class Encoder:
     def __init__(self, text: str):
         self.tok = load(text)
@@ -166,41 +201,17 @@ class Encoder:
         at[order] = np.cumsum(lengths[order]) - lengths[order]
         return textnum.gather(np.concatenate(parts), at, lengths), lengths
 
-    def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word of a block the place and number of ids of its letters and of the marks after them
-        (or of the whole word and nothing), and the words before each text."""
-        first, last = textnum.spans(data, offs)
-        prev = np.concatenate([[0], data[:-1]]).astype(np.uint8)
-        latin = (prev == 0xC3) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
-        low = data.copy()
-        low[(data >= 65) & (data <= 90)] += 32
-        low[latin & (data <= 0x9E)] += 32
-        good = ((low >= 97) & (low <= 122)) | latin
-        good[:-1] |= (data[:-1] == 0xC3) & latin[1:]
-        bad = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(~good, out=bad[1:])
-        end = textnum.unmarked(data, first, last)
-        plain = (end > first) & (bad[end] == bad[first]) & (end - first <= LONGEST)
-        end = np.where(plain, end, last)
-        (keys,) = textnum.hashes(low, (first, end))
-        odd, tails = np.flatnonzero(~plain), np.flatnonzero(end < last)
-        other, marks = textnum.hashes(data, (first[odd], last[odd]), (end[tails], last[tails]))
-        keys[odd] = other ^ np.uint64(0x5851F42D4C957F2D)
-        # the words, and after them the marks at their ends
-        a, b = np.concatenate([first, end[tails]]), np.concatenate([end, last[tails]])
-        core = np.concatenate([plain, np.zeros(len(tails), bool)])
-        uniq, at, which = np.unique(np.concatenate([keys, marks ^ np.uint64(0x14057B7EF767814F)]), return_index=True, return_inverse=True)
-        here = np.searchsorted(self.keys, uniq)
-        new = np.flatnonzero(self.keys[np.minimum(here, len(self.keys) - 1)] != uniq)
-        at = at[new]
-        mine = core[at]
-        self.add(uniq[new[mine]], *self.plain(low, a[at[mine]], (b - a)[at[mine]]))
-        rest = [self.library(data[x:y].tobytes()) for x, y in zip(a[at[~mine]].tolist(), b[at[~mine]].tolist(), strict=True)]
-        self.add(uniq[new[~mine]], np.array([x for r in rest for x in r], np.int32), np.array([len(r) for r in rest], np.int64))
-        here = np.searchsorted(self.keys, uniq)[which.reshape(-1)]
-        place = np.zeros((len(first), 2), np.int64)
-        place[:, 0], place[tails, 1] = here[: len(first)], here[len(first) :]
-        return self.at[place.ravel()], self.size[place.ravel()], np.searchsorted(first, offs)
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of a block the place and number of its ids, and the words before each text."""
+        data, first, last, keys, plain, number, before = entries(texts)
+        here = np.searchsorted(self.keys, keys)
+        new = self.keys[np.minimum(here, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        mine, rest = np.flatnonzero(new & plain), np.flatnonzero(new & ~plain)
+        self.add(keys[mine], *self.plain(data, first[mine], last[mine] - first[mine]))
+        own = [self.library(data[x:y].tobytes()) for x, y in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
+        self.add(keys[rest], np.array([x for r in own for x in r], np.int32), np.array([len(r) for r in own], np.int64))
+        here = np.searchsorted(self.keys, keys)[number]
+        return self.at[here], self.size[here], before
 
     def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """Puts words into the table."""
@@ -211,8 +222,8 @@ class Encoder:
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
     def clear(self) -> None:
-        """An empty table; its first entry stands for no marks."""
-        self.keys, self.at, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        """An empty table."""
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
     def encode(self, texts: pa.Array):
@@ -223,6 +234,6 @@ class Encoder:
         for at, part in textnum.blocks(texts, 8 * textnum.BLOCK):
             if len(self.keys) > WORDS:
                 self.clear()
-            start, size, before = self.block(*textnum.view(part))
+            start, size, before = self.block(part)
             ends = np.concatenate([[0], np.cumsum(size)])
-            yield at, textnum.gather(self.pool, start, size), ends[2 * before]
+            yield at, textnum.gather(self.pool, start, size), ends[before]

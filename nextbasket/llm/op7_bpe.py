@@ -1,48 +1,135 @@
-"""BPE encoding and decoding through tables of distinct words.
+"""BPE encoding and decoding through one table of distinct words.
 
-Spark deals the texts to tasks. A task splits them, keeps a table of the distinct words that
-it has met (``bpe.WORDS`` at most), encodes each of those once, and joins the ids back by
-position; decoding joins the ids with the tokenizer's id-to-piece table. One table for the
-whole corpus would have to send every word of every text through a shuffle and back.
+Texts are split into words in blocks of about ``BLOCK`` bytes. A block keeps for each place the
+number of its word in the block's own list, most frequent first; the lists go to a table of
+``(block, n, word)``. Each distinct word of the corpus is encoded once, and decoded through a
+join of its ids with the id-to-piece table. The results are joined back to the blocks' lists and
+put at their places. What is shuffled is the distinct words of each block and the numbers, not
+a row for each place. Pieces never span white space, so the ids of a text are those of its
+words in order; marks at the end of a word are words of their own.
 
-Null text: empty, no tokens. Other columns are ignored, repeated rows each get their own
-result, an empty table gives no rows. Strings of special tokens in a text are encoded as the
-library does.
+Null text: empty, no tokens. Other columns are ignored, repeated rows (also of one id) each get
+their own result, an empty table gives no rows. Strings of special tokens in a text are encoded
+as the library does.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, textnum
+from .common import grouped, written
 
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK = 3_000_000
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
-    """One row a document: ``key``, ``n_tokens``, ``ids`` and the ``decoded`` text, or SHA-256 of both."""
-    shared = docs.sparkSession.sparkContext.broadcast(bpe.source(path))
+
+def blocks_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``(block, keys, ends, places, words, plain)``: texts of a block by the numbers of their words.
+
+    ``ends`` are the words before the end of each text; ``places`` is of 16 bits if the list is short enough."""
+
+    def run(batches):
+        for b in batches:
+            for at, part in textnum.blocks(b.column(1), BLOCK):
+                data, first, last, _, plain, number, before = bpe.entries(part)
+                n = np.bincount(number, minlength=len(first))
+                order = np.argsort(-n, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                places = rank[number].astype("<u2" if len(order) <= 65_536 else "<u4")
+                first, last = first[order], last[order]
+                size = last - first
+                flat = textnum.gather(data, first, size)
+                words = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                cols = [
+                    one(b.column(0).slice(at, len(part))), one(pa.array(before[1:], pa.int64())),
+                    pa.array([places.tobytes()], pa.binary()), one(words), one(pa.array(plain[order])),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["keys", "ends", "places", "words", "plain"])
+
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(run, f"keys array<{kind}>, ends array<long>, places binary, words array<string>, plain array<boolean>")
+    return rows.withColumn("block", F.monotonically_increasing_id())  # fixed once it is written
+
+
+def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
+    """``(word, plain, ids)`` for rows ``(word, plain)``; a plain word holds lower-case Latin letters only."""
+    shared = words.sparkSession.sparkContext.broadcast(bpe.source(path))
 
     def run(batches):
         encoder = bpe.Encoder(shared.value)
-        piece = encoder.pieces()
-        digit = [f"{k} " for k in range(len(piece))]
         for b in batches:
-            for at, ids, offs in encoder.encode(b.column(1)):
+            data, offs = textnum.view(b.column(0))
+            plain = b.column(1).to_numpy(zero_copy_only=False)
+            size = np.diff(offs)
+            flat, n = encoder.plain(data, offs[:-1][plain], size[plain])
+            ids = np.empty(len(plain), object)
+            ids[plain] = np.split(flat, np.cumsum(n)[:-1]) if len(n) > 1 else [flat] * len(n)
+            for k in np.flatnonzero(~plain).tolist():
+                ids[k] = encoder.library(data[offs[k] : offs[k + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(ids), pa.list_(pa.int32()))], ["word", "plain", "ids"])
+
+    return words.mapInArrow(run, "word string, plain boolean, ids array<int>")
+
+
+def pieces_of(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The tokenizer's id-to-piece table."""
+    pieces = bpe.Encoder(bpe.source(path)).pieces()
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pieces}))
+
+
+def decoded(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Adds ``text``, the pieces of ``ids`` joined by a space. The vocabulary is fixed, so its table is broadcast."""
+    each = rows.select("word", "plain", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")
+    each = each.groupBy("word", "plain").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    each = each.select("word", "plain", F.array_join(F.transform("p", lambda p: p["piece"]), " ").alias("text"))
+    return rows.join(each, ["word", "plain"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
+    """One row a document: ``key``, ``n_tokens``, ``ids`` and the ``decoded`` text, or SHA-256 of both."""
+    spark = docs.sparkSession
+    blocks = written(blocks_of(docs, text, key), "bpe-blocks")
+    lists = blocks.select("block", F.posexplode(F.arrays_zip("words", "plain")).alias("n", "w")).select("block", "n", "w.words", "w.plain").toDF("block", "n", "word", "plain")
+    table = written(word_ids(lists.select("word", "plain").distinct(), path), "bpe-words")
+    table = written(decoded(table, pieces_of(spark, path)), "bpe-decoded")
+    own = lists.join(table, ["word", "plain"]).select("block", F.lit(1).alias("part"), "n", "ids", F.col("text").alias("decoded"))
+    kind = dict(docs.dtypes)[key]
+    none = lambda t: F.lit(None).cast(t)
+    own = own.select("*", none(f"array<{kind}>").alias("keys"), none("array<long>").alias("ends"), none("binary").alias("places"))
+    main = blocks.select("block", F.lit(0).alias("part"), F.lit(0).alias("n"), none("array<int>").alias("ids"), none("string").alias("decoded"), "keys", "ends", "places")
+    rows = main.union(own).repartition(F.col("block")).sortWithinPartitions("block", "part", "n")
+
+    def run(batches):
+        for t in grouped(batches, "block"):
+            keys, ends = t.column("keys").combine_chunks()[0].values, t.column("ends").combine_chunks()[0].values.to_numpy()
+            flat = t.column("ids").combine_chunks().slice(1)
+            ids, offs = flat.flatten().to_numpy(), flat.offsets.to_numpy().astype(np.int64)
+            offs, texts = offs - offs[0], t.column("decoded").slice(1).to_pylist()
+            places = np.frombuffer(t.column("places")[0].as_py(), "<u2" if len(texts) <= 65_536 else "<u4")
+            digits = [" ".join(map(str, ids[s:e].tolist())) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)] if digests else []
+            size = np.diff(offs)
+            for a in range(0, len(ends), 4096):
                 cols: list[list] = [[], [], []]
-                for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                    own = ids[s:e].tolist()
-                    text = " ".join([piece[i] for i in own])
-                    cols[0].append(e - s)
-                    cols[1].append(hashlib.sha256("".join([digit[i] for i in own])[:-1].encode()).hexdigest() if digests else own)
-                    cols[2].append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+                for s, e in zip([int(ends[a - 1]) if a else 0, *ends[a : a + 4095].tolist()], ends[a : a + 4096].tolist(), strict=False):
+                    own = places[s:e]
+                    numbers = [k for k in own.tolist() if size[k]] if digests else own.tolist()
+                    cols[0].append(int(size[own].sum()))
+                    cols[1].append(hashlib.sha256(" ".join([digits[k] for k in numbers]).encode()).hexdigest() if digests else textnum.gather(ids, offs[own], size[own]))
+                    out = " ".join([texts[k] for k in own.tolist() if size[k]])
+                    cols[2].append(hashlib.sha256(out.encode()).hexdigest() if digests else out)
                 types = pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(offs) - 1), *map(pa.array, cols, types)], ["key", "n", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, len(cols[0])), *map(pa.array, cols, types)], ["key", "n", "ids", "decoded"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(run, f"key {dict(docs.dtypes)[key]}, n long, ids {'string' if digests else 'array<int>'}, decoded string")
+    rows = rows.mapInArrow(run, f"key {kind}, n long, ids {'string' if digests else 'array<int>'}, decoded string")
     end = "_sha256" if digests else ""
     return rows.toDF(key, "n_tokens", f"ids{end}", f"decoded{end}")
 
