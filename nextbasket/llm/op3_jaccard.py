@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import Forest, connected, cross_blocks, grouped, written
 
-SHINGLE, PERCENT, RATIO, BLOCK_SETS, SEEN, RUN_SETS = 4, 85, 1.6, 128, 500_000, 1_000_000
+SHINGLE, PERCENT, RATIO, SEEN, RUN_SETS = 4, 85, 1.6, 500_000, 1_000_000
+#: Sets of a block whose sketches are compared, and of one whose shingles are.
+SKETCH_SETS, BLOCK_SETS = 1024, 128
 
 
 #: Bits of a key that hold the size band.
@@ -339,17 +341,17 @@ def joined(blocks: DataFrame, key: str, compare, block: int, name: str, once: bo
     return written(moved.union(more.join(label, "node", "left_anti")), name)
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, wide: int = SKETCH_SETS, block: int = BLOCK_SETS) -> DataFrame:
     """One row a document: ``key``, ``n_shingles``, ``component_id``."""
     sets = written(sets_of(docs, text, key, k, percent), "sets")
-    met = written(runs(chunk_keys(docs, text, k, percent), block), "runs")
+    met = written(runs(chunk_keys(docs, text, k, percent), wide), "runs")
     bits = sets.select("s", "n", F.explode("sketches").alias("x")).select("s", "n", "x.band", "x.bits").dropDuplicates(["s", "band"])
 
     def by_sketch(groups: DataFrame) -> DataFrame:
         groups = groups.withColumn("band", F.col("run").bitwiseAND(F.lit(int(BAND))))
         return passing(groups.join(bits, ["s", "band"]).select("g", "left", "right", "s", "root", "n", "bits"), percent)
 
-    clusters = joined(met, "run", by_sketch, block, "clusters", False)
+    clusters = joined(met, "run", by_sketch, wide, "clusters", False)
     first = sets.where("n > 0 and doc is not null").groupBy("s").agg(F.min("doc").alias("doc"))
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("s"))
 
@@ -362,11 +364,12 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
                 same = pa.array(s == b.column("s").slice(at, len(part)).to_numpy())  # of several texts with one doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(s), blob], ["s", "h"]).filter(same)
 
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = texts.join(members.select("s").join(first, "s"), "doc").mapInArrow(hashes, "s long, h binary")
+    shingles = written(texts.dropDuplicates(["s"]), "shingles")  # only of sets in clusters
+
     def by_set(groups: DataFrame) -> DataFrame:
-        texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-        texts = texts.join(groups.select("s").distinct().join(first, "s"), "doc").mapInArrow(hashes, "s long, h binary")
-        texts = texts.dropDuplicates(["s"])
-        return verified(groups.join(texts, "s").select("g", "left", "right", "s", "root", "h"), percent)
+        return verified(groups.join(shingles, "s").select("g", "left", "right", "s", "root", "h"), percent)
 
     root = joined(spread(members, block), "cluster", by_set, block, "links", True).select(F.col("node").alias("s"), F.col("component").alias("root"))
     # the smallest document of each set, then of each component; hot sets are minima before they are sent

@@ -75,7 +75,7 @@ def test_secrets_of_one_class(spark):
 
 
 def test_jaccard(spark, corpus):
-    got = {r.doc_id: r for r in op3_jaccard.components(docs(spark, corpus), block=4).collect()}
+    got = {r.doc_id: r for r in op3_jaccard.components(docs(spark, corpus), wide=4, block=4).collect()}
     sets = []
     for t in corpus:
         w = [x.lower() for x in words(t)]
@@ -236,7 +236,7 @@ def test_jaccard_of_many_near_copies_is_linear(spark, monkeypatch):
 
     monkeypatch.setattr(op3_jaccard, "passing", counted(passing))
     monkeypatch.setattr(op3_jaccard, "verified", counted(verified))
-    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), block=32).collect()}
+    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), wide=32, block=32).collect()}
     assert all(got[k] == (0 if k < 2000 else k) for k in got) and len(got) == len(texts)
     assert sum(sent) < 2 * len(texts), sent
 
@@ -245,7 +245,7 @@ def test_jaccard_of_copies_in_a_chain(spark):
     """Neighbours link, sets further apart do not: what a pivot does not join is joined across blocks."""
     w = [f"w{k}" for k in range(400)]
     texts = [" ".join(w[k : k + 100]) for k in range(0, 300, 4)]
-    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), block=4).collect()}
+    got = {x.doc_id: x.component_id for x in op3_jaccard.components(docs(spark, texts), wide=4, block=4).collect()}
     assert set(got.values()) == {0}
 
 
@@ -254,6 +254,6 @@ def test_jaccard_sends_long_runs_in_parts(spark, corpus, monkeypatch):
     monkeypatch.setattr(op3_jaccard, "RUN_SETS", 3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        assert sorted(op3_jaccard.components(docs(spark, corpus), block=2).collect()) == want
+        assert sorted(op3_jaccard.components(docs(spark, corpus), wide=2, block=2).collect()) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
