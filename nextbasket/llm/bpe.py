@@ -204,14 +204,27 @@ class Encoder:
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word of a block the place and number of its ids, and the words before each text."""
         data, first, last, keys, plain, number, before = entries(texts)
+        start, size = self.found(data, first, last, keys, plain)
+        return start[number], size[number], before
+
+    def lookup(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each word, given by its range."""
+        (keys,) = textnum.hashes(data, (first, last))
+        keys[~plain] ^= np.uint64(0x5851F42D4C957F2D)
+        uniq, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        start, size = self.found(data, first[at], last[at], uniq, plain[at])
+        return start[which.reshape(-1)], size[which.reshape(-1)]
+
+    def found(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct words, whose hashes are sorted; new ones are encoded."""
         here = np.searchsorted(self.keys, keys)
         new = self.keys[np.minimum(here, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
         mine, rest = np.flatnonzero(new & plain), np.flatnonzero(new & ~plain)
         self.add(keys[mine], *self.plain(data, first[mine], last[mine] - first[mine]))
         own = [self.library(data[x:y].tobytes()) for x, y in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
         self.add(keys[rest], np.array([x for r in own for x in r], np.int32), np.array([len(r) for r in own], np.int64))
-        here = np.searchsorted(self.keys, keys)[number]
-        return self.at[here], self.size[here], before
+        here = np.searchsorted(self.keys, keys)
+        return self.at[here], self.size[here]
 
     def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """Puts words into the table."""
