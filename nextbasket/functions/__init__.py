@@ -12,7 +12,7 @@ SOURCES = {"pos": "pos", "web": "web", "shopify_draft_order": "draft"}
 BANDS = [(0, None), (10, "<10"), (15, "10-15"), (25, "15-25"), (50, "25-50"), (100, "50-100")]
 KEYWORDS = [
     ("exclusive", "exclusive"), ("chase", r"\bchase\b"), ("vault", "vault"), ("glow", "glow"), ("flocked", "flocked"),
-    ("metallic", "metallic"), ("diamond", "diamond"), ("limited", "limited"), ("con", r"\b(sdcc|nycc|eccc|comic[- ]?con)\b"),
+    ("metallic", "metallic"), ("diamond", "diamond"), ("limited", "limited"), ("convention", r"\b(sdcc|nycc|eccc|comic[- ]?con)\b"),
 ]
 
 
@@ -39,6 +39,7 @@ def gid_number(gid: Column) -> Column:
 
 
 def coarse_source(name: Column) -> Column:
+    name = strip(F.coalesce(name, F.lit("")))
     out = F.when(name.rlike("^[0-9]+$"), "app").otherwise("other")
     for k, v in SOURCES.items():
         out = F.when(name == k, v).otherwise(out)
@@ -63,7 +64,8 @@ def title_keywords(title: Column) -> Column:
 
 
 def item_tokens(title: Column, tags: Column, price: Column) -> Column:
-    tag = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag:"), F.lower(strip(t))))
+    named = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: strip(t) != "")
+    tag = F.transform(named, lambda t: F.concat(F.lit("tag:"), F.lower(strip(t))))
     kw = F.transform(title_keywords(F.coalesce(title, F.lit(""))), lambda k: F.concat(F.lit("kw:"), k))
     return F.array_sort(F.array_distinct(F.concat(tag, kw, F.array(F.concat(F.lit("price:"), price_band(price))))))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import coarse_source, gid_number, hash_customer, strip
+from ..functions import coarse_source, gid_number, hash_customer, order_day, strip
 from ..sources.scratch import written
 
+# A title that is no product, the public columns, and the title of a product's only variant.
 TITLES = ["tip"]
+COLUMNS = ["order_id", "date", "source", "customer", "items"]
+ITEM_COLUMNS = ["variant_id", "product_id", "title", "quantity", "unit_price"]
+ONLY_VARIANT = ["", "Default Title"]
 
 
 def order_reason(orders: DataFrame, emails: list[str]) -> DataFrame:
@@ -26,8 +30,8 @@ def line_reason(lines: DataFrame, titles: list[str] = TITLES) -> DataFrame:
     qty = F.col("quantity") - F.coalesce("refunded", F.lit(0))
     reason = (
         F.when(F.nullif("variant_id", F.lit("")).isNull(), "dropped_line_no_variant")
-        .when(F.lower(strip(F.coalesce("title", F.lit("")))).isin(titles), "dropped_line_blocklist")
-        .when(qty <= 0, "dropped_line_refunded")
+        .when(F.lower(strip(F.coalesce("title", F.lit("")))).isin(titles), "dropped_line_blocklisted_title")
+        .when(qty <= 0, "dropped_line_fully_refunded")
     )
     return lines.withColumns({"qty": qty, "reason": reason})
 
@@ -40,14 +44,14 @@ def tagged(orders: DataFrame, emails: list[str]) -> DataFrame:
 
 def merged(lines: DataFrame) -> DataFrame:
     """One row for each order and variant: the first line's attributes, the summed quantity."""
-    first = F.min_by(F.struct("title", "unit_price"), "pos")
+    first = F.min_by(F.struct("title", "unit_price", "product_id"), "pos")
     out = lines.where("reason is null").groupBy("id", "variant_id").agg(first.alias("f"), F.sum("qty").alias("quantity"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    return out.select("id", "variant_id", "f.title", "f.unit_price", "quantity", "pos", "n")
+    return out.select("id", "variant_id", "f.title", "f.unit_price", "f.product_id", "quantity", "pos", "n")
 
 
 def clean_orders(orders: DataFrame, emails: list[str]) -> DataFrame:
     """Orders with a line left, their lines in first-seen order."""
-    item = F.struct("pos", "variant_id", "title", "quantity", "unit_price")
+    item = F.struct("pos", "variant_id", "product_id", "title", "quantity", "unit_price")
     items = merged(tagged(orders, emails)).groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return orders.drop("line_items").join(items, "id")
 
@@ -62,7 +66,7 @@ def clean_stats(orders: DataFrame, emails: list[str]) -> DataFrame:
     left = lines.select("id").distinct().join(m.select("id").distinct(), "id", "left_anti")
     parts = [
         count(orders, "orders_in"), by(order_reason(orders, emails)), count(lines.where("pos is not null"), "lines_in"), by(lines.where("pos is not null")),
-        count(one.where("qty < quantity"), "partially_refunded_line"), m.agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit("merged_duplicate_line").alias("rule"), "n"),
+        count(one.where("qty < quantity"), "lines_partially_refunded"), m.agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit("lines_merged_duplicate_variant").alias("rule"), "n"),
         count(m, "lines_out"), count(left, "dropped_order_no_lines_left"), count(m.select("id").distinct(), "orders_out"),
     ]
     out = parts[0]
@@ -76,7 +80,7 @@ def identity(stats: DataFrame) -> DataFrame:
     total = lambda pattern: F.coalesce(F.sum(F.when(F.col("rule").rlike(pattern), F.col("n"))), F.lit(0))
     row = stats.agg(
         total("^orders_in$").alias("oi"), total("^orders_out$|^dropped_.*order").alias("oo"),
-        total("^lines_in$").alias("li"), total("^lines_out$|^dropped_line|^merged").alias("lo"),
+        total("^lines_in$").alias("li"), total("^lines_out$|^dropped_line|^lines_merged").alias("lo"),
     )
     return row.select(F.inline(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(a).alias("n_in"), F.col(b).alias("n_accounted"), (F.col(a) == F.col(b)).alias("holds")) for u, a, b in (("orders", "oi", "oo"), ("lines", "li", "lo"))])))
 
@@ -98,16 +102,30 @@ def sequential_ids(orders: DataFrame, by: list[str], name: str = "order_id") ->
 
 
 def anonymize(orders: DataFrame, salt: bytes) -> DataFrame:
-    """The public columns only; ids follow the day and then the raw id."""
-    items = F.transform("items", lambda i: F.struct(gid_number(i["variant_id"]).alias("variant_id"), i["title"].alias("title"), i["quantity"].alias("quantity"), i["unit_price"].alias("unit_price")))
-    return sequential_ids(orders, ["date", "id"]).select(
-        "order_id", "date", coarse_source(F.col("source_name")).alias("source"), hash_customer(F.col("customer_id"), salt).alias("customer"), items.alias("items")
+    """The public columns only; ids follow the time of creation, then the raw id."""
+    items = F.transform("items", lambda i: F.struct(gid_number(i["variant_id"]).alias("variant_id"), gid_number(i["product_id"]).alias("product_id"), i["title"].alias("title"), i["quantity"].alias("quantity"), i["unit_price"].alias("unit_price")))
+    return sequential_ids(orders, ["created_at", "id"]).select(
+        "order_id", order_day(F.col("created_at")).alias("date"), coarse_source(F.col("source_name")).alias("source"), hash_customer(F.col("customer_id"), salt).alias("customer"), items.alias("items")
     )
 
 
+def snapshot_products(products: DataFrame) -> DataFrame:
+    """A row a variant of products with ``variants[]``: its title behind the product's, tags in order."""
+    rows = products.select("*", F.inline("variants").alias("v_id", "v_title", "v_price", "v_created")).drop("variants")
+    title = F.when(F.col("v_title").isin(ONLY_VARIANT), F.col("title")).otherwise(F.concat("title", F.lit(" - "), "v_title"))
+    return rows.select(
+        gid_number(F.col("v_id")).alias("variant_id"), gid_number(F.col("id")).alias("product_id"), title.alias("title"),
+        F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.col("v_price").alias("price"),
+        order_day(F.col("v_created")).alias("created_at"), "status", "image_url",
+    )
+
+
 def audit(snapshot: DataFrame) -> DataFrame:
-    """``(rule, violations)`` of an anonymized snapshot."""
+    """``(rule, violations)`` of an anonymized snapshot; ``columns`` counts those outside the public lists, and those missing."""
+    inner = snapshot.schema["items"].dataType.elementType.names if "items" in snapshot.columns else []
+    other = len(set(snapshot.columns) ^ set(COLUMNS)) + len(set(inner) ^ set(ITEM_COLUMNS))
     rules = {
+        "columns": F.lit(False),
         "source": ~F.col("source").isin("pos", "web", "app", "draft", "other"),
         "customer": ~F.coalesce(F.col("customer").rlike("^[0-9a-f]{16}$"), F.lit(True)),
         "items": F.size("items") == 0,
@@ -115,7 +133,7 @@ def audit(snapshot: DataFrame) -> DataFrame:
         "email": F.to_json(F.struct("*")).rlike(r"[\w.+-]+@[\w-]+\.[\w.-]+"),
         "date": F.col("date").isNull(),
     }
-    row = snapshot.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    row = snapshot.agg(*[F.count_if(c).alias(n) for n, c in rules.items()]).withColumn("columns", F.lit(other).cast("long"))
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])))
 
 

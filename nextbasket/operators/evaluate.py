@@ -135,7 +135,7 @@ def poisson_steps() -> list[float]:
     return out
 
 
-def bootstrap_by(rows: DataFrame, value: str, by: list[str], replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_by(rows: DataFrame, value: str, by: list[str], replicates: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """``(by.., mean, lo, hi)``: percentile interval of a mean, resampling baskets with Poisson weights from a hash.
 
     A basket has the same weights in every group, so that groups can be compared."""

@@ -19,11 +19,11 @@ def per_order(lines: DataFrame) -> DataFrame:
 
 
 def report(lines: DataFrame, products: DataFrame, cold_days: int = 90) -> DataFrame:
-    """All figures; shares as numerator over denominator."""
+    """All figures; shares as numerator over denominator, days as yyyymmdd."""
     o, share = per_order(lines), lambda a, b: F.try_divide(a, b)
     count = lambda c: F.count_if(c)
     basics = o.agg(
-        F.count(F.lit(1)).alias("orders"), F.countDistinct(F.date_format("date", "yyyy-MM")).alias("months"),
+        F.count(F.lit(1)).alias("orders"), F.date_format(F.min("date"), "yyyyMMdd").alias("first_date"), F.date_format(F.max("date"), "yyyyMMdd").alias("last_date"), F.countDistinct(F.date_format("date", "yyyy-MM")).alias("months"),
         share(count(F.col("customer").isNotNull()), F.count(F.lit(1))).alias("customer_share"),
         share(count(F.col("customer").isNotNull() & (F.col("source") == "pos")), count(F.col("source") == "pos")).alias("customer_share_pos"),
         count(F.col("variants") >= 2).alias("multi_item_orders"),
@@ -34,8 +34,8 @@ def report(lines: DataFrame, products: DataFrame, cold_days: int = 90) -> DataFr
     once = sold.agg(F.count(F.lit(1)).alias("variants_sold"), share(count(F.col("n") == 1), F.count(F.lit(1))).alias("sold_once_share"))
     top = sold.orderBy(F.desc("units"), "variant_id").limit(20).agg(F.sum("units").alias("t")).join(sold.agg(F.sum("units").alias("u"))).select(share("t", "u").alias("top20_share"))
     end = lines.agg(F.date_sub(F.max("date"), cold_days).alias("start"))
-    recent = lines.join(F.broadcast(end), lines["date"] > F.col("start")).join(sold.select("variant_id", "first"), "variant_id")
-    cold = recent.agg(share(count(F.col("first") > F.col("start")), F.count(F.lit(1))).alias("cold_share"))
+    recent = lines.join(F.broadcast(end), lines["date"] >= F.col("start")).join(sold.select("variant_id", "first"), "variant_id")
+    cold = recent.agg(share(count(F.col("first") >= F.col("start")), F.count(F.lit(1))).alias("cold_share"))
     catalog = products.agg(F.count(F.lit(1)).alias("catalog"), share(count(F.size("tags") > 0), F.count(F.lit(1))).alias("tag_coverage"))
     tags = products.select(F.explode("tags").alias("t")).agg(F.countDistinct("t").alias("tags"))
     still = sold.join(products.select("variant_id").distinct(), "variant_id", "left_semi").agg(F.count(F.lit(1)).alias("sold_in_catalog"))

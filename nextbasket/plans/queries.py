@@ -34,11 +34,11 @@ def query(sql: str | None = None, name: str | None = None):
 IPAD, OPAD = (bytes(b ^ p for b in SALT.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
 C = f"""with recursive raw as ({testdata.RAW}), lines as ({testdata.LINES}), products0 as ({testdata.PRODUCTS}),
 products as (select *, [tag1, tag2, tag3, tag4] as tags from products0),
-ordr as (select distinct id, date, test, cancelled_at, source_name, email, customer_id from raw),
+ordr as (select distinct id, date, created_at, test, cancelled_at, source_name, email, customer_id from raw),
 why as (select *, case when test then 'dropped_test_order' when cancelled_at <> '' then 'dropped_cancelled_order' when lower(email) in ('customer7@example.com', 'customer11@example.com', 'customer42@example.com') then 'dropped_excluded_email_order' end as reason from ordr),
-tag as (select raw.*, quantity - refunded as qty, case when variant_id is null then 'dropped_line_no_variant' when lower(trim(title)) = 'tip' then 'dropped_line_blocklist' when quantity - refunded <= 0 then 'dropped_line_refunded' end as lreason
+tag as (select raw.*, quantity - refunded as qty, case when variant_id is null then 'dropped_line_no_variant' when lower(trim(title)) = 'tip' then 'dropped_line_blocklisted_title' when quantity - refunded <= 0 then 'dropped_line_fully_refunded' end as lreason
   from raw where id in (select id from why where reason is null)),
-mrg as (select id, variant_id, arg_min(title, pos) as title, arg_min(unit_price, pos) as unit_price, sum(qty)::bigint as quantity, min(pos) as pos, count(*) as n from tag where lreason is null group by 1, 2),
+mrg as (select id, variant_id, arg_min(title, pos) as title, arg_min(unit_price, pos) as unit_price, arg_min(product_id, pos) as product_id, sum(qty)::bigint as quantity, min(pos) as pos, count(*) as n from tag where lreason is null group by 1, 2),
 avail as (select variant_id, min(d) as available_from from (select variant_id, created_at as d from products union all select variant_id, date from lines) group by 1),
 parts as (select *, case when date <= date '{testdata.TRAIN_END}' then 'train' when date <= date '{testdata.VAL_END}' then 'val' else 'test' end as part from lines),
 bask as (select order_id, date, source, part, list_sort(list_distinct(list(variant_id))) as items from parts group by 1, 2, 3, 4),
@@ -50,11 +50,11 @@ mir as (select a, c, n from pr union all select c, a, n from pr),
 own as (select v, count(*) as n from it group by 1),
 cosn as (select m.a, m.c, m.n / (sqrt(x.n * y.n) + 5.0) as sim from mir m join own x on x.v = m.a join own y on y.v = m.c),
 uon as (select d.date, (select count(*) from avail where available_from <= d.date) as n_universe from (select distinct date from loo) d),
-tok as (select distinct variant_id, unnest(list_concat(list_transform(tags, lambda t: 'tag:' || lower(t)),
+tok as (select distinct variant_id, unnest(list_concat(list_transform(list_filter(tags, lambda t: trim(t) <> ''), lambda t: 'tag:' || lower(trim(t))),
   list_concat(case when title ilike '%exclusive%' then ['kw:exclusive'] else [] end, list_concat(case when regexp_matches(title, '(?i)\\bchase\\b') then ['kw:chase'] else [] end,
   list_concat(case when title ilike '%glow%' then ['kw:glow'] else [] end, list_concat(case when title ilike '%vault%' then ['kw:vault'] else [] end, list_concat(case when title ilike '%flocked%' then ['kw:flocked'] else [] end,
   list_concat(case when title ilike '%metallic%' then ['kw:metallic'] else [] end, list_concat(case when title ilike '%diamond%' then ['kw:diamond'] else [] end, list_concat(case when title ilike '%limited%' then ['kw:limited'] else [] end,
-  list_concat(case when regexp_matches(title, '(?i)\\b(sdcc|nycc|eccc|comic[- ]?con)\\b') then ['kw:con'] else [] end, ['price:' || case when price < 10 then '<10' when price < 15 then '10-15' when price < 25 then '15-25' when price < 50 then '25-50' when price < 100 then '50-100' else '100+' end]))))))))))) as token from products),
+  list_concat(case when regexp_matches(title, '(?i)\\b(sdcc|nycc|eccc|comic[- ]?con)\\b') then ['kw:convention'] else [] end, ['price:' || case when price < 10 then '<10' when price < 15 then '10-15' when price < 25 then '15-25' when price < 50 then '25-50' when price < 100 then '50-100' else '100+' end]))))))))))) as token from products),
 idf as (select token, count(*) as df, ln(((select count(*) from avail) + 1) / (count(*) + 1)) + 1 as idf from tok group by 1),
 vec as (select variant_id, token, idf / sqrt(sum(idf * idf) over (partition by variant_id)) as w from tok join idf using (token)),
 sc as (select q.order_id, q.target, m.c as variant_id, sum(m.{{w}}) as score from (select order_id, target, unnest(context) as a from loo) q join {{edges}} m on m.a = q.a group by 1, 2, 3),
@@ -179,7 +179,7 @@ def clean_orders(spark, sf):
 
 STATS = """select * from (select 'orders_in' as rule, count(*) as n from ordr union all select reason, count(*) from why where reason is not null group by 1
 union all select 'lines_in', count(*) from tag union all select lreason, count(*) from tag where lreason is not null group by 1
-union all select 'partially_refunded_line', count(*) from tag where lreason is null and qty < quantity union all select 'merged_duplicate_line', sum(n - 1)::bigint from mrg
+union all select 'lines_partially_refunded', count(*) from tag where lreason is null and qty < quantity union all select 'lines_merged_duplicate_variant', sum(n - 1)::bigint from mrg
 union all select 'lines_out', count(*) from mrg union all select 'dropped_order_no_lines_left', count(distinct id) from tag where id not in (select id from mrg)
 union all select 'orders_out', count(distinct id) from mrg) where n > 0"""
 
@@ -189,13 +189,13 @@ def clean_stats(spark, sf):
     return clean.clean_stats(testdata.raw_orders(spark, sf), EMAILS)
 
 
-@query(B + f", st as ({STATS}) select 'orders' as unit, (sum(n) filter (where rule = 'orders_in'))::bigint as n_in, (sum(n) filter (where rule = 'orders_out' or rule like 'dropped%order%'))::bigint as n_accounted, true as holds from st union all select 'lines', (sum(n) filter (where rule = 'lines_in'))::bigint, (sum(n) filter (where rule = 'lines_out' or rule like 'dropped_line%' or rule like 'merged%'))::bigint, true from st")
+@query(B + f", st as ({STATS}) select 'orders' as unit, (sum(n) filter (where rule = 'orders_in'))::bigint as n_in, (sum(n) filter (where rule = 'orders_out' or rule like 'dropped%order%'))::bigint as n_accounted, true as holds from st union all select 'lines', (sum(n) filter (where rule = 'lines_in'))::bigint, (sum(n) filter (where rule = 'lines_out' or rule like 'dropped_line%' or rule like 'lines_merged%'))::bigint, true from st")
 def clean_stats_identity(spark, sf):
     return clean.identity(clean.clean_stats(testdata.raw_orders(spark, sf), EMAILS))
 
 
 HMAC = f"substr(sha256(unhex('{OPAD}') || unhex(sha256(unhex('{IPAD}') || encode(customer_id)))), 1, 16)"
-SRC = "case source_name when 'pos' then 'pos' when 'web' then 'web' when 'shopify_draft_order' then 'draft' when '3890849' then 'app' else 'other' end"
+SRC = "case trim(source_name) when 'pos' then 'pos' when 'web' then 'web' when 'shopify_draft_order' then 'draft' when '3890849' then 'app' else 'other' end"
 
 
 @query(B + f"select id, {HMAC} as customer, {SRC} as source, split_part(customer_id, '/', 5)::bigint as number from ordr")
@@ -205,23 +205,62 @@ def hash_customer(spark, sf):
     return o.select("id", fn.hash_customer(F.col("customer_id"), SALT).alias("customer"), fn.coarse_source(F.col("source_name")).alias("source"), fn.gid_number(F.col("customer_id")).alias("number"))
 
 
-ANON = f", kept as (select *, row_number() over (order by date, id) as order_id from ordr where id in (select id from mrg))"
+ANON = f", kept as (select *, row_number() over (order by created_at, id) as order_id from ordr where id in (select id from mrg))"
 
 
-@query(B + ANON + f" select order_id, date, {SRC} as source, {HMAC} as customer, split_part(m.variant_id, '/', 5)::bigint as variant_id, m.quantity from kept join mrg m on m.id = kept.id")
+@query(B + ANON + f" select order_id, date, {SRC} as source, {HMAC} as customer, split_part(m.variant_id, '/', 5)::bigint as variant_id, split_part(m.product_id, '/', 5)::bigint as product_id, m.quantity from kept join mrg m on m.id = kept.id")
 def anonymize_orders(spark, sf):
     rows = clean.anonymize(clean.clean_orders(testdata.raw_orders(spark, sf), EMAILS), SALT)
-    return rows.select("order_id", "date", "source", "customer", F.inline("items")).select("order_id", "date", "source", "customer", "variant_id", "quantity")
+    return rows.select("order_id", "date", "source", "customer", F.inline("items")).select("order_id", "date", "source", "customer", "variant_id", "product_id", "quantity")
 
 
-@query(B + "select * from (values ('source', 0::bigint), ('customer', 0), ('items', 0), ('quantity', 0), ('email', 0), ('date', 0)) as t(rule, violations)")
+@query(B + """, who as (select product_id, arg_min(list_reverse_sort(tags), variant_id) as tags, min(status) as status from products group by 1)
+select variant_id, p.product_id, 'Product ' || p.product_id || case variant_id % 3 when 2 then ' - ' || title else '' end as title, list_sort(w.tags) as tags, price, created_at, w.status, null::varchar as image_url from products p join who w using (product_id)""")
+def flatten_products(spark, sf):
+    """Snapshot rows of a raw catalog: one a variant."""
+    p = testdata.products(spark, sf).withColumn("day", F.concat(F.col("created_at").cast("string"), F.lit("T10:00:00Z")))
+    gid = lambda kind, c: F.concat(F.lit(f"gid://shopify/{kind}/"), F.col(c).cast("string"))
+    name = F.when(F.col("variant_id") % 3 == 0, "Default Title").when(F.col("variant_id") % 3 == 1, "").otherwise(F.col("title"))
+    v = F.struct(gid("ProductVariant", "variant_id").alias("id"), name.alias("title"), "price", F.col("day").alias("created_at"))
+    raw = p.groupBy("product_id").agg(F.collect_list(v).alias("variants"), F.min_by(F.sort_array("tags", asc=False), "variant_id").alias("tags"), F.min("status").alias("status"))
+    raw = raw.select(gid("Product", "product_id").alias("id"), F.concat(F.lit("Product "), F.col("product_id").cast("string")).alias("title"), "tags", "status", F.lit(None).cast("string").alias("image_url"), "variants")
+    return clean.snapshot_products(raw)
+
+
+def snapshot(spark, sf) -> DataFrame:
+    return clean.anonymize(clean.clean_orders(testdata.raw_orders(spark, sf), EMAILS), SALT)
+
+
+@query(B + ANON + f""", sn as (select order_id, date, {SRC} as source, {HMAC} as customer from kept)
+select 'columns' as rule, 0::bigint as violations union all select 'source', count(*) filter (where source not in ('pos', 'web', 'app', 'draft', 'other')) from sn union all
+select 'customer', count(*) filter (where not regexp_full_match(customer, '[0-9a-f]{{16}}')) from sn union all select 'items', count(*) filter (where id not in (select id from mrg)) from kept union all
+select 'quantity', count(distinct id) filter (where quantity < 1) from mrg union all select 'email', count(distinct id) filter (where regexp_matches(title, '[a-z]+@[a-z]+[.]')) from mrg union all select 'date', count(*) filter (where date is null) from sn""")
 def audit_fields(spark, sf):
-    return clean.audit(clean.anonymize(clean.clean_orders(testdata.raw_orders(spark, sf), EMAILS), SALT))
+    return clean.audit(snapshot(spark, sf))
+
 
+@query(B + ANON + "".join(f"{' union all' if k else ''} select '{rule}' as rule, " + ("1::bigint" if rule == "columns" else f"count(*) filter (where order_id % 50 = {k})") + " as violations from " + ("(select 1)" if rule == "columns" else "kept") for k, rule in enumerate(["columns", "source", "customer", "items", "quantity", "email", "date"])))
+def audit_violations(spark, sf):
+    """The audit of a snapshot with planted faults, one kind in every fiftieth order, and one column too many."""
+    at = lambda k: F.col("order_id") % 50 == k
+    items = F.transform("items", lambda i: i.withField("quantity", F.when(at(4), 0).otherwise(i["quantity"])).withField("title", F.when(at(5), "ask me@example.com").otherwise(i["title"])))
+    rows = snapshot(spark, sf).withColumns({"source": F.when(at(1), "fax").otherwise(F.col("source")), "customer": F.when(at(2), "Jane").otherwise(F.col("customer")), "items": F.when(at(3), F.slice(items, 1, 0)).otherwise(items), "date": F.when(~at(6), F.col("date"))})
+    return clean.audit(rows.withColumn("note", F.lit("x")))
 
-@query("select true as gap_free, 0::bigint as dates_back")
+
+SEQ = "select count(*) = count(distinct order_id) and min(order_id) = 1 and max(order_id) = count(*) as gap_free, (select count(*) from sq x join sq y on y.order_id = x.order_id + 1 where x.date > y.date) as dates_back from sq"
+
+
+@query(B + ANON + f", sq as (select order_id, date from kept) {SEQ}")
 def audit_sequence(spark, sf):
-    return clean.audit_sequence(clean.anonymize(clean.clean_orders(testdata.raw_orders(spark, sf), EMAILS), SALT))
+    return clean.audit_sequence(snapshot(spark, sf))
+
+
+@query(B + ANON + f", sq as (select order_id, case when order_id % 100 = 50 then date + 400 else date end as date from kept where order_id <> 5) {SEQ}")
+def audit_sequence_violations(spark, sf):
+    """A snapshot with a missing id, and dates that go back."""
+    day = F.when(F.col("order_id") % 100 == 50, F.date_add("date", 400)).otherwise(F.col("date"))
+    return clean.audit_sequence(snapshot(spark, sf).where("order_id <> 5").withColumn("date", day))
 
 
 # ---- profile ---------------------------------------------------------------------------------
@@ -231,13 +270,13 @@ cu as (select customer, count(*) as n from po where customer is not null group b
 so as (select variant_id, count(*) as n, sum(quantity) as units, min(date) as first from lines group by 1),
 st as (select max(date) - 90 as d from lines), mo as (select strftime(date, '%Y-%m') as m, count(*) as n from po group by 1)
 select label, round(value::double, 6) as value from (values
-('orders', (select count(*) from po)::double), ('months', (select count(*) from mo)), ('customer_share', (select count(customer) / count(*) from po)),
+('orders', (select count(*) from po)::double), ('first_date', (select strftime(min(date), '%Y%m%d')::double from po)), ('last_date', (select strftime(max(date), '%Y%m%d')::double from po)), ('months', (select count(*) from mo)), ('customer_share', (select count(customer) / count(*) from po)),
 ('customer_share_pos', (select count(customer) / count(*) from po where source = 'pos')), ('multi_item_orders', (select count(*) from po where variants >= 2)),
 ('customers', (select count(*) from cu)), ('customers_2', (select count(*) from cu where n >= 2)), ('customers_5', (select count(*) from cu where n >= 5)),
 ('variants_sold', (select count(*) from so)), ('sold_once_share', (select count(*) filter (where n = 1) / count(*) from so)),
 ('top20_share', (select sum(units) from (select units from so order by units desc limit 20)) / (select sum(units) from so)),
-('cold_share', (select count(*) filter (where so.first > st.d) / count(*) from lines join so using (variant_id), st where lines.date > st.d)),
-('catalog', (select count(*) from products)), ('tag_coverage', 1.0), ('tags', (select count(distinct t) from (select unnest(tags) as t from products))),
+('cold_share', (select count(*) filter (where so.first >= st.d) / count(*) from lines join so using (variant_id), st where lines.date >= st.d)),
+('catalog', (select count(*) from products)), ('tag_coverage', (select count(*) filter (where len(tags) > 0) / count(*) from products)), ('tags', (select count(distinct t) from (select unnest(tags) as t from products))),
 ('sold_in_catalog', (select count(*) from so where variant_id in (select variant_id from products))),
 ('orders_per_month_median', (select list_sort(list(n))[(count(*) // 2) + 1] from mo)), ('units_median', (select list_sort(list(units))[(count(*) // 2) + 1] from po))) as t(label, value)"""
 
@@ -473,7 +512,7 @@ def segments(spark, sf):
 
 STEPS = " + ".join(f"case when u >= {x!r} then 1 else 0 end" for x in evaluate.poisson_steps())
 BOOT = """, bb as (select order_id, sum({v}) as s, count(*) as n from {t} group by 1),
-re as (select order_id, s, n, r, ('0x' || substr(md5(order_id || '-' || r || '-0'), 1, 8))::bigint / 4294967296.0 as u from bb, range(0, 200) t(r)),
+re as (select order_id, s, n, r, ('0x' || substr(md5(order_id || '-' || r || '-0'), 1, 8))::bigint / 4294967296.0 as u from bb, range(0, 1000) t(r)),
 me as (select r, sum(w * s) / sum(w * n) as m from (select *, """ + STEPS + """ as w from re) group by r having sum(w * n) > 0),
 bt as (select round((select sum(s) / sum(n) from bb), 6) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from me)"""
 

@@ -6,13 +6,14 @@ TRAIN_END, VAL_END = "2000-12-31", "2001-04-30"
 
 #: One row a raw order line, with the fields of its order.
 RAW = """
-select o_orderkey as id, cast(o_orderdate as date) as date, o_orderkey % 97 = 0 as test,
+select o_orderkey as id, cast(o_orderdate as date) as date, concat(cast(cast(o_orderdate as date) as varchar(10)), 'T', case when o_orderkey % 24 < 10 then '0' else '' end, cast(o_orderkey % 24 as varchar(2)), ':00:00Z') as created_at, o_orderkey % 97 = 0 as test,
   case when o_orderstatus = 'P' and o_orderkey % 10 = 3 then '2001-01-01T00:00:00Z' else '' end as cancelled_at,
   case substr(o_orderpriority, 1, 1) when '2' then 'pos' when '1' then 'web' when '3' then '3890849' when '4' then 'shopify_draft_order' else 'subscription' end as source_name,
   concat('customer', cast(o_custkey as varchar(20)), '@Example.com') as email,
   case when o_orderkey % 3 <> 0 then concat('gid://shopify/Customer/', cast(o_custkey as varchar(20))) end as customer_id,
   row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) as pos,
   case when l_suppkey % 11 <> 0 then concat('gid://shopify/ProductVariant/', cast(l_partkey as varchar(20))) end as variant_id,
+  concat('gid://shopify/Product/', cast(cast(floor(l_partkey / 4) as bigint) as varchar(20))) as product_id,
   case when l_partkey % 89 = 5 then ' Tip ' else concat('Item ', cast(l_partkey as varchar(20))) end as title,
   cast(l_quantity as int) as quantity,
   case when l_returnflag <> 'R' then 0 when l_discount >= 0.08 then cast(l_quantity as int) else cast(floor(l_quantity / 2) as int) end as refunded,
@@ -58,6 +59,6 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines nested in order of ``pos``."""
     from pyspark.sql import functions as F
 
-    line = F.struct("pos", "variant_id", "title", "quantity", "refunded", "unit_price")
-    head = ["id", "date", "test", "cancelled_at", "source_name", "email", "customer_id"]
+    line = F.struct("pos", "variant_id", "product_id", "title", "quantity", "refunded", "unit_price")
+    head = ["id", "date", "created_at", "test", "cancelled_at", "source_name", "email", "customer_id"]
     return view(spark, sf_dir, RAW).groupBy(*head).agg(F.array_sort(F.collect_list(line)).alias("line_items"))

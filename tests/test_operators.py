@@ -9,14 +9,15 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from nextbasket import functions as fn
-from nextbasket.operators import clean, evaluate, models, serve, sweep
+from nextbasket.operators import clean, evaluate, models, profile, serve, sweep
 
-LINE = "array<struct<pos:int,variant_id:string,title:string,quantity:int,refunded:int,unit_price:double>>"
-SCHEMA = f"id long, date date, test boolean, cancelled_at string, source_name string, email string, customer_id string, line_items {LINE}"
+LINE = "array<struct<pos:int,variant_id:string,product_id:string,title:string,quantity:int,refunded:int,unit_price:double>>"
+SCHEMA = f"id long, created_at string, test boolean, cancelled_at string, source_name string, email string, customer_id string, line_items {LINE}"
 
 
 def orders(spark, *rows):
-    return spark.createDataFrame([(k, date(2026, 1, k), *r[:2], "pos", r[2], "c1", r[3]) for k, r in enumerate(rows, 1)], SCHEMA)
+    lines = lambda own: [(p, v, "gid://shopify/Product/7", *x) for p, v, *x in own]
+    return spark.createDataFrame([(k, f"2026-01-{k:02}T09:00:00Z", *r[:2], "pos", r[2], "c1", lines(r[3])) for k, r in enumerate(rows, 1)], SCHEMA)
 
 
 def stats(df):
@@ -36,7 +37,7 @@ def test_cleaning_counts(spark):
     got = stats(df)
     assert got["orders_in"] == 6 and got["orders_out"] == 2 and got["dropped_order_no_lines_left"] == 1
     assert got["dropped_test_order"] == got["dropped_cancelled_order"] == got["dropped_excluded_email_order"] == 1
-    assert got["partially_refunded_line"] == 1 and got["dropped_line_refunded"] == 1 and got["merged_duplicate_line"] == 1
+    assert got["lines_partially_refunded"] == 1 and got["dropped_line_fully_refunded"] == 1 and got["lines_merged_duplicate_variant"] == 1
     assert all(r.holds for r in clean.identity(clean.clean_stats(df, ["owner@example.com"])).collect())
     first = {r.id: r["items"] for r in clean.clean_orders(df, ["owner@example.com"]).collect()}[1]
     assert [(i.title, i.quantity) for i in first] == [("Thing", 3)]
@@ -114,3 +115,36 @@ def test_ranks_with_a_prior_equal_a_full_list(spark):
 def test_configurations():
     names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
     assert len(names) == len(set(names)) == 43
+
+
+def test_sources_and_tokens(spark):
+    names = ["pos", " web ", "shopify_draft_order", "3890849", "subscription_contract_checkout_one", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "k int, n string").orderBy("k").select(fn.coarse_source(F.col("n")).alias("s")).collect()
+    assert [r.s for r in rows] == ["pos", "web", "draft", "app", "other", "other"]
+    df = spark.createDataFrame([("Thor SDCC", [" Marvel ", " "], 12.0)], "t string, g array<string>, p double")
+    assert df.select(fn.item_tokens(F.col("t"), F.col("g"), F.col("p")).alias("x")).first().x == ["kw:convention", "price:10-15", "tag:marvel"]
+
+
+def test_ids_follow_the_time_of_creation(spark):
+    rows = [(1, "2026-02-01T08:00:00Z", "10"), (2, "2026-01-01T23:00:00Z", "10"), (3, "2026-01-01T01:00:00Z", "gid://shopify/ProductVariant/11")]
+    line = lambda v: [(1, v, "gid://shopify/Product/9", "T", 1, 0, 1.0)]
+    df = spark.createDataFrame([(k, c, False, None, "web", None, None, line(v)) for k, c, v in rows], SCHEMA)
+    got = clean.anonymize(clean.clean_orders(df, []), b"salt").orderBy("order_id").collect()
+    assert [str(r.date) for r in got] == ["2026-01-01", "2026-01-01", "2026-02-01"] and got[0]["items"][0].asDict() == {"variant_id": 11, "product_id": 9, "title": "T", "quantity": 1, "unit_price": 1.0}
+    assert list(got[0].asDict()) == clean.COLUMNS
+
+
+def test_snapshot_products(spark):
+    kind = "id string, title string, tags array<string>, status string, image_url string, variants array<struct<id:string,title:string,price:double,created_at:string>>"
+    df = spark.createDataFrame([("g/P/5", "Bag", ["b", "a"], "ACTIVE", None, [("g/V/1", "Default Title", 1.0, "2026-03-01T00:00:00Z"), ("g/V/2", "Red", 2.0, "2026-03-01T00:00:00Z")]), ("g/P/6", "Cap", None, None, None, [])], kind)
+    got = clean.snapshot_products(df).orderBy("variant_id").collect()
+    assert [(r.variant_id, r.product_id, r.title, r.tags, str(r.created_at)) for r in got] == [(1, 5, "Bag", ["a", "b"], "2026-03-01"), (2, 5, "Bag - Red", ["a", "b"], "2026-03-01")]
+
+
+def test_profile(spark):
+    lines = [(1, date(2026, 1, 1), "pos", None, 1, 1), (2, date(2026, 2, 1), "web", "c1", 1, 1), (2, date(2026, 2, 1), "web", "c1", 2, 2), (3, date(2026, 3, 1), "web", "c1", 3, 1)]
+    lines = spark.createDataFrame(lines, "order_id long, date date, source string, customer string, variant_id long, quantity int")
+    products = spark.createDataFrame([(1, ["x"]), (2, [])], "variant_id long, tags array<string>")
+    got = {r.label: r.value for r in profile.report(lines, products, 28).collect()}
+    want = {"orders": 3, "first_date": 20260101, "last_date": 20260301, "months": 3, "multi_item_orders": 1, "customers": 1, "customers_2": 1, "variants_sold": 3, "tag_coverage": 0.5, "cold_share": 2 / 3}
+    assert {k: got[k] for k in want} == {k: round(v, 6) for k, v in want.items()} and got["sold_once_share"] == round(2 / 3, 6) and got["sold_in_catalog"] == 2
