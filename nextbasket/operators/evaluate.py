@@ -176,6 +176,21 @@ def gates(board: DataFrame, limits: DataFrame) -> DataFrame:
     return limits.join(board, "name", "left").select("name", F.coalesce("value", F.lit(0.0)).alias("value"), "least", (F.coalesce("value", F.lit(0.0)) >= F.col("least")).alias("passes"))
 
 
+def gate_values(rows: DataFrame, base: DataFrame, cover: DataFrame) -> DataFrame:
+    """``(name, value)`` of the gated figures of ``rows``; the lift is over the hit10 of ``base`` on the same queries."""
+    cold = F.coalesce(F.avg(F.when(~F.col("warm"), F.col("hit10"))), F.lit(0.0))
+    one = rows.agg(F.avg("hit10").alias("hit10"), cold.alias("cold_hit10"), F.avg(F.when(F.col("n_scored") > 0, 1.0).otherwise(0.0)).alias("answered"), F.count(F.lit(1)).alias("queries"))
+    lift = rows.select(*KEYS, "hit10").join(base.select(*KEYS, F.col("hit10").alias("b")), KEYS).agg(F.avg(F.col("hit10") - F.col("b")).alias("lift_hit10"))
+    row = one.join(lift).join(cover.select("coverage10"))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in row.columns])))
+
+
+def date_gates(spark, dates: list[tuple[str, str, str]]) -> DataFrame:
+    """``(name, value, least, passes)`` of dates that must equal those agreed, as yyyymmdd."""
+    number = lambda x: float(x.replace("-", ""))
+    return spark.createDataFrame([(n, number(a), number(b), a == b) for n, a, b in dates], "name string, value double, least double, passes boolean")
+
+
 def drift(fresh: DataFrame, committed: DataFrame, tol: float = 1e-9, metric: str = "hit10") -> DataFrame:
     """Whether a fresh run gives the committed values again; a missing model fails."""
     rows = committed.select("model", F.col(metric).alias("was")).join(fresh.select("model", F.col(metric).alias("now")), "model", "left")

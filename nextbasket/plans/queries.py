@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import clean, evaluate, models, profile, serve
+from ..operators import clean, evaluate, models, profile, serve, sweep
 from ..sources import jsonl, nodes, scratch, testdata
 
 EMAILS = ["customer7@example.com", "Customer11@example.com", "customer42@example.com"]
@@ -428,21 +428,28 @@ HYB = (
     B + ATTR + PQ + """, sa as (select order_id, target, v.variant_id, sum(qg.q * v.w) as score from (select order_id, target, g as token, sum(q * m) as q from qp join (select * from pm where n >= 5 and m > 0) p on p.f = qp.token group by 1, 2, 3) qg join vec v using (token) group by 1, 2, 3),
 sk as (select order_id, target, v.variant_id, sum(q * w) as score from qp join vec v using (token) group by 1, 2, 3),
 un as (select order_id, target, variant_id, 1.0 * score / max(score) over (partition by order_id, target) as score from sa union all select order_id, target, variant_id, 1.0 * score / max(score) over (partition by order_id, target) from sk union all select order_id, target, variant_id, 0.5 * score / max(score) over (partition by order_id, target) from sc),
-hy as (select order_id, target, variant_id, sum(score) as score from un group by 1, 2, 3)
+hy as (select order_id, target, variant_id, sum(score) as score from un group by 1, 2, 3),
+tie as (select variant_id, sum(quantity)::double / max(sum(quantity)) over () as u from parts where part <> 'test' group by 1)
 """
 )
 
 
-def hybrid(d: Data) -> DataFrame:
+def served(d: Data) -> DataFrame:
+    """``(order_id, target, variant_id, attr, content, item)``: parts of the blend, weighted, fitted on ``d.fit``."""
     x = d.vectors()
     pmi = models.ppmi(models.attr_counts(d.fit, models.tokens(d.products)))
-    sparse = evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim")
-    return evaluate.blend([(1.0, evaluate.score_attr(d.queries, x, pmi)), (1.0, evaluate.score_content(d.queries, x)), (0.5, sparse)])
+    item = evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim")
+    return sweep.shares(evaluate.score_attr(d.queries, x, pmi), evaluate.score_content(d.queries, x), item).withColumn("item", 0.5 * F.col("item"))
 
 
-@query(HYB + "select order_id, target, count(*) as n, round(max(score), 5) as best, round(sum(score), 3) as total from hy group by 1, 2")
+BLEND = "attr + content + item"
+
+
+@query(HYB + "select order_id, target, count(*) as n, round(max(score + 1e-6 * coalesce(u, 0)), 5) as best, round(sum(score + 1e-6 * coalesce(u, 0)), 3) as total from hy left join tie using (variant_id) group by 1, 2")
 def hybrid_score(spark, sf):
-    s = hybrid(Data(spark, sf))
+    """The weighted blend with ties broken by popularity."""
+    d = Data(spark, sf)
+    s = served(d).join(sweep.units_shares(d.fit_lines).select("variant_id", "u"), "variant_id", "left").withColumn("score", F.expr(f"{BLEND} + {sweep.TIE!r}D * coalesce(u, 0)"))
     return s.groupBy(*evaluate.KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
@@ -496,10 +503,27 @@ def summary_copurchase(spark, sf):
     return r6(evaluate.summary(d.ranks(models.mirrored(models.pairs(d.fit)), "n"), "copurchase"), *MEANS)
 
 
-@query()
+
+#: Ranks of the blend over every candidate, and its metrics, as SQL. Scores are compared at 1e-10.
+HYBRID_RANKS = """, al as (select q.order_id, q.target, a.variant_id, round(coalesce(s.score, 0) + 1e-6 * coalesce(t.u, 0), 10) as qs from loo q join avail a on a.available_from <= q.date and not list_contains(q.context, a.variant_id)
+  left join hy s on s.order_id = q.order_id and s.target = q.target and s.variant_id = a.variant_id left join tie t on t.variant_id = a.variant_id),
+own2 as (select order_id, target, qs as qt from al where variant_id = target),
+hr as (select order_id, target, count(*) filter (where qs > 0) as n_scored, (count(*) filter (where qs > qt) + 1 + ((count(*) filter (where qs = qt)) - 1) / 2)::double as rank from al join own2 using (order_id, target) group by 1, 2),
+hm as (select hr.*, q.source, len(q.context) as context_size, q.target in (select variant_id from parts where part <> 'test') as warm, case when rank <= 5 then 1.0 else 0.0 end::double as hit5, case when rank <= 10 then 1.0 else 0.0 end::double as hit10, case when rank <= 10 then 1 / log2(rank + 1) else 0 end::double as ndcg10, 1 / rank as rr from hr join loo q using (order_id, target))
+"""
+
+
+def hybrid_rows(d: Data) -> DataFrame:
+    """Metric rows of the served blend on the held-out queries."""
+    which = {"hybrid": (BLEND, f"{sweep.TIE!r}D * u")}
+    rows = sweep.ranks(d.queries, served(d), sweep.units_shares(d.fit_lines), d.available, which)
+    seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("warm", F.lit(True))
+    return evaluate.metrics(rows).join(seen, "target", "left").na.fill(False, ["warm"])
+
+
+@query(HYB + HYBRID_RANKS + SUM.format(m="hybrid").replace("from met", "from hm"))
 def summary_hybrid(spark, sf):
-    d = Data(spark, sf)
-    return r6(evaluate.summary(d.ranked(hybrid(d)), "hybrid"), *MEANS)
+    return r6(evaluate.summary(hybrid_rows(Data(spark, sf)), "hybrid"), *MEANS)
 
 
 @query(B + """select 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment, count(*) as n, round(avg(hit10), 6) as hit10 from met group by 1, 2
@@ -523,14 +547,34 @@ def bootstrap_ci(spark, sf):
     return r6(evaluate.bootstrap(d.ranks(models.itemitem(d.fit), "sim"), "rr"), "mean", "lo", "hi")
 
 
-@query()
+# ranks of the pair counts beside those of the item-item model
+TWO = B + """, sc2 as (select q.order_id, q.target, m.c as variant_id, sum(m.n) as score from (select order_id, target, unnest(context) as a from loo) q join mir m on m.a = q.a group by 1, 2, 3),
+cand2 as (select s.order_id, s.target, s.variant_id, s.score as qs from sc2 s join loo q on q.order_id = s.order_id and q.target = s.target join avail a on a.variant_id = s.variant_id where a.available_from <= q.date and not list_contains(q.context, s.variant_id)),
+agg2 as (select c.order_id, c.target, count(*) as n_scored, max(t.qs) as qt, count(*) filter (where c.qs > t.qs) as above, count(*) filter (where c.qs = t.qs) as same
+  from cand2 c left join cand2 t on t.order_id = c.order_id and t.target = c.target and t.variant_id = c.target group by 1, 2),
+met2 as (select q.order_id, q.target, 1 / (case when qt is not null then above + 1 + (same - 1) / 2 else coalesce(n_scored, 0) + 1 + (n_universe - len(q.context) - coalesce(n_scored, 0) - 1) / 2 end)::double as rr from loo q left join agg2 using (order_id, target) join uon using (date)),
+df as (select order_id, x.rr - y.rr as d from met x join met2 y using (order_id, target))"""
+
+
+@query(TWO + BOOT.format(v="d", t="df") + "select mean, lo, hi, lo > 0 or hi < 0 as distinguishable from bt")
 def paired_lift(spark, sf):
     d = Data(spark, sf)
     a, b = d.ranks(models.itemitem(d.fit), "sim"), d.ranks(models.mirrored(models.pairs(d.fit)), "n")
     return r6(evaluate.paired_lift(a, b, "rr"), "mean", "lo", "hi")
 
 
-@query()
+FOUR = [(f, s) for f in ("cosine", "lift") for s in (0.0, 5.0)]
+WINNER = B + "".join(
+    f""", e{k} as (select m.a, m.c, {'m.n / (sqrt(x.n * y.n) + ' + repr(sh) + ')' if f == 'cosine' else 'm.n / (m.n + ' + repr(sh) + ') * m.n * (select count(*) from fit) / (x.n * y.n)'} as w from mir m join own x on x.v = m.a join own y on y.v = m.c),
+c{k} as (select s.order_id, s.target, s.variant_id, floor(s.score * 1e12 + 0.5)::bigint as qs from (select q.order_id, q.target, e.c as variant_id, sum(e.w) as score from (select order_id, target, unnest(context) as a from loo) q join e{k} e on e.a = q.a group by 1, 2, 3) s
+  join loo q on q.order_id = s.order_id and q.target = s.target join avail a on a.variant_id = s.variant_id where s.score > 0 and a.available_from <= q.date and not list_contains(q.context, s.variant_id)),
+g{k} as (select c.order_id, c.target, count(*) as n_scored, max(t.qs) as qt, count(*) filter (where c.qs > t.qs) as above, count(*) filter (where c.qs = t.qs) as same from c{k} c left join c{k} t on t.order_id = c.order_id and t.target = c.target and t.variant_id = c.target group by 1, 2),
+b{k} as (select '{f}' as family, '{f}-{sh:g}' as model, {k} as position, avg(case when (case when qt is not null then above + 1 + (same - 1) / 2 else coalesce(n_scored, 0) + 1 + (n_universe - len(q.context) - coalesce(n_scored, 0) - 1) / 2 end) <= 10 then 1.0 else 0.0 end) as hit10 from loo q left join g{k} using (order_id, target) join uon using (date))"""
+    for k, (f, sh) in enumerate(FOUR)
+) + " select family, model, position, round(hit10, 6) as hit10 from (select *, row_number() over (partition by family order by hit10 desc, position) as r from (" + " union all ".join(f"select * from b{k}" for k in range(4)) + ")) where r = 1"
+
+
+@query(WINNER)
 def family_winner(spark, sf):
     """Item-item variants on the same queries; the best of each family."""
     d, board = Data(spark, sf), None
@@ -540,13 +584,21 @@ def family_winner(spark, sf):
     return r6(evaluate.winner(board), "hit10")
 
 
-@query(B + "select name, round(value, 6) as value, least, value >= least as passes from (select 'hit10' as name, avg(hit10) as value, 0.1::double as least from met union all select 'answered', avg(case when n_scored > 0 then 1.0 else 0.0 end), 0.5 from met union all select 'queries', count(*), 500 from met)")
+LIMITS = [("hit10", 0.1), ("lift_hit10", 0.0), ("cold_hit10", 0.0), ("coverage10", 0.15), ("answered", 0.5), ("queries", 500.0)]
+DATES = [("train_end", testdata.TRAIN_END, "2000-12-31"), ("val_end", testdata.VAL_END, "2001-04-01")]
+
+
+@query(TWO.replace("1 / (case when qt", "(case when qt").replace("::double as rr from loo q left join agg2", "::double as rank2 from loo q left join agg2").replace("select order_id, x.rr - y.rr as d", "select order_id, x.hit10 - (case when y.rank2 <= 10 then 1 else 0 end) as d") + TOP + """, va as (select 'hit10' as name, avg(hit10) as value from met union all select 'lift_hit10', avg(d) from df union all select 'cold_hit10', coalesce(avg(hit10) filter (where not warm), 0) from met
+union all select 'coverage10', count(distinct variant_id) / (select arg_max(n_universe, date) from uon) from tk union all select 'answered', avg(case when n_scored > 0 then 1.0 else 0.0 end) from met union all select 'queries', count(*) from met)
+select name, round(value, 6) as value, least, value >= least as passes from va join (values """ + ", ".join(f"('{n}', {x!r}::double)" for n, x in LIMITS) + """) l(name, least) using (name) union all
+select * from (values """ + ", ".join(f"('{n}', {a.replace('-', '')}::double, {b.replace('-', '')}::double, {str(a == b).lower()})" for n, a, b in DATES) + ")")
 def gates(spark, sf):
+    """Six floors and the two dates of the split (as yyyymmdd, which must be equal); the second date is planted to fail."""
     d = Data(spark, sf)
-    s = evaluate.summary(d.ranks(models.itemitem(d.fit), "sim"), "itemitem")
-    board = s.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in (("hit10", "hit10"), ("answered", "answered"), ("queries", "n_queries"))])))
-    limits = spark.createDataFrame([("hit10", 0.1), ("answered", 0.5), ("queries", 500.0)], "name string, least double")
-    return r6(evaluate.gates(board, limits), "value")
+    rows, base = d.ranks(models.itemitem(d.fit), "sim"), d.ranks(models.mirrored(models.pairs(d.fit)), "n")
+    board = evaluate.gate_values(rows, base, evaluate.coverage(top10(d), models.universe_on(d.available, d.queries.select("date"))))
+    limits = spark.createDataFrame(LIMITS, "name string, least double")
+    return r6(evaluate.gates(board, limits).union(evaluate.date_gates(spark, DATES)), "value")
 
 
 # ---- serving ---------------------------------------------------------------------------------
@@ -562,12 +614,32 @@ def stock_filter(spark, sf):
     return catalog(Data(spark, sf)).select("variant_id", "in_stock")
 
 
-@query(B + """select order_id, target, slot, variant_id, round(score, 6) as score from (select s.*, row_number() over (partition by s.order_id, s.target order by round(s.score, 9) desc, s.variant_id)::int as slot
-from sc s join loo q on q.order_id = s.order_id and q.target = s.target join products p on p.variant_id = s.variant_id join avail a on a.variant_id = s.variant_id
-where p.status = 'ACTIVE' and coalesce(p.stock > 0, false) and a.available_from <= q.date and not list_contains(q.context, s.variant_id)) where slot <= 10""")
+#: The blend fitted on every order, for each basket: all sellable candidates in order.
+SERVE = HYB.replace("fit as (select * from bask where part <> 'test')", "fit as (select * from bask)").replace("from parts where part <> 'test' group by 1)\n", "from parts group by 1)\n") + """, pa as (select order_id, target, variant_id, score / max(score) over (partition by order_id, target) as attr, 0::double as content, 0::double as item from sa union all
+select order_id, target, variant_id, 0::double, score / max(score) over (partition by order_id, target), 0::double from sk union all select order_id, target, variant_id, 0::double, 0::double, 0.5 * score / max(score) over (partition by order_id, target) from sc),
+wd as (select order_id, target, variant_id, sum(attr) as attr, sum(content) as content, sum(item) as item from pa group by 1, 2, 3),
+ok as (select q.order_id, q.target, p.variant_id, coalesce(w.attr, 0) as attr, coalesce(w.content, 0) as content, coalesce(w.item, 0) as item, coalesce(t.u, 0) as u
+from loo q join avail a on a.available_from <= q.date join products p on p.variant_id = a.variant_id and p.status = 'ACTIVE' and coalesce(p.stock > 0, false) and not list_contains(q.context, p.variant_id)
+left join wd w on w.order_id = q.order_id and w.target = q.target and w.variant_id = p.variant_id left join tie t on t.variant_id = p.variant_id)"""
+
+
+def served_on_all(d: Data) -> DataFrame:
+    """Parts of the blend fitted on all orders, with ``u``, for the baskets of ``d.queries``."""
+    full = Data.__new__(Data)
+    full.__dict__.update(d.__dict__)
+    full.fit_lines, full.fit = d.lines, models.baskets(d.parts)
+    return served(full)
+
+
+def units(lines: DataFrame) -> DataFrame:
+    return sweep.units_shares(lines).select("variant_id", "u")
+
+
+@query(SERVE + " select order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10")
 def recommend(spark, sf):
+    """Ten items for every basket, by the blend fitted on all orders; items without a score follow by popularity."""
     d = Data(spark, sf)
-    return serve.recommend(d.queries, evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim"), catalog(d))
+    return serve.recommend(d.queries, served_on_all(d).withColumn("score", F.expr(BLEND)), catalog(d), prior=units(d.lines).withColumn("prior", F.col("u") * sweep.TIE))
 
 
 @query(B + "select t.term, slot, variant_id, title from (select t.term, p.variant_id, p.title, row_number() over (partition by t.term order by strpos(lower(p.title), lower(t.term)), p.title, p.variant_id)::int as slot from products p join (values ('red'), ('Ex'), ('glow'), ('x')) t(term) on strpos(lower(p.title), lower(t.term)) > 0 where p.status = 'ACTIVE' and length(t.term) >= 2) t where slot <= 8")
