@@ -191,7 +191,9 @@ def date_gates(spark, dates: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame([(n, number(a), number(b), a == b) for n, a, b in dates], "name string, value double, least double, passes boolean")
 
 
-def drift(fresh: DataFrame, committed: DataFrame, tol: float = 1e-9, metric: str = "hit10") -> DataFrame:
-    """Whether a fresh run gives the committed values again; a missing model fails."""
-    rows = committed.select("model", F.col(metric).alias("was")).join(fresh.select("model", F.col(metric).alias("now")), "model", "left")
-    return rows.select("model", F.coalesce(F.abs(F.col("now") - F.col("was")) <= tol, F.lit(False)).alias("same"))
+def drift(fresh: DataFrame, stored: DataFrame, tol: float = 1e-9, metrics: tuple[str, ...] = ("hit10", "ndcg10")) -> DataFrame:
+    """``(model, metric, value, same)``: do a fresh run's means agree with the stored ones? A model that is not stored fails."""
+    was = stored.select("model", F.lit(True).alias("known"), *[F.col(m).alias(f"was_{m}") for m in metrics])
+    one = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), (F.abs(F.col(m) - F.col(f"was_{m}")) <= tol).alias("same")) for m in metrics]
+    none = F.struct(F.lit("present").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("same"))
+    return fresh.join(was, "model", "left").select("model", F.inline(F.when(F.col("known"), F.array(*one)).otherwise(F.array(none))))

@@ -11,7 +11,7 @@ from .. import functions as fn
 from ..operators import evaluate, models, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
-from .queries import ATTR, B, COUNTS, HYB, PQ, Data, catalog, query, r6
+from .queries import ATTR, B, BLEND, COUNTS, PQ, SERVE, STEPS, Data, catalog, query, r6, served_on_all, units
 
 MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
 
@@ -158,41 +158,75 @@ def sweep_validation(spark, sf):
     return r6(rows.join(best, "family").withColumn("wins", F.col("model") == F.col("best")).drop("best"), *MEANS)
 
 
-NAMED = ["popularity(hl=30d)", "copurchase(min_support=3)", "copurchase(min_support=1)", "itemitem(cosine, shrink=5)", "content_cosine", "attr_cooccurrence(min_count=5)"]
-SERVED, BASE = "hybrid(attr=1, content=1, item=0.5)", "copurchase(min_support=3)"
+BASE, ALWAYS = "copurchase(min_support=3)", ["copurchase(min_support=3)", "copurchase(min_support=1)"]
 
 
-def refitted(spark, sf) -> DataFrame:
-    """Metric rows of the named models and the served blend, fitted on all but the last part."""
-    w = Window(spark, Data(spark, sf), ["train", "val"], "test")
-    one, mixed, _ = w.all_ranks(NAMED, [SERVED], ("attr5", "cosine5"))
-    return evaluate.metrics(kept(spark, one.union(mixed))).join(F.broadcast(w.seen), "target", "left").na.fill(False, ["warm"])
+def refitted(spark, sf) -> tuple[DataFrame, str]:
+    """Metric rows of the winners of the sweep and of the fixed models, fitted on all but the last part; and the served blend."""
+    d = Data(spark, sf)
+    one, mixed, parts = Window(spark, d, ["train"], "val").all_ranks()
+    hit = {r.model: r.hit10 for r in sweep.board(one.union(mixed)).select("model", "hit10").collect()}  # a row a configuration
+    best = lambda names: max(names, key=lambda n: hit.get(n, 0.0))
+    singles = sweep.edge_models() | sweep.content_models()
+    of_part = [n for n, (score, tie) in singles.items() if score in parts and tie == "0D"]
+    named = list(dict.fromkeys([best([n for n in singles if n.startswith("popularity")]), *ALWAYS, "content_cosine", *of_part]))
+    served = best(list(sweep.hybrid_models()))
+    w = Window(spark, d, ["train", "val"], "test")
+    one, mixed, _ = w.all_ranks(named, [served], parts)
+    return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), served
 
 
 @query()
 def refit_test(spark, sf):
     """A row a model on the last part: means, interval of hit10, lift over the baseline, warm and cold."""
-    rows = kept(spark, refitted(spark, sf))
+    rows, served = refitted(spark, sf)
+    rows = kept(spark, rows)
     base = rows.where(F.col("model") == BASE).select(*KEYS, F.col("hit10").alias("base"))
     lift = rows.join(base, KEYS).withColumn("d", F.col("hit10") - F.col("base"))
     split = rows.groupBy("model").agg(F.avg(F.when(F.col("warm"), F.col("hit10"))).alias("warm10"), F.avg(F.when(~F.col("warm"), F.col("hit10"))).alias("cold10"))
     ci = evaluate.bootstrap_by(rows, "hit10", ["model"]).select("model", "lo", "hi")
     up = evaluate.bootstrap_by(lift, "d", ["model"]).select("model", F.col("mean").alias("lift"), F.col("lo").alias("lift_lo"), F.col("hi").alias("lift_hi"))
     out = sweep.board(rows.drop("hit5", "hit10", "ndcg10", "rr")).join(split, "model").join(ci, "model").join(up, "model")
-    out = out.withColumns({"baseline": F.col("model") == BASE, "served": F.col("model") == SERVED})
+    out = out.withColumns({"baseline": F.col("model") == BASE, "served": F.col("model") == served})
     return r6(out, *MEANS, "warm10", "cold10", "lo", "hi", "lift", "lift_lo", "lift_hi")
 
 
-@query()
+EXPORTED = ["popularity", "copurchase(min_support=1)", "itemitem(cosine, shrink=5)"]
+EXPORT = B + f", {POP}" + """, sn as (select q.order_id, q.target, m.c as variant_id, sum(m.n)::double as score from (select order_id, target, unnest(context) as a from loo) q join mir m on m.a = q.a group by 1, 2, 3),
+every as (select 'popularity' as model, order_id, target, 0 as variant_id, 0::double as score from loo where false union all select 'copurchase(min_support=1)', * from sn union all select 'itemitem(cosine, shrink=5)', * from sc),
+ms(model, w) as (values ('popularity', 1::double), ('copurchase(min_support=1)', 0), ('itemitem(cosine, shrink=5)', 0)),
+al as (select model, q.order_id, q.target, a.variant_id, coalesce(s.score, 0) + w * coalesce(t.u, 0) as score from ms cross join loo q join avail a on a.available_from <= q.date and not list_contains(q.context, a.variant_id)
+  left join every s using (model, order_id, target, variant_id) left join tie t on t.variant_id = a.variant_id),
+aq as (select *, floor(score * 1e12 + 0.5)::bigint as qs, row_number() over (partition by model, order_id, target order by round(score, 10) desc, variant_id) as slot from al),
+own2 as (select model, order_id, target, qs as qt from aq where variant_id = target),
+rk as (select model, order_id, target, count(*) filter (where qs > 0) as n_scored, (count(*) filter (where qs > qt) + 1 + ((count(*) filter (where qs = qt)) - 1) / 2)::double as rank, list(variant_id order by slot) filter (where slot <= 10) as top10 from aq join own2 using (model, order_id, target) group by 1, 2, 3)
+select model, order_id, target, target in (select variant_id from parts where part <> 'test') as target_warm, q.date, q.source, len(q.context)::int as context_size, n_scored, rank, case when rank <= 5 then 1.0 else 0.0 end::double as hit5, case when rank <= 10 then 1.0 else 0.0 end::double as hit10,
+round(case when rank <= 10 then 1 / log2(rank + 1) else 0 end::double, 6) as ndcg10, round(1 / rank, 6) as rr, top10 from rk join loo q using (order_id, target)"""
+
+
+@query(EXPORT)
 def export_query_results(spark, sf):
-    """A row a model and query, written in a folder a model and read again."""
+    """A row a model and query with its ten best items, written in a folder a model and read again."""
     path = f"{scratch.folder(spark)}/results-{uuid.uuid4().hex}"
     d = Data(spark, sf)
-    names = ["popularity", "copurchase(min_support=1)", "itemitem(cosine, shrink=5)"]
-    which = {n: sweep.edge_models()[n] for n in names}
-    rows = evaluate.metrics(sweep.ranks(d.queries, sweep.edge_scores(d.queries, d.fit), sweep.units_shares(d.fit_lines), d.available, which))
+    which = {n: sweep.edge_models()[n] for n in EXPORTED}
+    wide, prior = kept(spark, sweep.edge_scores(d.queries, d.fit)), kept(spark, sweep.units_shares(d.fit_lines))
+    every = d.available.withColumns({"status": F.lit("ACTIVE"), "in_stock": F.lit(None).cast("boolean")})
+    lists = None
+    for name, (score, tie) in which.items():
+        scores = wide.select(*KEYS, "variant_id", F.expr(score).cast("double").alias("score")).where("score > 0")
+        top = serve.recommend(d.queries, scores, every, prior=prior.select("variant_id", F.expr(tie).cast("double").alias("prior")))
+        top = top.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "variant_id"))), lambda x: x["variant_id"]).alias("top10")).withColumn("model", F.lit(name))
+        lists = top if lists is None else lists.unionByName(top)
+    seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("target_warm", F.lit(True))
+    rows = evaluate.metrics(sweep.ranks(d.queries, wide, prior, d.available, which)).join(lists, ["model", *KEYS]).join(seen, "target", "left").na.fill(False, ["target_warm"])
     rows.write.partitionBy("model").parquet(path)
-    return spark.read.parquet(path).select("model", *KEYS, "date", "source", "context_size", "n_scored", "rank", "hit5", "hit10", "ndcg10", "rr")
+    out = spark.read.parquet(path).select("model", *KEYS, "target_warm", "date", "source", "context_size", "n_scored", "rank", "hit5", "hit10", "ndcg10", "rr", "top10")
+    return r6(out, "ndcg10", "rr")
+
+
+SEG = """, bb as (select segment_group, segment, order_id, sum(rr) as s, count(*) as n from (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
+  select *, 'channel', case when source = 'pos' then 'pos' else 'online' end from met union all select *, 'context', case when context_size = 1 then '1' else '2+' end from met) group by 1, 2, 3)"""
 
 
 @query(B + """, bb as (select segment_group, segment, order_id, sum(rr) as s, count(*) as n from (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
@@ -204,60 +238,57 @@ def segment_means(spark, sf):
     return r6(rows.groupBy("segment_group", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg("rr").alias("mean")), "mean")
 
 
-@query()
+@query(B + SEG + """, re as (select bb.*, r, ('0x' || substr(md5(order_id || '-' || r || '-0'), 1, 8))::bigint / 4294967296.0 as u from bb, range(0, 1000) t(r)),
+me as (select segment_group, segment, r, sum(w * s) / sum(w * n) as m from (select *, """ + STEPS + """ as w from re) group by 1, 2, 3 having sum(w * n) > 0)
+select segment_group, segment, round(sum(s) / sum(n), 6) as mean, any_value(lo) as lo, any_value(hi) as hi from bb join (select segment_group, segment, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from me group by 1, 2) using (segment_group, segment) group by 1, 2""")
 def segment_ci(spark, sf):
     """Intervals within each segment."""
     d = Data(spark, sf)
     return r6(evaluate.bootstrap_by(evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim")), "rr", ["segment_group", "segment"]), "mean", "lo", "hi")
 
 
-@query(B + "select 'itemitem' as model, 'hit10' as metric, round(avg(hit10), 6) as value, true as same from met union all select 'itemitem', 'ndcg10', round(avg(ndcg10), 6), true from met")
+@query(B + """, fr as (select 'itemitem' as model, avg(hit10) as hit10, avg(ndcg10) as ndcg10 from met union all select 'moved', avg(hit10), avg(ndcg10) from met union all select 'new', avg(hit10), avg(ndcg10) from met),
+co as (select model, hit10 + case when model = 'moved' then 1e-6 else 0 end as hit10, ndcg10 from fr where model <> 'new'),
+bo as (select fr.model, fr.hit10 as a, co.hit10 as b, fr.ndcg10 as c, co.ndcg10 as d from fr left join co using (model))
+select model, 'hit10' as metric, round(a, 6) as value, abs(a - b) <= 1e-9 as same from bo where b is not null union all select model, 'ndcg10', round(c, 6), abs(c - d) <= 1e-9 from bo where b is not null union all select model, 'present', null, false from bo where b is null""")
 def drift(spark, sf):
-    """Two runs of one model agree in their means; the values are compared as kept in a table."""
+    """Means of a fresh run against a stored table, in which one model has moved by 1e-6 and one is missing."""
     d = Data(spark, sf)
-    means = evaluate.summary(d.ranks(models.itemitem(d.fit), "sim"), "itemitem").select("model", "hit10", "ndcg10")
-    committed = kept(spark, means)
-    both = None
-    for m in ("hit10", "ndcg10"):
-        part = evaluate.drift(means, committed, metric=m).join(means.select("model", F.round(m, 6).alias("value")), "model").select("model", F.lit(m).alias("metric"), "value", "same")
-        both = part if both is None else both.union(part)
-    return both
+    one = evaluate.summary(d.ranks(models.itemitem(d.fit), "sim"), "itemitem").select("hit10", "ndcg10")
+    fresh = kept(spark, one.select(F.explode(F.array(*map(F.lit, ("itemitem", "moved", "new")))).alias("model"), "*"))
+    stored = kept(spark, fresh.where("model <> 'new'").withColumn("hit10", F.expr("hit10 + if(model = 'moved', 1e-6D, 0D)")))
+    return r6(evaluate.drift(fresh, stored), "value")
 
 
 # ---- serving ---------------------------------------------------------------------------------
 
 
-def served_shares(d: Data) -> DataFrame:
-    x = d.vectors()
-    pmi = models.ppmi(models.attr_counts(d.fit, models.tokens(d.products)))
-    item = evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim")
-    return sweep.shares(evaluate.score_attr(d.queries, x, pmi), evaluate.score_content(d.queries, x), item)
-
-
-@query(HYB + """, un2 as (select order_id, target, variant_id, score / max(score) over (partition by order_id, target) as attr, 0::double as content, 0::double as item from sa union all
-select order_id, target, variant_id, 0::double, score / max(score) over (partition by order_id, target), 0::double from sk union all select order_id, target, variant_id, 0::double, 0::double, 0.5 * score / max(score) over (partition by order_id, target) from sc),
-wd as (select order_id, target, variant_id, sum(attr) as attr, sum(content) as content, sum(item) as item from un2 group by 1, 2, 3),
-rk as (select s.*, row_number() over (partition by s.order_id, s.target order by round(attr + content + item, 9) desc, s.variant_id)::int as slot
-from wd s join loo q on q.order_id = s.order_id and q.target = s.target join products p on p.variant_id = s.variant_id join avail a on a.variant_id = s.variant_id
-where p.status = 'ACTIVE' and coalesce(p.stock > 0, false) and a.available_from <= q.date and not list_contains(q.context, s.variant_id))
-select order_id, target, slot, variant_id, round(attr + content + item, 5) as score, nullif(round(attr, 4), 0) is not null as by_attr, nullif(round(content, 4), 0) is not null as by_content, nullif(round(item, 4), 0) is not null as by_item from rk where slot <= 10""")
+@query(SERVE + """ select order_id, target, slot, variant_id, round(score, 6) as score, nullif(round(attr, 4), 0) as by_attr, nullif(round(content, 4), 0) as by_content, nullif(round(item, 4), 0) as by_item
+from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10""")
 def recommend_why(spark, sf):
-    """Top ten of the blend for every basket, with the part of each component."""
+    """Ten items of the blend for every basket, with what each component adds; null where it adds nothing."""
     d = Data(spark, sf)
-    wide = served_shares(d).withColumns({"item": 0.5 * F.col("item"), "score": F.expr("attr + content + 0.5D * item")})
-    top = serve.recommend(d.queries, wide, catalog(d), carry=["attr", "content", "item"])
+    wide = served_on_all(d).withColumn("score", F.expr(BLEND))
+    top = serve.recommend(d.queries, wide, catalog(d), prior=units(d.lines).withColumn("prior", F.col("u") * sweep.TIE), carry=["attr", "content", "item"])
     why = sweep.components_of(top)
-    return why.select(*KEYS, "slot", "variant_id", F.round(F.expr("attr + content + item"), 5).alias("score"), *[F.map_contains_key("why", n).alias(f"by_{n}") for n in ("attr", "content", "item")])
+    return why.select(*KEYS, "slot", "variant_id", "score", *[F.nullif(F.col("why")[n], F.lit(0.0)).alias(f"by_{n}") for n in ("attr", "content", "item")])
 
 
-@query()
+NOW = ", now as (select variant_id, sum(quantity * pow(0.5, date_diff('day', date, (select max(date) from parts)) / 30.0)) as v from parts group by 1)"
+FIVE = {"popularity": "coalesce(v, 0) / (select max(v) from now)", "itemitem": "2 * item", "content": "content", "attr": "attr", "hybrid": "attr + content + item + 1e-6 * u"}
+
+
+@query(SERVE + NOW + " select model, order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by model, order_id, target order by score desc, variant_id)::int as slot from (" + " union all ".join(f"select '{m}' as model, order_id, target, variant_id, round({e}, 10) as score from ok left join now using (variant_id)" for m, e in FIVE.items()) + ")) where slot <= 10")
 def compare_models(spark, sf):
-    """The same baskets through five models, ten items each."""
+    """The same baskets through five models fitted on all orders, ten items each; single scores over their maxima."""
     d = Data(spark, sf)
-    shares, cat, out = kept(spark, served_shares(d)), kept(spark, catalog(d)), None
-    pairs = evaluate.score_neighbours(d.queries, models.mirrored(models.pairs(d.fit)).where("n >= 2"), "n").withColumn("score", F.col("score").cast("double"))
-    scores = {"copurchase": pairs, "itemitem": shares.withColumn("score", F.col("item")), "content": shares.withColumn("score", F.col("content")), "attr": shares.withColumn("score", F.col("attr")), "hybrid": shares.withColumn("score", F.expr("attr + content + 0.5D * item"))}
-    for name, s in scores.items():
-        rows = serve.recommend(d.queries, s.select(*KEYS, "variant_id", "score").where("score > 0"), cat).select(F.lit(name).alias("model"), "*")
+    wide, cat, out = kept(spark, served_on_all(d)), kept(spark, catalog(d)), None
+    shares = kept(spark, sweep.units_shares(d.lines))
+    scores = {"popularity": "0D", "itemitem": "2 * item", "content": "content", "attr": "attr", "hybrid": BLEND}
+    priors = {"popularity": "u30", "hybrid": f"u * {sweep.TIE!r}D"}
+    for name, e in scores.items():
+        own = wide.select(*KEYS, "variant_id", F.expr(e).alias("score")).where("score > 0")
+        prior = shares.select("variant_id", F.expr(priors[name]).alias("prior")) if name in priors else None
+        rows = serve.recommend(d.queries, own, cat, prior=prior).select(F.lit(name).alias("model"), "*")
         out = rows if out is None else out.union(rows)
     return out
