@@ -257,3 +257,65 @@ def test_jaccard_sends_long_runs_in_parts(spark, corpus, monkeypatch):
         assert sorted(op3_jaccard.components(docs(spark, corpus), wide=2, block=2).collect()) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_html_of_odd_shapes():
+    import time
+
+    start = time.time()
+    deep = "<div>" * 5000 + "core" + "</div>" * 5000
+    wide = "".join(f"<p>n{k}</p>" for k in range(20_000))
+    bold = "<article>" + "<b>" * 5000 + "x"
+    assert op5_html.main_text(deep, None) == "core" and op5_html.main_text(bold, None) == "x"
+    assert op5_html.main_text(f"<main>{wide}</main>", None) == " ".join(f"n{k}" for k in range(20_000))
+    assert op5_html.main_text('text <a "' * 30_000, None).startswith("text")
+    assert op5_html.main_text("a < b <3 <i>c</i>", None) == "a < b <3 c"
+    rows = op5_html.wrapper([f"<body><div>Same</div>{deep}<p>a{k}</p>{''.join(f'<p>{k}-{j}</p>' for j in range(2000 + 500 * k))}</body>" for k in range(3)])
+    wrap = op5_html.unflat(rows)
+    assert op5_html.flat(wrap) == rows and "Same" not in op5_html.main_text("<body><div>Same</div><p>z</p></body>", wrap)
+    assert time.time() - start < 60
+
+
+def test_html_alignment_equals_brute_force():
+    r = random.Random(3)
+
+    def make(depth):
+        return (r.choice("ab"), [make(depth - 1) for _ in range(r.randint(0, 3))] if depth else [])
+
+    def node(t):
+        n = op5_html.Node(t[0])
+        n.kids = [node(k) for k in t[1]]
+        return n
+
+    def most(x, y):
+        """Pairs in the largest match."""
+        if x[0] != y[0]:
+            return 0
+        table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, p in enumerate(x[1]):
+            for j, q in enumerate(y[1]):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + most(p, q))
+        return table[-1][-1] + 1
+
+    for _ in range(300):
+        a, b = make(3), make(3)
+        pairs = op5_html.align(op5_html.shaped(node(a)), op5_html.shaped(node(b)))
+        assert len(pairs) == most(a, b) and len({id(x) for x, _ in pairs}) == len(pairs)
+
+
+def test_html_class_words_of_many_meanings(spark):
+    page = lambda k, body: f"<body><article><h1>T{k}</h1>{body}<p>end {k}</p></article></body>"
+    rows = [(k, "http://h.org/x", page(k, f'<div class="social-share">Pass it on {k * 7919}</div>')) for k in range(4)]
+    rows += [(9, "http://h.org/y", page(9, '<section class="ad-hoc analysis">An ad-hoc look</section><p class="share of market">A third</p>'))]
+    rows += [(20 + k, f"http://one{k}.org/", page(k, '<div class="ad">Buy</div>')) for k in range(2)]
+    got = {r.page_id: r.text for r in op5_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"T{k} end {k}" for k in range(4))
+    assert got[9] == "T9 An ad-hoc look A third end 9" and got[20] == "T0 end 0" and got[21] == "T1 end 1"
+
+
+def test_html_wrapper_decides_inside_an_article(spark):
+    """Two distinct pages are enough for the wrapper, which all-page constants leave alone."""
+    page = lambda k: f"<body><article><div>Read our terms</div><p>Story {k} has words of its own, more than the terms</p></article></body>"
+    rows = [(k, "http://h.org/x", page(k)) for k in range(2)]
+    got = {r.page_id: r.text for r in op5_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} has words of its own, more than the terms" for k in range(2)}
