@@ -319,3 +319,18 @@ def test_html_wrapper_decides_inside_an_article(spark):
     rows = [(k, "http://h.org/x", page(k)) for k in range(2)]
     got = {r.page_id: r.text for r in op5_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Story {k} has words of its own, more than the terms" for k in range(2)}
+
+
+def test_trained_secrets_tell_random_strings_from_names(spark):
+    r = random.Random(12)
+    prose = "some ordinary words of the language that make up the thousand names and phrases in a normal text with further information".split()
+    model = op2_secrets.train(docs(spark, [" ".join(r.choice(prose) for _ in range(25)) + f" {k}" for k in range(400)]))
+    of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = [of(base62, 20) for _ in range(40)] + [of("0123456789ABCDEF", 16) for _ in range(40)]
+    kept = ["application_v2_config_2024", "https_proxy_port_8080", "getUserById2HandlerFactory", "user_profile_image_1024x768", "1234-5678-9012-3456a"]
+    df = docs(spark, [f"a {x} b" for x in found + kept])
+    hit = {x.doc_id: any(s.kind == "markov" for s in x.spans) for x in op2_secrets.scan(df, model).collect()}
+    assert sum(hit[k] for k in range(40)) >= 38 and sum(hit[k] for k in range(40, 80)) >= 36
+    assert not any(hit[80 + k] for k in range(len(kept)))
+    assert op2_secrets.threshold([(1, 5, 90), (1, 1, 10), (0, 0, 100)]) == (1 / op2_secrets.STEPS, 1.0, 0.0)
