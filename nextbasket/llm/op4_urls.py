@@ -1,8 +1,13 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features.
 
-The trees are fitted on labelled URLs (1 for block) and judge those that no rule fits. Histograms of gradients are summed by Spark, one small aggregation a level;
-the fitted trees become CASE expressions, so scoring is a projection. Main path: built-in
-DataFrame functions.
+The trees are fitted on labelled URLs (1 for block) and judge those that no rule fits. Histograms
+of gradients are summed by Spark, one small aggregation a level; the fitted trees become CASE
+expressions, so scoring is a projection. A part of the labelled rows is held out: there the area
+under the ROC curve is taken, and the least score to block is that with the largest difference of
+true and false positive rates. If the area is not above one half by two standard errors, the
+labels do not follow the URLs and the trees block nothing. The statistics of a suffix (the
+host's last two labels) are counted over all pages, for training and scoring alike. Main path:
+built-in DataFrame functions.
 
 Null urls and those without ``://`` have empty host and path, and get verdict ``allow`` or
 ``block`` from the trees like any other. Without labelled URLs, or with one label only, the
@@ -29,7 +34,9 @@ RULES = [
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "params", "host_parts", "hyphens", "suffix_share"]
 
 #: Rows of the labelled sample in expectation; trees, levels of a tree, bins, step, leaf penalty.
-SAMPLE_ROWS, TREES, DEPTH, BINS, STEP, PENALTY = 20_000, 8, 2, 16, 0.5, 1.0
+SAMPLE_ROWS, TREES, DEPTH, BINS, STEP, PENALTY = 20_000, 12, 3, 16, 0.3, 1.0
+#: One in so many labelled rows is held out; buckets of held-out scores.
+HELD_OUT, BUCKETS = 4, 1000
 
 
 def parsed(df: DataFrame, url: str = "url") -> DataFrame:
@@ -50,8 +57,14 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": pick, "rule_verdict": verdict})
 
 
-def features(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the lexical features. ``suffix_share`` is the share of all rows with the host's last two labels."""
+def suffixes(df: DataFrame) -> DataFrame:
+    """``(suffix, suffix_share)``: the share of all rows with each host's last two labels."""
+    own = df.groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(F.count(F.lit(1)).alias("own"))
+    return written(own.withColumn("suffix_share", F.col("own") / max(1, df.count())).drop("own"), "suffixes")
+
+
+def features(df: DataFrame, shares: DataFrame, url: str = "url") -> DataFrame:
+    """Adds the lexical features; ``shares`` is that of ``suffixes``, joined by its size as Spark finds best."""
     u = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
 
@@ -62,9 +75,7 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
 
     gone = lambda chars: F.length(u) - F.length(F.translate(u, chars, ""))
     df = df.withColumn("suffix", F.substring_index("host", ".", -2))
-    total = max(1, df.count())
-    share = df.groupBy("suffix").agg(F.count(F.lit(1)).alias("own"))
-    df = df.join(share, "suffix")
+    df = df.join(shares, "suffix", "left")
     return df.withColumns({
         "length": F.length(u).cast("double"),
         "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("double"),
@@ -73,8 +84,8 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
         "params": F.when(u.contains("?"), gone("&=") - gone("=") + 1).otherwise(0).cast("double"),
         "host_parts": F.size(F.split("host", r"\.")).cast("double"),
         "hyphens": gone("-").cast("double"),
-        "suffix_share": F.col("own") / total,
-    }).drop("own")
+        "suffix_share": F.coalesce("suffix_share", F.lit(0.0)),
+    })
 
 
 def edges_of(sample: DataFrame) -> dict[str, list[float]]:
@@ -84,6 +95,39 @@ def edges_of(sample: DataFrame) -> dict[str, list[float]]:
     return {f: sorted(set(row[f] or [])) for f in FEATURES}
 
 
+def roc(counts: list[tuple[int, int, int]]) -> dict:
+    """Area under the ROC curve with its standard error, base rate, and the best least score, from ``(bucket, good, bad)``."""
+    good, bad = sum(g for _, g, _ in counts), sum(b for _, _, b in counts)
+    area, over, best, cut = 0.0, 0, 0.0, 2.0
+    above_good = above_bad = 0
+    for bucket, g, b in sorted(counts, reverse=True):
+        area += b * (good - above_good - g / 2)
+        above_good, above_bad = above_good + g, above_bad + b
+        gain = above_bad / max(1, bad) - above_good / max(1, good)
+        if gain > best:
+            best, cut, over = gain, bucket / BUCKETS, above_good
+    auc = area / (good * bad) if good and bad else 0.5
+    q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
+    error = math.sqrt(max(0.0, auc * (1 - auc) + (bad - 1) * (q1 - auc * auc) + (good - 1) * (q2 - auc * auc)) / (good * bad)) if good and bad else 1.0
+    return {"auc": auc, "error": error, "base_rate": bad / max(1, good + bad), "rows": good + bad, "cut": cut, "false_blocks": over}
+
+
+def evaluated(rows: DataFrame, margin: str) -> dict:
+    """``roc`` of labelled rows; the driver sees at most ``BUCKETS`` + 1 counts."""
+    bucket = F.floor(F.expr(f"1 / (1 + exp(-({margin})))") * BUCKETS).alias("bucket")
+    counts = rows.groupBy(bucket).agg(F.count_if(F.col("label") == 0).alias("good"), F.count_if(F.col("label") == 1).alias("bad")).collect()
+    return roc([(r.bucket, r.good, r.bad) for r in counts])
+
+
+def held() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(5)), F.lit(HELD_OUT)) == 0
+
+
+def least_score(found: dict) -> float:
+    """The least score to block; over 1 where the labels do not follow the URLs."""
+    return found["cut"] if found["auc"] - 2 * found["error"] > 0.5 else 2.0
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> str:
     """A SQL expression for the margin of ``block`` over the feature columns.
 
@@ -135,28 +179,45 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     return margin
 
 
+def trained(rows: DataFrame) -> tuple[str, dict]:
+    """The margin fitted on the rows that are not held out, and its figures on those that are.
+
+    If either part has no row of one label, all rows serve for both."""
+    kinds = {(r.part, r.label) for r in rows.select(held().alias("part"), "label").distinct().collect()}  # four at most
+    if len(kinds) < 4:
+        margin = fit(rows)
+        return margin, evaluated(rows, margin)
+    margin = fit(rows.where(~held()))
+    return margin, evaluated(rows.where(held()), margin)
+
+
 def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """Adds host, path, rule, score (probability of ``block``) and verdict.
 
     ``labelled(url, label)`` trains the trees; without it, the URLs that a rule decides do."""
-    rows = features(ruled(parsed(pages), rules))
+    rows = ruled(parsed(pages), rules)
+    shares = suffixes(rows)
+    rows = features(rows, shares)
     if labelled is None:
         known = rows.where("rule is not null").withColumn("label", F.expr("if(rule_verdict = 'block', 1, 0)"))
     else:
-        known = features(ruled(parsed(labelled), rules))
-    score = F.expr(f"1 / (1 + exp(-({fit(known)})))")
-    rows = rows.withColumn("score", score)
-    return rows.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow")))
+        known = features(ruled(parsed(labelled), rules), shares)
+    margin, found = trained(written(known.select("url", "label", *FEATURES), "labelled-urls"))
+    rows = rows.withColumn("score", F.expr(f"1 / (1 + exp(-({margin})))"))
+    return rows.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("score") >= least_score(found), "block").otherwise("allow")))
 
 
-def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled are the URLs whose number names a row of ``labels``: low quality or toxic is 1."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("pages", "labels"))
     bad = labels.groupBy("doc_id").agg(F.max(F.expr("if(quality = 0 or toxic = 1, 1, 0)")).alias("label"))
     number = F.expr(r"try_cast(regexp_extract(url, '/([0-9]{1,18})([.?#/].*)?$', 1) as bigint)")
-    labelled = pages.withColumn("doc_id", number).join(bad, "doc_id").select("url", "label")
-    return judged(pages, labelled=labelled).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    return pages.withColumn("doc_id", number).join(bad, "doc_id").select("url", "label")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judged(pages, labelled=labelled_urls(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 QUERIES = {"op4_urls": op4_urls}

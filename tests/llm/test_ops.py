@@ -1,5 +1,6 @@
 """Operators against brute force, and their edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -334,3 +335,47 @@ def test_trained_secrets_tell_random_strings_from_names(spark):
     assert sum(hit[k] for k in range(40)) >= 38 and sum(hit[k] for k in range(40, 80)) >= 36
     assert not any(hit[80 + k] for k in range(len(kept)))
     assert op2_secrets.threshold([(1, 5, 90), (1, 1, 10), (0, 0, 100)]) == (1 / op2_secrets.STEPS, 1.0, 0.0)
+
+
+def test_url_trees_equal_plain_boosting(spark):
+    """Splits and leaves of one tree against a plain search over all cuts, then the figures of held-out rows."""
+    r = random.Random(2)
+    urls = [f"http://h{r.randrange(4)}.{r.choice(['org', 'biz'])}/{'-'.join('w' * r.randint(1, 6) for _ in range(r.randint(1, 4)))}{r.choice(['', '?a=1&b=2'])}" for _ in range(200)]
+    label = [int(("biz" in u) != (r.random() < 0.1)) for u in urls]
+    base = op4_urls.ruled(op4_urls.parsed(spark.createDataFrame(list(zip(urls, label, strict=True)), "url string, label int")))
+    known = op4_urls.features(base, op4_urls.suffixes(base)).cache()
+    margin = op4_urls.fit(known, trees=1, depth=1)
+    rows = known.withColumn("m", F.expr(margin)).collect()
+    x = {f: [row[f] for row in rows] for f in op4_urls.FEATURES}
+    y = [row.label for row in rows]
+    p = sum(y)
+    start = math.log((p + 0.5) / (len(y) - p + 0.5))
+    prob = 1 / (1 + math.exp(-start))
+    g, h = [v - prob for v in y], prob * (1 - prob)
+    worth = lambda own: sum(g[i] for i in own) ** 2 / (h * len(own) + op4_urls.PENALTY)
+    edges = op4_urls.edges_of(known)
+    best = max(((worth(low) + worth(high), f, c) for f in op4_urls.FEATURES for c in edges[f] if (low := [i for i in range(200) if x[f][i] < c]) is not None and (high := [i for i in range(200) if x[f][i] >= c]) is not None), key=lambda t: t[0])
+    for side in (0, 1):
+        own = [i for i in range(200) if (x[best[1]][i] < best[2]) == (side == 0)]
+        leaf = start + op4_urls.STEP * sum(g[i] for i in own) / (h * len(own) + op4_urls.PENALTY)
+        assert all(abs(rows[i].m - leaf) < 1e-9 for i in own)
+    scores = [(0.9, 1), (0.8, 0), (0.7, 1), (0.2, 0), (0.1, 0)]
+    found = op4_urls.roc([(int(s * 1000), int(not b), b) for s, b in scores])
+    assert abs(found["auc"] - 5 / 6) < 1e-9 and found["cut"] == 0.7
+
+
+def test_url_features(spark):
+    urls = ["http://a.b.org/x-1/y?p=1&q=2", None]
+    base = op4_urls.ruled(op4_urls.parsed(spark.createDataFrame(list(enumerate(urls)), "k int, url string")))
+    rows = op4_urls.features(base, op4_urls.suffixes(base)).orderBy("k").collect()
+    u = urls[0]
+    counts = [u.count(c) / len(u) for c in set(u)]
+    want = {"length": len(u), "depth": 2, "digit_ratio": 3 / len(u), "entropy": -sum(c * math.log2(c) for c in counts), "params": 2, "host_parts": 3, "hyphens": 1, "suffix_share": 0.5}
+    assert all(abs(rows[0][k] - v) < 1e-6 for k, v in want.items()) and rows[1]["length"] == rows[1]["entropy"] == 0
+
+
+def test_urls_without_a_signal_block_nothing(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/{k}") for k in range(400)], "page_id long, url string")
+    labelled = pages.selectExpr("url", "cast(crc32(concat('x', url)) % 2 as int) as label")
+    assert {r.verdict for r in op4_urls.judged(pages, labelled=labelled).collect()} == {"allow"}
+    assert op4_urls.judged(pages.limit(0), labelled=labelled.limit(0)).count() == 0
