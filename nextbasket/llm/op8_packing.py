@@ -12,6 +12,7 @@ are ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 
@@ -79,9 +80,15 @@ def filled(bins: list[list[int]], sizes: list[int], space: int) -> list[list[tup
     return [r for r in rows if r]
 
 
+def width(source: str, end_id: int = END_ID) -> str:
+    """The smallest type that holds every id of a tokenizer."""
+    return "<u2" if max(*json.loads(source)["model"]["vocab"].values(), end_id) < 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """A row for each full sequence of a document, and one with the ids of its rest."""
-    shared = docs.sparkSession.sparkContext.broadcast(bpe.source(path))
+    source = bpe.source(path)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(source), width(source, end_id)
 
     def run(batches):
         encoder = bpe.Encoder(shared.value)
@@ -93,16 +100,17 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text", key:
                     whole = zlib.crc32(own)
                     for k in range(0, len(own), length):
                         part = own[k : k + length]
-                        rest = part.astype("<u2").tobytes() if len(part) < length else None
+                        rest = part.astype(kind).tobytes() if len(part) < length else None
                         rows.append((doc, k, len(part), zlib.crc32(part), len(own), rest, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary(), pa.int64()), strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, PIECE)
 
 
-def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, math.ceil(docs.count() / group_docs))
+    kind = width(bpe.source(path), end_id)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "start"], kind="stable")
@@ -118,13 +126,13 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str
         for b in filled(first_fit_decreasing(sizes, length), sizes, length):
             at = 0
             for k, s, n in b:
-                crc = zlib.crc32(np.frombuffer(ids[k], "<u2")[s : s + n].astype("<u4").tobytes())
+                crc = zlib.crc32(np.frombuffer(ids[k], kind)[s : s + n].astype("<u4").tobytes())
                 out.append((keys[k], starts[k] + s, n, crc, tokens[k], seq, at))
                 at += n
             seq += 1
         return pd.DataFrame(out, columns=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({key: "Int64"})
 
-    rows = tokenized(docs, path, text, key, length)
+    rows = tokenized(docs, path, text, key, length, end_id)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("key", "doc_tokens", "doc_crc"), F.lit(groups)))
     return rows.groupBy("grp").applyInPandas(one, f"{key} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

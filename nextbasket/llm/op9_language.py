@@ -6,8 +6,9 @@ is the product over its words (runs of letters, in lower case). Expectation maxi
 the piece probabilities: Spark counts the words of the labelled sample, tasks run the
 forward-backward pass over distinct words, and Spark sums the expected counts by piece.
 
-Null texts and texts without a letter get ``und`` and score 0. Runs of letters longer than
-``LONGEST`` are scored in parts of that length. Other columns are ignored, repeated rows each
+Null texts and texts without a letter get ``und`` and score 0. All pieces of letters and whole
+words count in predictions, whatever their length (the forward sums are rescaled on the way);
+only the fit takes runs of more than ``LONGEST`` letters of its sample in parts. Other columns are ignored, repeated rows each
 get their own result, an empty table gives no rows; without labelled rows all are ``und``.
 """
 
@@ -23,21 +24,23 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import written
 
-#: Labelled rows for each language, in expectation; passes of EM; bounds of pieces and words.
-SAMPLE_ROWS, PASSES, PIECE, LONGEST, CACHE = 1500, 2, 8, 32, 400_000
+#: Labelled rows for each language, in expectation; passes of EM; parts of words in the fit; distinct words that a task keeps.
+SAMPLE_ROWS, PASSES, LONGEST, CACHE = 1500, 2, 32, 400_000
+#: Characters of words that are scored at once, and steps between rescalings.
+AREA, RESCALE = 200_000, 8
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a single character that is no piece, and what EM adds to each count.
 UNKNOWN, PRIOR = 1e-6, 0.05
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Pieces of letters, with the mark of a word's start, up to ``PIECE`` characters."""
+    """Pieces of letters in lower case, with the mark of a word's start."""
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     all_of = (sp.id_to_piece(k) for k in range(sp.get_piece_size()))
-    return sorted({p for p in all_of if len(p) <= PIECE and re.fullmatch(r"▁?[^\W\d_]+|▁", p) and p == p.lower()})
+    return sorted({p for p in all_of if re.fullmatch(r"▁?[^\W\d_]+|▁", p) and p == p.lower()})
 
 
 class Lattice:
@@ -47,7 +50,7 @@ class Lattice:
         chars, hashes = self.prefixes(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.index = textnum.Index(textnum.mix(hashes[np.arange(len(pieces)), size] + size.astype(np.uint64)))
-        langs = probs.shape[1]
+        langs, self.longest = probs.shape[1], int(size.max(initial=1))
         self.probs = np.concatenate([np.zeros((1, langs)), np.full((1, langs), UNKNOWN), probs])
 
     @staticmethod
@@ -66,21 +69,21 @@ class Lattice:
         """``[word, end, length - 1]`` -> piece (0: none, 1: an unknown character), and the characters of each word."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         _, h = self.prefixes(words)
-        out = np.zeros((len(words), h.shape[1], PIECE), np.int32)
-        power = textnum.powers(PIECE + 1)[0]
+        out = np.zeros((len(words), h.shape[1], self.longest), np.int32)
+        power = textnum.powers(self.longest + 1)[0]
         for e in range(1, h.shape[1]):
             rows = np.searchsorted(size, e)  # words are sorted by size
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 out[rows:, e, n - 1] = self.index.find(textnum.mix(h[rows:, e] - h[rows:, e - n] * power[n] + np.uint64(n))) + 2
             out[rows:, e, 0] = np.maximum(out[rows:, e, 0], 1)
-        return np.where(out == 1, (np.arange(PIECE) == 0).astype(np.int32), out), size
+        return np.where(out == 1, (np.arange(self.longest) == 0).astype(np.int32), out), size
 
     def forward(self, arcs: np.ndarray) -> np.ndarray:
         """``[word, position, language]``: probability of the first characters."""
         a = np.zeros((arcs.shape[0], arcs.shape[1], self.probs.shape[1]))
         a[:, 0] = 1
         for e in range(1, arcs.shape[1]):
-            for n in range(1, min(PIECE, e) + 1):
+            for n in range(1, min(self.longest, e) + 1):
                 at = np.flatnonzero(arcs[:, e, n - 1])
                 if len(at):
                     a[at, e] += a[at, e - n] * self.probs[arcs[at, e, n - 1]]
@@ -90,10 +93,36 @@ class Lattice:
         """Log probability of each word by language."""
         out = np.zeros((len(words), self.probs.shape[1]))
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for k in range(0, len(order), 8_192):
-            rows = order[k : k + 8_192]
-            arcs, size = self.arcs([words[r] for r in rows])
-            out[rows] = np.log(self.forward(arcs)[np.arange(len(rows)), size] + 1e-300)
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * len(words[order[to]]) <= AREA:
+                to += 1
+            out[order[at:to]] = self.logs([words[r] for r in order[at:to]])
+            at = to
+        return out
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """The same for words sorted by size. Only the last positions are kept, divided by their largest sum now and then."""
+        arcs, size = self.arcs(words)
+        langs, p = self.probs.shape[1], self.longest
+        last = np.zeros((p, len(words), langs))  # by position modulo p
+        last[0] = 1
+        out, scale = np.zeros((len(words), langs)), np.zeros((len(words), langs))
+        for e in range(1, arcs.shape[1]):
+            first = int(np.searchsorted(size, e))
+            new = np.zeros((len(words), langs))
+            for n in range(1, min(p, e) + 1):
+                at = first + np.flatnonzero(arcs[first:, e, n - 1])
+                if len(at):
+                    new[at] += last[(e - n) % p, at] * self.probs[arcs[at, e, n - 1]]
+            last[e % p] = new
+            done = slice(first, int(np.searchsorted(size, e, "right")))
+            out[done] = np.log(new[done] + 1e-300) + scale[done]
+            if e % RESCALE == 0:
+                top = np.where(new[first:] > 0, new[first:], 1.0)
+                last[:, first:] /= top
+                scale[first:] += np.log(top)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -108,7 +137,7 @@ class Lattice:
             b = np.zeros_like(a)
             b[here, size] = counts[rows] / (a[here, size] + 1e-300)
             for e in range(arcs.shape[1] - 1, 0, -1):
-                for n in range(1, min(PIECE, e) + 1):
+                for n in range(1, min(self.longest, e) + 1):
                     p = arcs[:, e, n - 1]
                     if p.any():
                         w = b[:, e] * self.probs[p]
@@ -117,12 +146,12 @@ class Lattice:
         return total[2:]
 
 
-def parts(word: str) -> list[str]:
-    """Scored parts of the letters of a white-space word."""
+def parts(word: str, longest: int | None = None) -> list[str]:
+    """Scored runs of letters of a white-space word, in parts of ``longest`` if given."""
     out = []
     for run in LETTERS.findall(word.lower()):
         run = "▁" + run
-        out += [run[k : k + LONGEST] for k in range(0, len(run), LONGEST)]
+        out += [run[k : k + longest] for k in range(0, len(run), longest)] if longest else [run]
     return out
 
 
@@ -152,7 +181,7 @@ def fit(docs: DataFrame, path: str | None = None, text: str = "text", lang: str
             for b in batches:
                 words, rows = [], []
                 for k, w in enumerate(b.column("word").to_pylist()):
-                    for p in parts(w):
+                    for p in parts(w, LONGEST):
                         words.append(p)
                         rows.append(k)
                 if words:

@@ -379,3 +379,27 @@ def test_urls_without_a_signal_block_nothing(spark):
     labelled = pages.selectExpr("url", "cast(crc32(concat('x', url)) % 2 as int) as label")
     assert {r.verdict for r in op4_urls.judged(pages, labelled=labelled).collect()} == {"allow"}
     assert op4_urls.judged(pages.limit(0), labelled=labelled.limit(0)).count() == 0
+
+
+def test_long_words_are_scored_whole():
+    """Against a plain forward pass in logarithms, over words that underflow and pieces of any length."""
+    r = random.Random(7)
+    pieces = ["a", "b", "ab", "abba" * 4, "\u2581", "ba", "aaaaaaaaaaaa"]
+    probs = np.array([[r.random(), r.random()] for _ in pieces])
+    lat = op9_language.Lattice(pieces, probs / probs.sum(0))
+    words = ["\u2581" + "".join(r.choice("abz") for _ in range(n)) for n in (1, 3, 40, 700)] + ["\u2581" + "abba" * 200]
+    got = lat.scores(words)
+    for w, row in zip(words, got, strict=True):
+        for lang in range(2):
+            p = dict(zip(pieces, lat.probs[2:, lang], strict=True))
+            f = [0.0] + [-math.inf] * len(w)
+            for e in range(1, len(w) + 1):
+                arcs = [f[e - n] + math.log(p.get(w[e - n : e], op9_language.UNKNOWN if n == 1 else 0) or 1e-320) for n in range(1, min(16, e) + 1) if w[e - n : e] in p or n == 1]
+                top = max(arcs)
+                f[e] = top + math.log(sum(math.exp(x - top) for x in arcs))
+            assert abs(row[lang] - f[-1]) < 1e-6 * max(1, abs(f[-1]))
+
+
+def test_width_of_ids():
+    small, large = ('{"model": {"vocab": {"a": 0, "b": %d}}}' % n for n in (65535, 65536))
+    assert op8_packing.width(small) == "<u2" and op8_packing.width(large) == "<u4"
