@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import let, words_of, written
 
 WINDOW = 8
 
@@ -141,18 +141,27 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written ledger of ``documents``: what follows reads it, never the texts again."""
+    return written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-ledger")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger and verdict of policy ``full-1`` for every document."""
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = ~passes("base-1")
-    return rows.select(
+    return stored(spark, sf_dir).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), passes("full-1").alias("kept"), "fail_mask", "n_lines", "n_upper", "n_marks", "n_digits",
     )
 
 
 def op1_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "full-1")
+    """The ablations of every policy, from one ledger."""
+    rows, out = stored(spark, sf_dir), None
+    for policy in POLICIES:
+        part = ablation(rows, policy).withColumn("policy", F.lit(policy))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 ORACLE = r"""
@@ -177,8 +186,8 @@ QUERIES = {"op1_quality": op1_quality, "llm_quality_ablation": op1_ablation}
 ORACLES = {
     "op1_quality": ORACLE + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_mask & 3) <> 0 as base_failed, fail_mask = 0 as kept, fail_mask, n_lines, n_upper, n_marks, n_digits from f",
     "llm_quality_ablation": ORACLE
-    + ", rules(rule, bit) as (values "
-    + ", ".join(f"('{n}', {b})" for n, b in BIT.items())
-    + ") select rule, sum(case when fail_mask & bit <> 0 then 1 else 0 end)::bigint as n_failed, sum(case when fail_mask = bit then 1 else 0 end)::bigint as n_only, "
-    f"sum(case when fail_mask & xor({(1 << len(RULES)) - 1}, bit) = 0 then 1 else 0 end)::bigint as n_kept_without from f, rules group by rule",
+    + ", rules(policy, rule, bit, whole) as (values "
+    + ", ".join(f"('{p}', '{n}', {BIT[n]}, {policy_mask(p)})" for p in POLICIES for n in POLICIES[p])
+    + ") select policy, rule, sum(case when fail_mask & bit <> 0 then 1 else 0 end)::bigint as n_failed, sum(case when fail_mask & whole = bit then 1 else 0 end)::bigint as n_only, "
+    "sum(case when fail_mask & xor(whole, bit) = 0 then 1 else 0 end)::bigint as n_kept_without from f, rules group by policy, rule",
 }
