@@ -1,7 +1,8 @@
 """Documents to packed training sequences, stage by stage.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
-and read again as the next one's ``docs``. All but the last keep the columns of documents."""
+and read again as the next one's ``docs``. All but the last keep the columns of documents; other
+columns go. Null texts have no language and go in the first stage; an empty table gives no rows."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    keep = op3_jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group, and one of rows that repeat its id and text.
+
+    Rows without an id are linked with nothing and stay."""
+    parts = op3_jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(written(parts, "kept-ids"), "doc_id", "left_semi")
+    again = written(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated-ids")
+    if not again.isEmpty():
+        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
+    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ STAGES = [
     ("secrets", secrets),
     ("packing", packing),
 ]
-#: Language models and packing are beyond SQL; tests compare the stages with brute force.
+#: Language models and packing are beyond SQL; tests/llm/test_pipeline.py holds a small run against brute force.
 ORACLE_SQL = None
 
 
