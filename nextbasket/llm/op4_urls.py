@@ -145,10 +145,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     if not n or p in (0, n):
         return margin
     edges = edges_of(sample)
+    sample = sample.withColumn("margin", F.lit(start))
+    prob = "1 / (1 + exp(-margin))"
     for _ in range(trees):
         nodes: list[tuple[str, int]] = [("true", depth)]
         leaves: list[str] = []
-        prob = f"1 / (1 + exp(-({margin})))"
         while nodes:
             where = "case " + " ".join(f"when {c} then {k}" for k, (c, _) in enumerate(nodes)) + " end"
             cells = [
@@ -175,7 +176,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
                 else:
                     leaves.append(f"when {cond} then {STEP * own[0].g / (own[0].h + PENALTY)!r}D")
             nodes = after
-        margin += " + case " + " ".join(leaves) + " else 0D end"
+        tree = "case " + " ".join(leaves) + " else 0D end"
+        margin += f" + {tree}"
+        # written, so that the plans of later trees stay small
+        sample = written(sample.withColumn("margin", F.expr(f"margin + {tree}")).coalesce(1), "url-sample")
     return margin
 
 
