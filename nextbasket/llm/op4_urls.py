@@ -128,11 +128,33 @@ def least_score(found: dict) -> float:
     return found["cut"] if found["auc"] - 2 * found["error"] > 0.5 else 2.0
 
 
+def bins(edges: dict[str, list[float]]) -> Column:
+    """The bin of each feature, in the order of ``FEATURES``: how many of its edges it reaches."""
+    reached = [" + ".join(["0", *(f"if({f} >= {x!r}D, 1, 0)" for x in edges[f])]) for f in FEATURES]
+    return F.expr(f"array({', '.join(reached)})")
+
+
+def best_split(cells: list, edges: dict[str, list[float]]) -> tuple:
+    """``(gain, feature, edge, g and h below it, g and h from it on)`` of a node, from its sums ``(f, bin, g, h)``."""
+    worth = lambda g, h: g * g / (h + PENALTY)
+    best = (0.0, "", 0.0, 0.0, 0.0, 0.0, 0.0)
+    for f, name in enumerate(FEATURES):
+        own = {r.bin: (r.g, r.h) for r in cells if r.f == f}
+        g, h = (sum(v[k] for v in own.values()) for k in (0, 1))
+        gl = hl = 0.0
+        for k, x in enumerate(edges[name]):
+            gl, hl = gl + own.get(k, (0.0, 0.0))[0], hl + own.get(k, (0.0, 0.0))[1]
+            # rounded, so that the order of a sum does not choose among equal splits
+            gain = round(worth(gl, hl) + worth(g - gl, h - hl) - worth(g, h), 9)
+            best = max(best, (gain, name, x, gl, hl, g - gl, h - hl))
+    return best
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> str:
     """A SQL expression for the margin of ``block`` over the feature columns.
 
     ``labelled`` has the features and ``label``. About ``sample_rows`` rows are used, picked by
-    hash. The driver sees a histogram: nodes x features x bins sums a level.
+    hash. The driver sees a histogram a level: nodes x features x bins sums.
     """
     n = labelled.count()
     part = max(1, min(1_000_000, math.ceil(1_000_000 * sample_rows / max(1, n))))
@@ -145,37 +167,34 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     if not n or p in (0, n):
         return margin
     edges = edges_of(sample)
-    sample = sample.withColumn("margin", F.lit(start))
+    sample = written(sample.withColumns({"bins": bins(edges), "margin": F.lit(start)}).coalesce(1), "url-sample")
     prob = "1 / (1 + exp(-margin))"
+    leaf = lambda cond, g, h: f"when {cond} then {STEP * g / (h + PENALTY)!r}D"
     for _ in range(trees):
-        nodes: list[tuple[str, int]] = [("true", depth)]
+        nodes: list[tuple] = [("true", 0.0, 0.0)]
         leaves: list[str] = []
-        while nodes:
-            where = "case " + " ".join(f"when {c} then {k}" for k, (c, _) in enumerate(nodes)) + " end"
-            cells = [
-                f"struct('{f}' as f, {k} as k, {f} < {x!r}D as low)" for f in FEATURES for k, x in enumerate(edges[f])
-            ]
+        for _ in range(depth):
+            if not nodes:
+                break
+            where = "case " + " ".join(f"when {c} then {k}" for k, (c, _, _) in enumerate(nodes)) + " end"
             got = (
                 sample.withColumns({"node": F.expr(where), "g": F.expr(f"label - {prob}"), "h": F.expr(f"({prob}) * (1 - {prob})")})
                 .where("node is not null")
-                .select("node", "g", "h", F.explode(F.expr(f"array({', '.join(cells)})")).alias("c"))
-                .groupBy("node", "c.f", "c.k")
-                .agg(F.sum(F.expr("if(c.low, g, 0)")).alias("gl"), F.sum(F.expr("if(c.low, h, 0)")).alias("hl"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+                .select("node", "g", "h", F.posexplode("bins").alias("f", "bin"))
+                .groupBy("node", "f", "bin")
+                .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
                 .collect()
             )
-            after: list[tuple[str, int]] = []
-            for k, (cond, left) in enumerate(nodes):
-                own = [r for r in got if r.node == k]
-                if not own:
-                    continue
-                worth = lambda g, h: g * g / (h + PENALTY)
-                gain, f, x = max((worth(r.gl, r.hl) + worth(r.g - r.gl, r.h - r.hl) - worth(r.g, r.h), r.f, r.k) for r in own)
-                if left and gain > 1e-9:
-                    cut = f"{f} < {edges[f][x]!r}D"
-                    after += [(f"{cond} and {cut}", left - 1), (f"{cond} and not {cut}", left - 1)]
+            after: list[tuple] = []
+            for k, (cond, _, _) in enumerate(nodes):
+                cells = [r for r in got if r.node == k]
+                gain, f, x, gl, hl, gr, hr = best_split(cells, edges)
+                if gain > 0:
+                    after += [(f"{cond} and {f} < {x!r}D", gl, hl), (f"{cond} and not {f} < {x!r}D", gr, hr)]
                 else:
-                    leaves.append(f"when {cond} then {STEP * own[0].g / (own[0].h + PENALTY)!r}D")
+                    leaves.append(leaf(cond, *(sum(c[k] for c in cells if c.f == 0) for k in ("g", "h"))))
             nodes = after
+        leaves += [leaf(*node) for node in nodes]
         tree = "case " + " ".join(leaves) + " else 0D end"
         margin += f" + {tree}"
         # written, so that the plans of later trees stay small
