@@ -102,14 +102,18 @@ def attr_counts(rows: DataFrame, toks: DataFrame) -> DataFrame:
     return both.union(own).groupBy("f", "g").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def ppmi(counts: DataFrame, min_count: int = 5) -> DataFrame:
-    """Positive PMI; the marginals are taken before the cut."""
+def pmi_weights(counts: DataFrame) -> DataFrame:
+    """``(f, g, n, m)``: counts and PMI where it is above 0; the marginals are taken over all counts."""
     row = counts.groupBy("f").agg(F.sum("n").alias("nf"))
     col = counts.groupBy("g").agg(F.sum("n").alias("ng"))
     total = counts.agg(F.sum("n").alias("total"))
     out = counts.join(row, "f").join(col, "g").join(F.broadcast(total))
-    m = F.greatest(F.lit(0.0), F.log(F.col("n") * F.col("total") / (F.col("nf") * F.col("ng"))))
-    return out.where(F.col("n") >= min_count).select("f", "g", m.alias("m")).where("m > 0")
+    return out.select("f", "g", "n", F.log(F.col("n") * F.col("total") / (F.col("nf") * F.col("ng"))).alias("m")).where("m > 0")
+
+
+def ppmi(counts: DataFrame, min_count: int = 5) -> DataFrame:
+    """Positive PMI; the marginals are taken before the cut."""
+    return pmi_weights(counts).where(F.col("n") >= min_count).select("f", "g", "m")
 
 
 def content_pairs(x: DataFrame, left: DataFrame) -> DataFrame:

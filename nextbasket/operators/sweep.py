@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import evaluate, models
+from . import evaluate, models, ranker
 from .evaluate import KEYS
 
 Models = dict[str, tuple[str, str]]
@@ -58,25 +58,14 @@ def edge_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return ctx.join(e, "a").groupBy(*KEYS, "variant_id").agg(*[F.sum(n).alias(n) for n in weights])
 
 
-def attr_scores(queries: DataFrame, x: DataFrame, counts: DataFrame) -> DataFrame:
-    """``attr1, attr2, attr5, attr10``: PMI scores by least count, from one pass over the widest table."""
-    row, col = counts.groupBy("f").agg(F.sum("n").alias("nf")), counts.groupBy("g").agg(F.sum("n").alias("ng"))
-    m = counts.join(row, "f").join(col, "g").join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
-    m = m.withColumn("m", F.log(F.col("n") * F.col("total") / (F.col("nf") * F.col("ng")))).where("m > 0")
-    q = queries.select(*KEYS, F.explode("context").alias("variant_id")).join(x, "variant_id").groupBy(*KEYS, F.col("token").alias("f")).agg(F.sum("w").alias("q"))
-    cut = {f"attr{c}": F.when(F.col("n") >= c, F.col("m")).otherwise(0.0) for c in MIN_COUNTS}
-    q = q.join(m, "f").groupBy(*KEYS, F.col("g").alias("token")).agg(*[F.sum(F.col("q") * w).alias(n) for n, w in cut.items()])
-    return q.join(x, "token").groupBy(*KEYS, "variant_id").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in cut])
-
-
 def content_models() -> Models:
     return {"content_cosine": ("content", "0D")} | {f"attr_cooccurrence(min_count={c})": (f"attr{c}", "0D") for c in MIN_COUNTS}
 
 
-def hybrid_models() -> Models:
-    """All weightings of two or more components; the score columns are those of ``shares``."""
+def hybrid_models(attr: str = "attr") -> ranker.Blends:
+    """All weightings of two or more components, for ``ranker``; ``attr`` names the attribute scores."""
     grid = [(a, c, i) for a in WEIGHTS for c in WEIGHTS for i in WEIGHTS if sum(w > 0 for w in (a, c, i)) > 1]
-    return {f"hybrid(attr={a:g}, content={c:g}, item={i:g})": (f"{a!r}D * attr + {c!r}D * content + {i!r}D * item", f"{TIE!r}D * u") for a, c, i in grid}
+    return {f"hybrid(attr={a:g}, content={c:g}, item={i:g})": ({attr: a, "content": c, "item": i}, {"u": TIE}) for a, c, i in grid}
 
 
 def shares(attr: DataFrame, content: DataFrame, item: DataFrame) -> DataFrame:
@@ -137,9 +126,3 @@ def board(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_queries"), F.countDistinct("order_id").alias("n_baskets"), mean("hit5"), mean("hit10"), mean("ndcg10"), mean("rr"),
         F.avg(F.when(F.col("n_scored") > 0, 1.0).otherwise(0.0)).alias("answered"),
     )
-
-
-def components_of(scores: DataFrame) -> DataFrame:
-    """Positive parts of each row of ``shares``, as a map."""
-    parts = F.create_map(*[x for n in ("attr", "content", "item") for x in (F.lit(n), F.round(n, 4))])
-    return scores.withColumn("why", F.map_filter(parts, lambda _, v: v > 0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import clean, evaluate, models, profile, serve, sweep
+from ..operators import clean, evaluate, models, profile, ranker, serve, sweep
 from ..sources import jsonl, nodes, scratch, testdata
 
 EMAILS = ["customer7@example.com", "Customer11@example.com", "customer42@example.com"]
@@ -419,9 +419,8 @@ PQ = ", q as (select order_id, target, unnest(context) as variant_id from loo),
 
 @query(B + ATTR + PQ + "select order_id, target, count(*) as n, round(max(score), 6) as best, round(sum(score), 4) as total from (select order_id, target, v.variant_id, sum(q * w) as score from qp join vec v using (token) group by 1, 2, 3) group by 1, 2")
 def score_content(spark, sf):
-    d = Data(spark, sf)
-    s = evaluate.score_content(d.queries, d.vectors())
-    return s.groupBy(*evaluate.KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
+    s = Blended(Data(spark, sf)).tops
+    return s.where("n_content > 0").select(*evaluate.KEYS, F.col("n_content").alias("n"), F.round("top_content", 6).alias("best"), F.round("total_content", 4).alias("total"))
 
 
 HYB = (
@@ -434,23 +433,30 @@ tie as (select variant_id, sum(quantity)::double / max(sum(quantity)) over () as
 )
 
 
-def served(d: Data) -> DataFrame:
-    """``(order_id, target, variant_id, attr, content, item)``: parts of the blend, weighted, fitted on ``d.fit``."""
-    x = d.vectors()
-    pmi = models.ppmi(models.attr_counts(d.fit, models.tokens(d.products)))
-    item = evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim")
-    return sweep.shares(evaluate.score_attr(d.queries, x, pmi), evaluate.score_content(d.queries, x), item).withColumn("item", 0.5 * F.col("item"))
+class Blended:
+    """Scores of content, attributes and neighbours for the queries of ``d``, fitted on ``lines`` and their baskets ``fit``."""
+
+    def __init__(self, d: Data, lines: DataFrame | None = None, fit: DataFrame | None = None):
+        lines, fit = (d.fit_lines, d.fit) if lines is None else (lines, fit)
+        x = scratch.written(d.vectors(), "vectors")
+        self.queries, self.prior = scratch.written(d.queries, "queries"), scratch.written(sweep.units_shares(lines), "prior")
+        pmi = models.pmi_weights(models.attr_counts(fit, models.tokens(d.products)))
+        self.profile = ranker.profiles(self.queries, x, pmi, {"attr": 5})
+        self.items = ranker.catalog_rows(x, d.available, self.prior)
+        self.item = scratch.written(evaluate.score_neighbours(self.queries, models.itemitem(fit), "sim"), "item")
+        self.tops = ranker.with_item(ranker.maxima(self.queries, self.profile, self.items, ["content", "attr"]), self.item)
 
 
-BLEND = "attr + content + item"
+#: The served blend.
+BLEND: ranker.Blends = {"hybrid": ({"attr": 1.0, "content": 1.0, "item": 0.5}, {"u": sweep.TIE})}
 
 
 @query(HYB + "select order_id, target, count(*) as n, round(max(score + 1e-6 * coalesce(u, 0)), 5) as best, round(sum(score + 1e-6 * coalesce(u, 0)), 3) as total from hy left join tie using (variant_id) group by 1, 2")
 def hybrid_score(spark, sf):
     """The weighted blend with ties broken by popularity."""
-    d = Data(spark, sf)
-    s = served(d).join(sweep.units_shares(d.fit_lines).select("variant_id", "u"), "variant_id", "left").withColumn("score", F.expr(f"{BLEND} + {sweep.TIE!r}D * coalesce(u, 0)"))
-    return s.groupBy(*evaluate.KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 3).alias("total"))
+    b = Blended(Data(spark, sf))
+    s = ranker.totals(b.queries, b.profile, b.items, b.tops, BLEND, b.item)
+    return s.select(*evaluate.KEYS, "n", F.round("best", 5).alias("best"), F.round("total", 3).alias("total"))
 
 
 @query(B + "select order_id, target, context_size, n_scored, rank, hit5, hit10, round(ndcg10, 6) as ndcg10, round(rr, 6) as rr, warm from met")
@@ -515,8 +521,8 @@ hm as (select hr.*, q.source, len(q.context) as context_size, q.target in (selec
 
 def hybrid_rows(d: Data) -> DataFrame:
     """Metric rows of the served blend on the held-out queries."""
-    which = {"hybrid": (BLEND, f"{sweep.TIE!r}D * u")}
-    rows = sweep.ranks(d.queries, served(d), sweep.units_shares(d.fit_lines), d.available, which)
+    b = Blended(d)
+    rows = ranker.ranks(b.queries, b.profile, b.items, b.tops, b.prior, BLEND, b.item)
     seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("warm", F.lit(True))
     return evaluate.metrics(rows).join(seen, "target", "left").na.fill(False, ["warm"])
 
@@ -623,23 +629,17 @@ from loo q join avail a on a.available_from <= q.date join products p on p.varia
 left join wd w on w.order_id = q.order_id and w.target = q.target and w.variant_id = p.variant_id left join tie t on t.variant_id = p.variant_id)"""
 
 
-def served_on_all(d: Data) -> DataFrame:
-    """Parts of the blend fitted on all orders, with ``u``, for the baskets of ``d.queries``."""
-    full = Data.__new__(Data)
-    full.__dict__.update(d.__dict__)
-    full.fit_lines, full.fit = d.lines, models.baskets(d.parts)
-    return served(full)
-
-
-def units(lines: DataFrame) -> DataFrame:
-    return sweep.units_shares(lines).select("variant_id", "u")
+def served(d: Data, which: ranker.Blends) -> DataFrame:
+    """Lists of blends fitted on all orders, for the baskets of ``d.queries``, from what can be sold."""
+    b = Blended(d, d.lines, models.baskets(d.parts))
+    ok = catalog(d).where((F.col("status") == "ACTIVE") & F.coalesce("in_stock", F.lit(True))).select("variant_id")
+    return ranker.best(b.queries, b.profile, b.items.join(ok, "variant_id", "left_semi"), b.tops, which, b.item)
 
 
 @query(SERVE + " select order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10")
 def recommend(spark, sf):
     """Ten items for every basket, by the blend fitted on all orders; items without a score follow by popularity."""
-    d = Data(spark, sf)
-    return serve.recommend(d.queries, served_on_all(d).withColumn("score", F.expr(BLEND)), catalog(d), prior=units(d.lines).withColumn("prior", F.col("u") * sweep.TIE))
+    return r6(served(Data(spark, sf), BLEND), "score").select(*evaluate.KEYS, "slot", "variant_id", "score")
 
 
 @query(B + "select t.term, slot, variant_id, title from (select t.term, p.variant_id, p.title, row_number() over (partition by t.term order by strpos(lower(p.title), lower(t.term)), p.title, p.variant_id)::int as slot from products p join (values ('red'), ('Ex'), ('glow'), ('x')) t(term) on strpos(lower(p.title), lower(t.term)) > 0 where p.status = 'ACTIVE' and length(t.term) >= 2) t where slot <= 8")

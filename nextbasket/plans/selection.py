@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import evaluate, models, serve, sweep
+from ..operators import evaluate, models, ranker, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
-from .queries import ATTR, B, BLEND, COUNTS, PQ, SERVE, STEPS, Data, catalog, query, r6, served_on_all, units
+from .queries import ATTR, B, BLEND, COUNTS, PQ, SERVE, STEPS, Blended, Data, query, r6, served
 
 MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
 
@@ -59,9 +59,8 @@ def pop_tiebreak(spark, sf):
 
 @query(B + ATTR + PQ + "select order_id, target, count(*) as n, round(max(score), 6) as best from (select order_id, target, v.variant_id, sum(qg.q * v.w) as score from (select order_id, target, g as token, sum(q * m) as q from qp join (select * from pm where n >= 5 and m > 0) p on p.f = qp.token group by 1, 2, 3) qg join vec v using (token) group by 1, 2, 3) group by 1, 2")
 def score_attr(spark, sf):
-    d = Data(spark, sf)
-    pmi = models.ppmi(models.attr_counts(d.fit, models.tokens(d.products)))
-    return evaluate.score_attr(d.queries, d.vectors(), pmi).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    s = Blended(Data(spark, sf)).tops
+    return s.where("n_attr > 0").select(*KEYS, F.col("n_attr").alias("n"), F.round("top_attr", 6).alias("best"))
 
 
 # ---- ranks with a prior ----------------------------------------------------------------------
@@ -102,31 +101,27 @@ class Window:
         self.queries = kept(spark, models.loo_queries(models.baskets(d.parts.where(F.col("part") == part))))
         self.prior = kept(spark, sweep.units_shares(lines))
         self.seen = lines.select(F.col("variant_id").alias("target")).distinct().withColumn("warm", F.lit(True))
-        toks = models.tokens(d.products)
-        self.x, self.counts = kept(spark, d.vectors()), models.attr_counts(self.fit, toks)
+        x = kept(spark, d.vectors())
+        pmi = models.pmi_weights(models.attr_counts(self.fit, models.tokens(d.products)))
+        self.profile = ranker.profiles(self.queries, x, pmi, {f"attr{c}": c for c in sweep.MIN_COUNTS})
+        self.items = ranker.catalog_rows(x, d.available, self.prior)
+        self.tops = ranker.maxima(self.queries, self.profile, self.items, [s for s, _ in sweep.content_models().values()])
         self.edges = kept(spark, sweep.edge_scores(self.queries, self.fit))
 
-    def content(self) -> DataFrame:
-        """Content and attribute scores side by side."""
-        c = evaluate.score_content(self.queries, self.x).withColumnRenamed("score", "content")
-        return sweep.attr_scores(self.queries, self.x, self.counts).join(c, [*KEYS, "variant_id"], "full")
-
-    def ranks(self, wide: DataFrame, which: sweep.Models) -> DataFrame:
-        return sweep.ranks(self.queries, wide, self.prior, self.available, which)
-
     def all_ranks(self, singles: list[str] | None = None, hybrids: list[str] | None = None, parts: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
         """Ranks of single models, of hybrids, and the score columns (attr, item) the hybrids use.
 
         Without ``parts`` the hybrids take the best attribute and item model by hit10."""
         pick = lambda all_of, names: {k: v for k, v in all_of.items() if names is None or k in names}
-        wide = kept(self.spark, self.content())
-        edge, cont = pick(sweep.edge_models(), singles), pick(sweep.content_models(), singles)
-        one = kept(self.spark, self.ranks(self.edges, edge).union(self.ranks(wide, cont)))
+        edge = sweep.ranks(self.queries, self.edges, self.prior, self.available, pick(sweep.edge_models(), singles))
+        content = {name: ({score: 1.0}, {}) for name, (score, _) in pick(sweep.content_models(), singles).items()}
+        by_tokens = ranker.ranks(self.queries, self.profile, self.items, self.tops, self.prior, content, shares=False)
+        one = kept(self.spark, edge.unionByName(by_tokens))
         if parts is None:
             parts = chosen(one)
-        score = lambda df, c: df.select(*KEYS, "variant_id", F.col(c).alias("score")).where("score > 0")
-        mixed = kept(self.spark, sweep.shares(score(wide, parts[0]), score(wide, "content"), score(self.edges, parts[1])))
-        return one, self.ranks(mixed, pick(sweep.hybrid_models(), hybrids)), parts
+        item = kept(self.spark, self.edges.select(*KEYS, "variant_id", F.col(parts[1]).alias("score")).where("score > 0"))
+        mixed = ranker.ranks(self.queries, self.profile, self.items, ranker.with_item(self.tops, item), self.prior, pick(sweep.hybrid_models(parts[0]), hybrids), item)
+        return one, mixed, parts
 
 
 def family(name) -> F.Column:
@@ -267,11 +262,9 @@ def drift(spark, sf):
 from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10""")
 def recommend_why(spark, sf):
     """Ten items of the blend for every basket, with what each component adds; null where it adds nothing."""
-    d = Data(spark, sf)
-    wide = served_on_all(d).withColumn("score", F.expr(BLEND))
-    top = serve.recommend(d.queries, wide, catalog(d), prior=units(d.lines).withColumn("prior", F.col("u") * sweep.TIE), carry=["attr", "content", "item"])
-    why = sweep.components_of(top)
-    return why.select(*KEYS, "slot", "variant_id", "score", *[F.nullif(F.col("why")[n], F.lit(0.0)).alias(f"by_{n}") for n in ("attr", "content", "item")])
+    top = r6(served(Data(spark, sf), BLEND), "score")
+    part = lambda n: F.nullif(F.round(n, 4), F.lit(0.0)).alias(f"by_{n}")
+    return top.select(*KEYS, "slot", "variant_id", "score", *[part(n) for n in ("attr", "content", "item")])
 
 
 NOW = ", now as (select variant_id, sum(quantity * pow(0.5, date_diff('day', date, (select max(date) from parts)) / 30.0)) as v from parts group by 1)"
@@ -281,14 +274,5 @@ FIVE = {"popularity": "coalesce(v, 0) / (select max(v) from now)", "itemitem": "
 @query(SERVE + NOW + " select model, order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by model, order_id, target order by score desc, variant_id)::int as slot from (" + " union all ".join(f"select '{m}' as model, order_id, target, variant_id, round({e}, 10) as score from ok left join now using (variant_id)" for m, e in FIVE.items()) + ")) where slot <= 10")
 def compare_models(spark, sf):
     """The same baskets through five models fitted on all orders, ten items each; single scores over their maxima."""
-    d = Data(spark, sf)
-    wide, cat, out = kept(spark, served_on_all(d)), kept(spark, catalog(d)), None
-    shares = kept(spark, sweep.units_shares(d.lines))
-    scores = {"popularity": "0D", "itemitem": "2 * item", "content": "content", "attr": "attr", "hybrid": BLEND}
-    priors = {"popularity": "u30", "hybrid": f"u * {sweep.TIE!r}D"}
-    for name, e in scores.items():
-        own = wide.select(*KEYS, "variant_id", F.expr(e).alias("score")).where("score > 0")
-        prior = shares.select("variant_id", F.expr(priors[name]).alias("prior")) if name in priors else None
-        rows = serve.recommend(d.queries, own, cat, prior=prior).select(F.lit(name).alias("model"), "*")
-        out = rows if out is None else out.union(rows)
-    return out
+    which = {"popularity": ({}, {"u30": 1.0}), **{m: ({c: 1.0}, {}) for m, c in (("itemitem", "item"), ("content", "content"), ("attr", "attr"))}, **BLEND}
+    return r6(served(Data(spark, sf), which), "score").select("model", *KEYS, "slot", "variant_id", "score")

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from nextbasket import functions as fn
-from nextbasket.operators import clean, evaluate, models, profile, serve, sweep
+from nextbasket.operators import clean, evaluate, models, profile, ranker, serve, sweep
 
 LINE = "array<struct<pos:int,variant_id:string,product_id:string,title:string,quantity:int,refunded:int,unit_price:double>>"
 SCHEMA = f"id long, created_at string, test boolean, cancelled_at string, source_name string, email string, customer_id string, line_items {LINE}"
@@ -112,6 +112,52 @@ def test_ranks_with_a_prior_equal_a_full_list(spark):
             assert got[m, k] == (want, sum(q > 0 for q in s.values()))
 
 
+def test_ranker_equals_plain_python(spark, monkeypatch):
+    """Several cells, ties between equal items, items without tokens, a query without any and one whose item has a prior only."""
+    monkeypatch.setattr(ranker, "BATCH", 4)
+    monkeypatch.setattr(ranker, "BLOCK", 5)
+    r = random.Random(5)
+    days = [date(2026, 1, k) for k in (1, 2, 3)]
+    toks = {v: r.sample("abcdef", r.randint(0, 3)) for v in range(1, 21)} | {20: [], 7: ["a", "b"], 8: ["a", "b"]}
+    w = {c: 1.0 + k / 7 for k, c in enumerate("abcdef")}
+    since, u = {v: r.choice(days) for v in toks}, {v: r.choice([0.25, 0.5, 1.0]) for v in range(1, 15)}
+    pmi = {(f, g): (r.randint(1, 9), 0.5 + r.random()) for f in "abcdef" for g in r.sample("abcdef", 3)}
+    asked = [(k, t, days[2], "pos", c) for k in range(13) for t, *c in [r.sample(sorted(toks), 3)]] + [(99, 7, days[2], "pos", [20])]
+    item = {(k, v): r.choice([0.5, 1.5]) for k, *_ in asked[::2] for v in r.sample(sorted(toks), 4)}
+    queries = spark.createDataFrame(asked, "order_id long, target long, date date, source string, context array<long>")
+    x = spark.createDataFrame([(v, c, w[c]) for v, cs in toks.items() for c in cs], "variant_id long, token string, w double")
+    prior = spark.createDataFrame(list(u.items()), "variant_id long, u double")
+    profile = ranker.profiles(queries, x, spark.createDataFrame([(f, g, n, m) for (f, g), (n, m) in pmi.items()], "f string, g string, n long, m double"), {"attr": 5})
+    items = ranker.catalog_rows(x, spark.createDataFrame(list(since.items()), "variant_id long, available_from date"), prior)
+    target = {k: t for k, t, *_ in asked}
+    pairs = spark.createDataFrame([(k, target[k], v, s) for (k, v), s in item.items()], "order_id long, target long, variant_id long, score double")
+    tops = ranker.with_item(ranker.maxima(queries, profile, items, ["content", "attr"]), pairs)
+    which = {"h": ({"attr": 1.0, "content": 0.5, "item": 0.5}, {"u": 1e-6}), "p": ({}, {"u": 1.0})}
+    ranks = {(q.model, q.order_id): (q["rank"], q.n_scored) for q in ranker.ranks(queries, profile, items, tops, prior, which, pairs).collect()}
+    sums = {q.order_id: q for q in ranker.totals(queries, profile, items, tops, {"h": which["h"]}, pairs).collect()}
+    lists = {}
+    for q in ranker.best(queries, profile, items, tops, which, pairs, 3).orderBy("slot").collect():
+        lists.setdefault((q.model, q.order_id), []).append(q.variant_id)
+    for k, t, day, _, ctx in asked:
+        q = {c: sum(w[c] for v in ctx if c in toks[v]) for c in "abcdef"}
+        a = {g: sum(q[f] * m for (f, h), (n, m) in pmi.items() if h == g and n >= 5) for g in "abcdef"}
+        parts = {"content": {v: sum(q[c] * w[c] for c in toks[v]) for v in toks}, "attr": {v: sum(a[c] * w[c] for c in toks[v]) for v in toks}, "item": {v: item.get((k, v), 0.0) for v in toks}}
+        for m, (ws, ps) in which.items():
+            raw = {v: sum(y * parts[c][v] / (max(parts[c].values()) or 1) for c, y in ws.items()) for v in toks}
+            s = {v: raw[v] + sum(y * u.get(v, 0) for y in ps.values()) for v in toks}
+            ok = [v for v in toks if since[v] <= day and v not in ctx]
+            key = {v: math.floor(s[v] * 1e12 + 0.5) for v in ok}
+            assert ranks[m, k] == (1 + sum(y > key[t] for y in key.values()) + (sum(y == key[t] for y in key.values()) - 1) / 2, sum(y > 0 for y in key.values()))
+            assert lists[m, k] == sorted(ok, key=lambda v: (-math.floor(s[v] * 1e10 + 0.5), v))[:3]
+            if m == "h":
+                has = [v for v in toks if raw[v] > 0]
+                assert (k in sums) == bool(has)
+                if has:
+                    assert sums[k].n == len(has) and abs(sums[k].total - sum(s[v] for v in has)) < 1e-9 and abs(sums[k].best - max(s[v] for v in has)) < 1e-12
+    none = queries.where("order_id < 0")
+    assert ranker.ranks(none, profile, items, tops, prior, which, pairs).count() == 0
+
+
 def test_configurations():
     names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
     assert len(names) == len(set(names)) == 43
