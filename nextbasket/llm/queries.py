@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["op1_quality", "op2_secrets", "op3_jaccard", "op4_urls", "op5_html", "op6_substring", "op7_bpe", "op8_packing", "op9_language", "op10_embeddings", "op11_phrases"]
+MODULES = ["op1_quality", "op2_secrets", "op3_jaccard", "op4_urls", "op5_html", "op6_substring", "op7_bpe", "op8_packing", "op9_language", "op10_embeddings", "op11_phrases", "op12_spelling", "op13_sharding"]
 
 
 def queries() -> dict:
