@@ -13,8 +13,10 @@ their suffix interval. The windows of an anchor of more than ``HOT`` fragments a
 first place of each is aggregated in Spark, and a join with it marks the later ones, so that a
 passage in very many documents does not meet in one shard.
 
-Null text: no words. Rows with null doc_id are returned unchanged and repeat nothing; rows that
-share a doc_id are taken for one document. Other columns are kept by ``deduplicated``.
+Null text: no words. Rows with null doc_id are returned unchanged and repeat nothing. Rows that share
+a doc_id are documents of their own, in the order of a hash of their texts (``tag``, 0 for other rows); those
+that share the text too are one document. Other columns are kept by ``deduplicated``, but not such as are named
+n_words, n_removed, kept or spans, which it makes itself.
 """
 
 from __future__ import annotations
@@ -42,14 +44,25 @@ def sliding_least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
+def tagged(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` with ``__tag``, which tells texts of one id apart, unless they have it."""
+    if "__tag" in docs.columns:
+        return docs
+    again = written(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("__again"), "shared-ids")
+    if again.isEmpty():
+        return docs.withColumn("__tag", F.lit(0).cast("long"))
+    tag = F.when(F.col("__again").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+    return docs.join(again, F.col(key) == F.col("__again"), "left").withColumn("__tag", tag).drop("__again")
+
+
 def fragments(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """``(anchor, content, doc, start, n, inner)``: ``n`` windows from word ``start`` on share an anchor.
+    """``(anchor, content, doc, tag, start, n, inner)``: ``n`` windows from word ``start`` on share an anchor.
 
     ``inner`` is 1 if a short run comes again so soon that the fragment may repeat inside itself."""
 
     def run(batches):
         for b in batches:
-            for at, part in textnum.blocks(b.column(1)):
+            for at, part in textnum.blocks(b.column(2)):
                 w = textnum.words(part)
                 doc = w.doc()
                 if len(doc) < window:
@@ -70,19 +83,19 @@ def fragments(docs: DataFrame, text: str = "text", key: str = "doc_id", window:
                 # a window is valid up to the last whole one of its document
                 n = np.minimum(n, w.offsets[doc[first] + 1] - window + 1 - first)
                 content = textnum.hashes_of(w.hash, first, first + n + window - 1)
-                ids = b.column(0).slice(at, len(part)).to_numpy(zero_copy_only=False)
+                ids, tags = (b.column(k).slice(at, len(part)).to_numpy(zero_copy_only=False) for k in (0, 1))
                 inner = again[np.minimum(first + n + window - seed, len(again) - 1)] > again[first]
-                cols = anchor[first].view(np.int64), content.view(np.int64), ids[doc[first]], first - w.offsets[doc[first]], n, inner.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "doc", "start", "n", "inner"])
+                cols = anchor[first].view(np.int64), content.view(np.int64), ids[doc[first]], tags[doc[first]], first - w.offsets[doc[first]], n, inner.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "doc", "tag", "start", "n", "inner"])
 
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "anchor long, content long, doc long, start long, n long, inner long")
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col("__tag").alias("tag"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "anchor long, content long, doc long, tag long, start long, n long, inner long")
 
 
 def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: int, hot: int) -> DataFrame:
-    """The word hashes of ``wanted(doc, anchor, start, n, rows)``; hot anchors give the hash of each window and no words."""
-    need = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "rows")).alias("need"))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(need, "doc")
+    """The word hashes of ``wanted(doc, tag, anchor, start, n, rows)``; hot anchors give the hash of each window and no words."""
+    need = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "rows")).alias("need"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col("__tag").alias("tag"), F.col(text).alias("text")).join(need, ["doc", "tag"])
 
     def run(batches):
         for b in batches:
@@ -92,15 +105,15 @@ def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: i
                 flat = own.flatten()
                 which = np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
                 anchor, start, n, rows = (flat.field(k).to_numpy() for k in range(4))
-                ids = b.column("doc").slice(at, len(part)).to_numpy()[which]
+                ids, tags = (b.column(c).slice(at, len(part)).to_numpy()[which] for c in ("doc", "tag"))
                 first = w.offsets[which] + start
                 fits = first + n + window - 1 <= w.offsets[which + 1]
-                anchor, start, n, rows, ids, first = (x[fits] for x in (anchor, start, n, rows, ids, first))
+                anchor, start, n, rows, ids, tags, first = (x[fits] for x in (anchor, start, n, rows, ids, tags, first))
                 is_hot = rows > hot
                 if is_hot.any():
                     m = np.where(is_hot, n, 1)
                     step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    anchor, start, n, ids, first, is_hot = (np.repeat(x, m) for x in (anchor, start, n, ids, first, is_hot))
+                    anchor, start, n, ids, tags, first, is_hot = (np.repeat(x, m) for x in (anchor, start, n, ids, tags, first, is_hot))
                     first, start, n = first + step, start + step, np.where(is_hot, 1, n)
                     own_hash = textnum.hashes_of(w.hash, first, first + window)
                     anchor = np.where(is_hot, own_hash.view(np.int64), anchor)
@@ -108,20 +121,20 @@ def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: i
                 hashes = textnum.gather(w.hash, first, size)
                 offsets = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(start), blob, pa.array(is_hot)], ["anchor", "doc", "start", "words", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(tags), pa.array(start), blob, pa.array(is_hot)], ["anchor", "doc", "tag", "start", "words", "hot"])
 
-    return rows.mapInArrow(run, "anchor long, doc long, start long, words binary, hot boolean")
+    return rows.mapInArrow(run, "anchor long, doc long, tag long, start long, words binary, hot boolean")
 
 
 def later_windows(rows: DataFrame, window: int) -> DataFrame:
-    """``(doc, a, b)`` of the windows ``(anchor, doc, start)`` that come earlier too; ``anchor`` is a window's hash."""
-    first = rows.groupBy("anchor").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
-    again = rows.join(first, "anchor").where(F.struct("doc", "start") > F.col("first"))
-    return again.select("doc", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
+    """``(doc, tag, a, b)`` of the windows ``(anchor, doc, tag, start)`` that come earlier too; ``anchor`` is a window's hash."""
+    first = rows.groupBy("anchor").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    again = rows.join(first, "anchor").where(F.struct("doc", "tag", "start") > F.col("first"))
+    return again.select("doc", "tag", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
 
 
-def search_shard(doc: np.ndarray, start: np.ndarray, words: list[bytes], window: int):
-    """``(doc, from, to)`` of the windows of a shard's fragments with an earlier place in the shard."""
+def search_shard(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, words: list[bytes], window: int):
+    """``(doc, tag, from, to)`` of the windows of a shard's fragments with an earlier place in the shard."""
     size = np.array([len(x) // 8 for x in words])
     flat = np.frombuffer(b"".join(words), np.uint64)
     _, symbol = np.unique(flat, return_inverse=True)
@@ -142,26 +155,26 @@ def search_shard(doc: np.ndarray, start: np.ndarray, words: list[bytes], window:
         return None
     # the order of places: document, then word
     at = start[which] + offset
-    _, place = np.unique(np.stack([doc[which], at], 1), axis=0, return_inverse=True)
+    _, place = np.unique(np.stack([doc[which], tag[which], at], 1), axis=0, return_inverse=True)
     place = place.reshape(-1)
     order = np.full(len(seq), len(which), np.int64)
     order[first] = place
     least = Minimum(order[index.sa], int((high - low).max())).of(low[hit], high[hit])
     hit = hit[least < place[hit]]
-    return doc[which[hit]], at[hit], at[hit] + window
+    return doc[which[hit]], tag[which[hit]], at[hit], at[hit] + window
 
 
 def searched(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
     """Runs the shards: whole anchors of a sorted partition, about ``shard_words`` words each."""
 
-    def merged(doc, a, b):
+    def merged(doc, tag, a, b):
         """Covered ranges of a shard's windows, joined where they overlap."""
-        order = np.lexsort([a, doc])
-        doc, a, b = doc[order], a[order], b[order]
+        order = np.lexsort([a, tag, doc])
+        doc, tag, a, b = doc[order], tag[order], a[order], b[order]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (a[1:] > b[:-1])
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (a[1:] > b[:-1])
         last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[new], a[new], b[last])], ["doc", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[new], tag[new], a[new], b[last])], ["doc", "tag", "a", "b"])
 
     def run(batches):
         held, count = [], 0
@@ -174,7 +187,8 @@ def searched(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
             table = pa.Table.from_batches(held)
             anchor = table.column("anchor").to_numpy()
             cut = len(anchor) if b is None else int(np.searchsorted(anchor, anchor[-1]))
-            doc, start, words = table.column("doc").to_numpy()[:cut], table.column("start").to_numpy()[:cut], table.column("words").to_pylist()[:cut]
+            doc, tag, start = (table.column(c).to_numpy()[:cut] for c in ("doc", "tag", "start"))
+            words = table.column("words").to_pylist()[:cut]
             groups = np.flatnonzero(np.append(True, anchor[1:cut] != anchor[: cut - 1])) if cut else np.zeros(0, int)
             ends = np.append(groups[1:], cut)
             size = np.concatenate([[0], np.cumsum([len(x) // 8 for x in words])])
@@ -183,41 +197,43 @@ def searched(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
                 e = max(s + 1, int(np.searchsorted(size[ends], size[groups[s]] + shard_words, "right")))
                 x, y = groups[s], ends[e - 1]
                 s = e
-                if got := search_shard(doc[x:y], start[x:y], words[x:y], window) if size[y] - size[x] > window else None:
+                if got := search_shard(doc[x:y], tag[x:y], start[x:y], words[x:y], window) if size[y] - size[x] > window else None:
                     yield merged(*got)
             rest = table.slice(cut)
             held = rest.combine_chunks().to_batches() if rest.num_rows else []
             count = sum(len(x) // 8 for x in rest.column("words").to_pylist()) if rest.num_rows else 0
 
     rows = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "doc long, a long, b long")
+    return rows.mapInArrow(run, "doc long, tag long, a long, b long")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(doc, spans)``: ranges of words [a, b) to remove, for documents that have any."""
+    """``(doc, tag, spans)``: ranges of words [a, b) to remove, for documents that have any."""
+    docs = tagged(docs, text, key)
     found = fragments(docs, text, key, window, seed)
     counts = F.count(F.lit(1)).alias("rows"), F.max("inner").alias("inner")
     often = found.groupBy("anchor").agg(*counts).where("rows > 1 or inner = 1").select("anchor")
     some = written(found.join(often, "anchor"), "fragments")
-    own = some.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner"))
+    own = some.groupBy("anchor", "content").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner"))
     own = written(own, "distinct-fragments")
-    later = some.join(own.select("anchor", "content", "first"), ["anchor", "content"]).where(F.struct("doc", "start") > F.col("first"))
-    later = later.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b"))
+    later = some.join(own.select("anchor", "content", "first"), ["anchor", "content"]).where(F.struct("doc", "tag", "start") > F.col("first"))
+    later = later.select("doc", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b"))
     many = own.groupBy("anchor").agg(*counts).where("rows > 1 or inner = 1").select("anchor", "rows")
-    wanted = own.join(many, "anchor").select("anchor", "first.doc", "first.start", "n", "rows")
+    wanted = own.join(many, "anchor").select("anchor", "first.doc", "first.tag", "first.start", "n", "rows")
     parts = extracted(docs, wanted, text, key, window, hot)
     inside = searched(parts.where("not hot").drop("hot"), window, shard_words)
     if not many.where(F.col("rows") > hot).isEmpty():
         # in one plan, so that the texts are shuffled once for all branches
-        inside = inside.union(later_windows(parts.where("hot").select("anchor", "doc", "start"), window))
-    return later.union(inside).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        inside = inside.union(later_windows(parts.where("hot").select("anchor", "doc", "tag", "start"), window))
+    return later.union(inside).groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def removed(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", digest: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and the kept words joined by a space (``kept``), or their SHA-256."""
     out = "kept_sha256" if digest else "kept"
-    docs = docs.drop("n_words", "n_removed", out, "spans", "__doc")
-    rows = docs.join(spans.select(F.col("doc").alias("__doc"), "spans"), F.col(key) == F.col("__doc"), "left").drop("__doc")
+    docs = tagged(docs.drop("n_words", "n_removed", out, "spans", "__doc"), text, key)
+    rows = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__own"), "spans"), (F.col(key) == F.col("__doc")) & (F.col("__tag") == F.col("__own")), "left").drop("__doc", "__own", "__tag")
+    docs = docs.drop("__tag")
     names = docs.columns
 
     def run(batches):
@@ -245,6 +261,7 @@ def removed(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "d
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeats removed from ``text``; documents without any keep theirs as it is."""
+    docs = tagged(docs, text, key)
     rows = removed(docs, repeats(docs, text, key), text, key)
     new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
     return rows.withColumn(text, new).drop("n_words", "kept")
@@ -252,6 +269,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = tagged(docs, "text", "doc_id")
     return removed(docs, repeats(docs), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

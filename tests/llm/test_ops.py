@@ -403,3 +403,15 @@ def test_long_words_are_scored_whole():
 def test_width_of_ids():
     small, large = ('{"model": {"vocab": {"a": 0, "b": %d}}}' % n for n in (65535, 65536))
     assert op8_packing.width(small) == "<u2" and op8_packing.width(large) == "<u4"
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    make = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    first, own, passage = make(60), make(50), make(30)
+    rows = [(1, first), (5, f"{make(10)} {first}"), (5, own), (5, own), (6, f"{make(3)} {passage}"), (6, f"{passage} {make(40)}"), (None, first)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x.doc_id, x.text, x.n_removed) for x in op6_substring.deduplicated(df.withColumn("n_removed", F.lit("old")).withColumn("spans", F.lit(1))).collect()]
+    assert (5, own, 0) in got and got.count((5, own, 0)) == 2 and (1, first, 0) in got and (None, first, 0) in got
+    assert [x[2] for x in got if x[0] == 5 and x[1] != own] == [60]
+    assert sorted(x[2] for x in got if x[0] == 6) == [0, 30]  # one of the two keeps the passage
