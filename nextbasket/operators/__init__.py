@@ -1 +1,10 @@
-"""Cleaning, profiling, fitting, ranking and evaluation as DataFrame jobs."""
+"""Cleaning, profiling, fitting, ranking and evaluation as DataFrame jobs.
+
+Functions that run in Python workers are pickled by value, so executors need the third-party libraries only.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -436,7 +436,7 @@ tie as (select variant_id, sum(quantity)::double / max(sum(quantity)) over () as
 class Blended:
     """Scores of content, attributes and neighbours for the queries of ``d``, fitted on ``lines`` and their baskets ``fit``."""
 
-    def __init__(self, d: Data, lines: DataFrame | None = None, fit: DataFrame | None = None):
+    def __init__(self, d: Data, lines: DataFrame | None = None, fit: DataFrame | None = None, counts: bool = True):
         lines, fit = (d.fit_lines, d.fit) if lines is None else (lines, fit)
         x = scratch.written(d.vectors(), "vectors")
         self.queries, self.prior = scratch.written(d.queries, "queries"), scratch.written(sweep.units_shares(lines), "prior")
@@ -444,7 +444,7 @@ class Blended:
         self.profile = ranker.profiles(self.queries, x, pmi, {"attr": 5})
         self.items = ranker.catalog_rows(x, d.available, self.prior)
         self.item = scratch.written(evaluate.score_neighbours(self.queries, models.itemitem(fit), "sim"), "item")
-        self.tops = ranker.with_item(ranker.maxima(self.queries, self.profile, self.items, ["content", "attr"]), self.item)
+        self.tops = ranker.with_item(ranker.maxima(self.queries, self.profile, self.items, ["content", "attr"], counts), self.item)
 
 
 #: The served blend.
@@ -521,7 +521,7 @@ hm as (select hr.*, q.source, len(q.context) as context_size, q.target in (selec
 
 def hybrid_rows(d: Data) -> DataFrame:
     """Metric rows of the served blend on the held-out queries."""
-    b = Blended(d)
+    b = Blended(d, counts=False)
     rows = ranker.ranks(b.queries, b.profile, b.items, b.tops, b.prior, BLEND, b.item)
     seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("warm", F.lit(True))
     return evaluate.metrics(rows).join(seen, "target", "left").na.fill(False, ["warm"])
@@ -631,7 +631,7 @@ left join wd w on w.order_id = q.order_id and w.target = q.target and w.variant_
 
 def served(d: Data, which: ranker.Blends) -> DataFrame:
     """Lists of blends fitted on all orders, for the baskets of ``d.queries``, from what can be sold."""
-    b = Blended(d, d.lines, models.baskets(d.parts))
+    b = Blended(d, d.lines, models.baskets(d.parts), counts=False)
     ok = catalog(d).where((F.col("status") == "ACTIVE") & F.coalesce("in_stock", F.lit(True))).select("variant_id")
     return ranker.best(b.queries, b.profile, b.items.join(ok, "variant_id", "left_semi"), b.tops, which, b.item)
 

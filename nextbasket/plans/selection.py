@@ -105,7 +105,7 @@ class Window:
         pmi = models.pmi_weights(models.attr_counts(self.fit, models.tokens(d.products)))
         self.profile = ranker.profiles(self.queries, x, pmi, {f"attr{c}": c for c in sweep.MIN_COUNTS})
         self.items = ranker.catalog_rows(x, d.available, self.prior)
-        self.tops = ranker.maxima(self.queries, self.profile, self.items, [s for s, _ in sweep.content_models().values()])
+        self.tops = ranker.maxima(self.queries, self.profile, self.items, [s for s, _ in sweep.content_models().values()], counts=False)
         self.edges = kept(spark, sweep.edge_scores(self.queries, self.fit))
 
     def all_ranks(self, singles: list[str] | None = None, hybrids: list[str] | None = None, parts: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, tuple[str, str]]:

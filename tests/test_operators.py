@@ -158,6 +158,51 @@ def test_ranker_equals_plain_python(spark, monkeypatch):
     assert ranker.ranks(none, profile, items, tops, prior, which, pairs).count() == 0
 
 
+def test_ranker_with_copies_and_blocks(spark):
+    """A hundred items share each vector; several blocks give the rows of one, and of numpy; bounds spare most tiles."""
+    r = random.Random(11)
+    day = date(2026, 1, 1)
+    vectors = [{f"{k}{r.randrange(6)}": 0.2 + r.random() for k in "abcd"} for _ in range(300)]
+    catalog = {v: vectors[v // 100] for v in range(1000)} | {1000 + k: x for k, x in enumerate(vectors)}
+    u = {v: r.choice([0.0, 0.25, 1.0]) for v in catalog}
+    asked = [(k, t, day, "pos", c) for k in range(12) for t, *c in [r.sample(sorted(catalog), 4)]]
+    item = {(k, v): r.choice([0.5, 1.5]) for k, *_ in asked for v in r.sample(sorted(catalog), 6)}
+    queries = spark.createDataFrame(asked, "order_id long, target long, date date, source string, context array<long>")
+    x = spark.createDataFrame([(v, c, w) for v, own in catalog.items() for c, w in own.items()], "variant_id long, token string, w double").repartition(4)
+    prior = spark.createDataFrame(list(u.items()), "variant_id long, u double")
+    profile = ranker.profiles(queries, x, spark.createDataFrame([], "f string, g string, n long, m double"), {"attr": 1})
+    items = ranker.catalog_rows(x, spark.createDataFrame([(v, day) for v in catalog], "variant_id long, available_from date"), prior)
+    target = {k: t for k, t, *_ in asked}
+    pairs = spark.createDataFrame([(k, target[k], v, s) for (k, v), s in item.items()], "order_id long, target long, variant_id long, score double")
+    which = {"h": ({"content": 1.0, "item": 0.5}, {"u": 1e-6})}
+    tops = ranker.with_item(ranker.maxima(queries, profile, items, ["content"], counts=False), pairs)
+    full = {q.order_id: q for q in ranker.maxima(queries, profile, items, ["content"]).collect()}
+    assert all(abs(q.top_content - full[q.order_id].top_content) < 1e-12 and q.at_content == full[q.order_id].at_content for q in tops.collect())
+    found = []
+    for block_bytes in (64_000_000, 60_000):
+        lists, looks = {}, [0, 0]
+        for q in ranker.best(queries, profile, items, tops, which, pairs, block_bytes=block_bytes).orderBy("slot").collect():
+            lists.setdefault(q.order_id, []).append((q.variant_id, q.score))
+            looks = [looks[0] + q.looked, looks[1] + q.tiles]
+        ranks = {q.order_id: (q["rank"], q.n_scored) for q in ranker.ranks(queries, profile, items, tops, prior, which, pairs, block_bytes=block_bytes).collect()}
+        found.append((lists, ranks))
+        assert looks[0] < looks[1]
+    assert found[0] == found[1]
+    for k, t, _, _, ctx in asked:
+        q: dict = {}
+        for v in ctx:
+            for c, w in catalog[v].items():
+                q[c] = q.get(c, 0.0) + w
+        raw = {v: sum(q.get(c, 0.0) * w for c, w in own.items()) for v, own in catalog.items()}
+        most, top = max(raw.values()), max(item.get((k, v), 0.0) for v in catalog)
+        s = {v: raw[v] / most + 0.5 * item.get((k, v), 0.0) / top + 1e-6 * u[v] for v in catalog if v not in ctx}
+        key = {v: math.floor(x * 1e10 + 0.5) for v, x in s.items()}
+        assert [v for v, _ in found[0][0][k]] == sorted(key, key=lambda v: (-key[v], v))[:10]
+        fine = {v: math.floor(x * 1e12 + 0.5) for v, x in s.items()}
+        n, same = sum(y > fine[t] + 1 for y in fine.values()), sum(abs(y - fine[t]) <= 1 for y in fine.values())
+        assert found[0][1][k] == (n + 1 + (same - 1) / 2, sum(y > 0 for y in fine.values()))
+
+
 def test_configurations():
     names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
     assert len(names) == len(set(names)) == 43
