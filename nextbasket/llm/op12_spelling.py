@@ -37,9 +37,9 @@ SHORTEST, LEAST, DAMAGED, RATIO = 7, 2, 31, 10
 #: Bigrams of a prefix; letters beyond the other pivot that belong to a key.
 PREFIX, REACH = 3, (0, 1, 2, 4)
 #: Pivots of a list that a task holds; pairs that are verified at once; letters above which words are compared one by one.
-CAP, PAIRS, WIDE = 2000, 300_000, 40
+CAP, PAIRS, WIDE = 2000, 40_000, 40
 #: Distinct words a task holds before it sends them.
-HELD = 400_000
+HELD = 150_000
 LETTER = np.zeros(256, bool)
 LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 LEAD = 0xC3  # the first byte of every letter from U+00C0 to U+00FF
@@ -213,8 +213,8 @@ def entries(words: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches):
         counts, rank = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                part = b.slice(at, 20_000)
+            for at in range(0, b.num_rows, 5000):
+                part = b.slice(at, 5000)
                 flat, offs = letters_of(part.column(0))
                 n = np.diff(offs)
                 (word, place), last, a, z = chosen(flat, offs, counts, rank)
@@ -254,7 +254,8 @@ def near(flat: np.ndarray, offs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     a, b, n, m, longest = a[own], b[own], n[own], m[own], longest[own]
     width, short = int(longest.max(initial=0)), np.minimum(n, m)
     padded = np.concatenate([np.zeros(WIDE, np.uint8), flat, np.zeros(WIDE, np.uint8)])
-    step = np.arange(width)
+    step = np.arange(width, dtype=np.int32)
+    offs = offs.astype(np.int32)  # a batch of words has less than 2 ** 31 letters
 
     def common(x, y, sign):
         same = padded[x[:, None] + sign * step] == padded[y[:, None] + sign * step]
