@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,29 +20,6 @@ def score_neighbours(queries: DataFrame, edges: DataFrame, weight: str) -> DataF
     return ctx.join(edges.select("a", F.col("c").alias("variant_id"), F.col(weight).alias("w")), "a").groupBy(*KEYS, "variant_id").agg(F.sum("w").alias("score"))
 
 
-def score_content(queries: DataFrame, x: DataFrame) -> DataFrame:
-    q = queries.select(*KEYS, F.explode("context").alias("variant_id")).join(x, "variant_id").groupBy(*KEYS, "token").agg(F.sum("w").alias("q"))
-    return q.join(x, "token").groupBy(*KEYS, "variant_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
-
-
-def score_attr(queries: DataFrame, x: DataFrame, pmi: DataFrame) -> DataFrame:
-    q = queries.select(*KEYS, F.explode("context").alias("variant_id")).join(x, "variant_id").groupBy(*KEYS, "token").agg(F.sum("w").alias("q"))
-    q = q.join(pmi, q["token"] == pmi["f"]).groupBy(*KEYS, F.col("g").alias("token")).agg(F.sum(F.col("q") * F.col("m")).alias("q"))
-    return q.join(x, "token").groupBy(*KEYS, "variant_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
-
-
-def blend(parts: list[tuple[float, DataFrame]]) -> DataFrame:
-    """Weighted sum of scores over their maxima, taken over the whole universe; weights up to 0 drop out."""
-    out = None
-    for weight, df in parts:
-        if weight <= 0:
-            continue
-        top = F.max("score").over(W.partitionBy(*KEYS))
-        part = df.withColumn("top", top).where("top > 0").select(*KEYS, "variant_id", (weight * F.col("score") / F.col("top")).alias("score"))
-        out = part if out is None else out.union(part)
-    return out.groupBy(*KEYS, "variant_id").agg(F.sum("score").alias("score"))
-
-
 def candidates(queries: DataFrame, scores: DataFrame, available: DataFrame) -> DataFrame:
     """Scored candidates: available on the day, not in the context, score above 0."""
     rows = scores.where("score > 0").join(queries, KEYS).join(available, "variant_id")
@@ -92,22 +71,22 @@ def summary(rows: DataFrame, model: str) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """Hit@10 by warm or cold target, channel and context size, in one pass."""
+    """Hit@10 by warm or cold target, source and context size, in one pass."""
     rows = rows.select(
-        "hit10", F.when(F.col("warm"), "warm").otherwise("cold").alias("target"), F.when(F.col("source") == "pos", "pos").otherwise("online").alias("channel"),
-        F.when(F.col("context_size") == 1, "1").otherwise("2+").alias("context"),
+        "hit10", F.when(F.col("warm"), "warm").otherwise("cold").alias("target"), F.when(F.col("source") == "pos", "pos").otherwise("online").alias("source"),
+        F.when(F.col("context_size") == 1, "1 item").otherwise("2+ items").alias("context"),
     )
-    sets = rows.groupingSets([["target"], ["channel"], ["context"]], "target", "channel", "context")
+    sets = rows.groupingSets([["target"], ["source"], ["context"]], "target", "source", "context")
     out = sets.agg(F.count(F.lit(1)).alias("n"), F.avg("hit10").alias("hit10"))
-    kind = F.when(F.col("target").isNotNull(), "target").when(F.col("channel").isNotNull(), "channel").otherwise("context")
-    return out.select(kind.alias("segment_group"), F.coalesce("target", "channel", "context").alias("segment"), "n", "hit10")
+    kind = F.when(F.col("target").isNotNull(), "target").when(F.col("source").isNotNull(), "source").otherwise("context")
+    return out.select(kind.alias("segment_group"), F.coalesce("target", "source", "context").alias("segment"), "n", "hit10")
 
 
 def in_segments(rows: DataFrame) -> DataFrame:
-    """Each row once for its target, channel and context segment."""
+    """Each row once for its target, source and context segment."""
     parts = {
-        "target": F.when(F.col("warm"), "warm").otherwise("cold"), "channel": F.when(F.col("source") == "pos", "pos").otherwise("online"),
-        "context": F.when(F.col("context_size") == 1, "1").otherwise("2+"),
+        "target": F.when(F.col("warm"), "warm").otherwise("cold"), "source": F.when(F.col("source") == "pos", "pos").otherwise("online"),
+        "context": F.when(F.col("context_size") == 1, "1 item").otherwise("2+ items"),
     }
     each = F.array(*[F.struct(F.lit(k).alias("segment_group"), v.alias("segment")) for k, v in parts.items()])
     return rows.select("*", F.inline(each))
@@ -135,18 +114,60 @@ def poisson_steps() -> list[float]:
     return out
 
 
+# The multipliers and shifts that mix 32 bits.
+MIX = ((16, 2246822507), (13, 3266489909))
+STRIDE = 2654435769
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """32 bits in a 64-bit number, mixed."""
+    for shift, factor in MIX:
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+    return h ^ (h >> np.uint64(16))
+
+
+def poisson_weights(baskets: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights baskets x replicates, from a hash of both, so that they are the same on any partition."""
+    b = baskets.astype(np.int64).view(np.uint64)
+    own = mixed((b ^ (b >> np.uint64(32))) & np.uint64(0xFFFFFFFF))
+    step = (np.arange(replicates, dtype=np.uint64) * np.uint64(STRIDE) + np.uint64(seed)) & np.uint64(0xFFFFFFFF)
+    u = mixed((own[:, None] + step) & np.uint64(0xFFFFFFFF)).astype(np.float64) / 4294967296.0
+    return np.searchsorted(np.array(poisson_steps()), u, "right").astype(np.float64)
+
+
+#: Baskets whose weights are held at once.
+HELD = 500
+
+
 def bootstrap_by(rows: DataFrame, value: str, by: list[str], replicates: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """``(by.., mean, lo, hi)``: percentile interval of a mean, resampling baskets with Poisson weights from a hash.
 
-    A basket has the same weights in every group, so that groups can be compared."""
+    A basket has the same weights in every group, so that groups can be compared. A partition adds its baskets to one
+    sum a replicate and group, and sends only these."""
     sums = rows.groupBy(*by, "order_id").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    rep = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    digest = F.substring(F.md5(F.encode(F.concat_ws("-", F.col("order_id").cast("string"), F.col("r").cast("string"), F.lit(str(seed))), "UTF-8")), 1, 8)
-    u = F.conv(digest, 16, 10).cast("double") / 4294967296.0
-    w = F.lit(0)
-    for step in poisson_steps():
-        w = w + F.when(u >= step, 1).otherwise(0)
-    means = rep.withColumn("w", w).groupBy(*by, "r").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    kinds = dict(sums.dtypes)
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            group = list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
+            known = {g: k for k, g in enumerate(dict.fromkeys(group))}
+            which = np.array([known[g] for g in group], np.int64)
+            order, s, n = b.column("order_id").to_numpy(), b.column("s").to_numpy().astype(float), b.column("n").to_numpy().astype(float)
+            for a in range(0, b.num_rows, HELD):
+                w = poisson_weights(order[a : a + HELD], replicates, seed)
+                own = which[a : a + HELD]
+                for g, k in known.items():
+                    at = np.flatnonzero(own == k)
+                    if len(at):
+                        part = np.stack([s[a : a + HELD][at], n[a : a + HELD][at]]) @ w[at]
+                        total[g] = total[g] + part if g in total else part
+        for g, x in total.items():
+            cols = [pa.array([v] * replicates, b.schema.field(c).type) for c, v in zip(by, g, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(replicates), pa.int32()), pa.array(x[0]), pa.array(x[1])], [*by, "r", "s", "n"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "r int, s double, n double"])
+    means = sums.select(*by, "order_id", "s", "n").mapInArrow(run, schema).groupBy(*by, "r").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     means = means.where("n > 0").select(*by, (F.col("s") / F.col("n")).alias("m"))
     ends = means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
     mean = sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean"))
@@ -160,8 +181,14 @@ def bootstrap(rows: DataFrame, value: str, **kw) -> DataFrame:
 
 def paired_lift(a: DataFrame, b: DataFrame, value: str, **kw) -> DataFrame:
     """Difference of two models on the same queries, with its interval."""
-    both = a.select(*KEYS, F.col(value).alias("__a")).join(b.select(*KEYS, F.col(value).alias("__b")), KEYS)
-    out = bootstrap(both.withColumn("d", F.col("__a") - F.col("__b")), "d", **kw)
+    return paired_lifts(a, b, (value,), **kw).drop("metric")
+
+
+def paired_lifts(a: DataFrame, b: DataFrame, values: tuple[str, ...] = ("hit10", "ndcg10"), **kw) -> DataFrame:
+    """``(metric, mean, lo, hi, distinguishable)`` of the differences of two models on the same queries."""
+    both = a.select(*KEYS, F.struct(*values).alias("a")).join(b.select(*KEYS, F.struct(*values).alias("b")), KEYS)
+    each = F.array(*[F.struct(F.lit(v).alias("metric"), (F.col(f"a.{v}") - F.col(f"b.{v}")).alias("d")) for v in values])
+    out = bootstrap_by(both.select("order_id", F.inline(each)), "d", ["metric"], **kw)
     return out.withColumn("distinguishable", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 

@@ -85,6 +85,14 @@ def itemitem(rows: DataFrame, kind: str = "cosine", shrink: float = 5.0) -> Data
     return e.select("a", "c", (F.col("k") / (F.col("k") + shrink) * F.col("k") * F.col("N") / (F.col("na") * F.col("nc"))).alias("sim"))
 
 
+def edges_of(rows: DataFrame, column: str) -> DataFrame:
+    """``(a, c, sim)`` for a score column of ``sweep.edge_scores``: a pair count with a least support, cosine or lift with a shrink."""
+    for kind in ("cosine", "lift"):
+        if column.startswith(kind):
+            return itemitem(rows, kind, float(column.removeprefix(kind)))
+    return mirrored(pairs(rows).where(F.col("n") >= int(column.removeprefix("n")))).select("a", "c", F.col("n").cast("double").alias("sim"))
+
+
 def top_neighbours(sims: DataFrame, k: int = 10) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "c"))
     return sims.withColumn("rank", rank).where(F.col("rank") <= k)

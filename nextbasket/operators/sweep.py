@@ -68,17 +68,6 @@ def hybrid_models(attr: str = "attr") -> ranker.Blends:
     return {f"hybrid(attr={a:g}, content={c:g}, item={i:g})": ({attr: a, "content": c, "item": i}, {"u": TIE}) for a, c, i in grid}
 
 
-def shares(attr: DataFrame, content: DataFrame, item: DataFrame) -> DataFrame:
-    """``(order_id, target, variant_id, attr, content, item)``: scores over their maxima over the whole universe."""
-    parts = {"attr": attr, "content": content, "item": item}
-    out = None
-    for name, df in parts.items():
-        top = F.max("score").over(W.partitionBy(*KEYS))
-        part = df.withColumn("top", top).where("top > 0 and score <> 0").select(*KEYS, "variant_id", *[(F.col("score") / F.col("top") if n == name else F.lit(0.0)).alias(n) for n in parts])
-        out = part if out is None else out.union(part)
-    return out.groupBy(*KEYS, "variant_id").agg(*[F.sum(n).alias(n) for n in parts])
-
-
 def ranks(queries: DataFrame, wide: DataFrame, prior: DataFrame, available: DataFrame, which: Models) -> DataFrame:
     """``(model, order_id, target, date, source, context_size, n_scored, rank)`` with ties shared."""
     columns, prior_columns = [c for c in wide.columns if c not in (*KEYS, "variant_id")], [c for c in prior.columns if c != "variant_id"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import clean, evaluate, models, profile, ranker, serve, sweep
+from ..operators import clean, evaluate, models, profile, ranker, registry, serve, sweep
 from ..sources import jsonl, nodes, scratch, testdata
 
 EMAILS = ["customer7@example.com", "Customer11@example.com", "customer42@example.com"]
@@ -200,7 +200,7 @@ SRC = "case trim(source_name) when 'pos' then 'pos' when 'web' then 'web' when '
 
 @query(B + f"select id, {HMAC} as customer, {SRC} as source, split_part(customer_id, '/', 5)::bigint as number from ordr")
 def hash_customer(spark, sf):
-    """Keyed hash, channel and number of each order."""
+    """Keyed hash, source and number of each order."""
     o = testdata.raw_orders(spark, sf)
     return o.select("id", fn.hash_customer(F.col("customer_id"), SALT).alias("customer"), fn.coarse_source(F.col("source_name")).alias("source"), fn.gid_number(F.col("customer_id")).alias("number"))
 
@@ -436,26 +436,23 @@ tie as (select variant_id, sum(quantity)::double / max(sum(quantity)) over () as
 class Blended:
     """Scores of content, attributes and neighbours for the queries of ``d``, fitted on ``lines`` and their baskets ``fit``."""
 
-    def __init__(self, d: Data, lines: DataFrame | None = None, fit: DataFrame | None = None, counts: bool = True):
+    def __init__(self, d: Data, lines: DataFrame | None = None, fit: DataFrame | None = None, counts: bool = True, config: registry.Config = registry.DEFAULT):
+        self.config = config
         lines, fit = (d.fit_lines, d.fit) if lines is None else (lines, fit)
         x = scratch.written(d.vectors(), "vectors")
         self.queries, self.prior = scratch.written(d.queries, "queries"), scratch.written(sweep.units_shares(lines), "prior")
         pmi = models.pmi_weights(models.attr_counts(fit, models.tokens(d.products)))
-        self.profile = ranker.profiles(self.queries, x, pmi, {"attr": 5})
+        self.profile = ranker.profiles(self.queries, x, pmi, {"attr": config.least()})
         self.items = ranker.catalog_rows(x, d.available, self.prior)
-        self.item = scratch.written(evaluate.score_neighbours(self.queries, models.itemitem(fit), "sim"), "item")
+        self.item = scratch.written(evaluate.score_neighbours(self.queries, models.edges_of(fit, config.item), "sim"), "item")
         self.tops = ranker.with_item(ranker.maxima(self.queries, self.profile, self.items, ["content", "attr"], counts), self.item)
 
 
-#: The served blend.
-BLEND: ranker.Blends = {"hybrid": ({"attr": 1.0, "content": 1.0, "item": 0.5}, {"u": sweep.TIE})}
-
-
 @query(HYB + "select order_id, target, count(*) as n, round(max(score + 1e-6 * coalesce(u, 0)), 5) as best, round(sum(score + 1e-6 * coalesce(u, 0)), 3) as total from hy left join tie using (variant_id) group by 1, 2")
 def hybrid_score(spark, sf):
     """The weighted blend with ties broken by popularity."""
-    b = Blended(Data(spark, sf))
-    s = ranker.totals(b.queries, b.profile, b.items, b.tops, BLEND, b.item)
+    b = Blended(Data(spark, sf), config=registry.current(spark))
+    s = ranker.totals(b.queries, b.profile, b.items, b.tops, b.config.blend(), b.item)
     return s.select(*evaluate.KEYS, "n", F.round("best", 5).alias("best"), F.round("total", 3).alias("total"))
 
 
@@ -519,54 +516,77 @@ hm as (select hr.*, q.source, len(q.context) as context_size, q.target in (selec
 """
 
 
-def hybrid_rows(d: Data) -> DataFrame:
+def hybrid_rows(d: Data, b: Blended) -> DataFrame:
     """Metric rows of the served blend on the held-out queries."""
-    b = Blended(d, counts=False)
-    rows = ranker.ranks(b.queries, b.profile, b.items, b.tops, b.prior, BLEND, b.item)
+    rows = ranker.ranks(b.queries, b.profile, b.items, b.tops, b.prior, b.config.blend(), b.item)
     seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("warm", F.lit(True))
     return evaluate.metrics(rows).join(seen, "target", "left").na.fill(False, ["warm"])
 
 
 @query(HYB + HYBRID_RANKS + SUM.format(m="hybrid").replace("from met", "from hm"))
 def summary_hybrid(spark, sf):
-    return r6(evaluate.summary(hybrid_rows(Data(spark, sf)), "hybrid"), *MEANS)
+    d = Data(spark, sf)
+    return r6(evaluate.summary(hybrid_rows(d, Blended(d, counts=False, config=registry.current(spark))), "hybrid"), *MEANS)
 
 
 @query(B + """select 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment, count(*) as n, round(avg(hit10), 6) as hit10 from met group by 1, 2
-union all select 'channel', case when source = 'pos' then 'pos' else 'online' end, count(*), round(avg(hit10), 6) from met group by 1, 2
-union all select 'context', case when context_size = 1 then '1' else '2+' end, count(*), round(avg(hit10), 6) from met group by 1, 2""")
+union all select 'source', case when source = 'pos' then 'pos' else 'online' end, count(*), round(avg(hit10), 6) from met group by 1, 2
+union all select 'context', case when context_size = 1 then '1 item' else '2+ items' end, count(*), round(avg(hit10), 6) from met group by 1, 2""")
 def segments(spark, sf):
     d = Data(spark, sf)
     return r6(evaluate.segments(d.ranks(models.itemitem(d.fit), "sim")), "hit10")
 
 
 STEPS = " + ".join(f"case when u >= {x!r} then 1 else 0 end" for x in evaluate.poisson_steps())
-BOOT = """, bb as (select order_id, sum({v}) as s, count(*) as n from {t} group by 1),
-re as (select order_id, s, n, r, ('0x' || substr(md5(order_id || '-' || r || '-0'), 1, 8))::bigint / 4294967296.0 as u from bb, range(0, 1000) t(r)),
-me as (select r, sum(w * s) / sum(w * n) as m from (select *, """ + STEPS + """ as w from re) group by r having sum(w * n) > 0),
-bt as (select round((select sum(s) / sum(n) from bb), 6) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from me)"""
 
 
-@query(B + BOOT.format(v="rr", t="met") + "select mean, lo, hi from bt")
+def mixed_sql(name: str, source: str, start: str) -> str:
+    """Steps that mix 32 bits of ``start``, as ``h`` of the last one, called ``name``."""
+    steps = [f"{name}0 as (select *, {start} as h from {source})"]
+    for k, (shift, factor) in enumerate(evaluate.MIX, 1):
+        steps.append(f"{name}{k} as (select * exclude (h), (xor(h, h >> {shift}) * {factor}::ubigint) & 4294967295 as h from {name}{k - 1})")
+    return ", ".join([*steps, f"{name} as (select * exclude (h), xor(h, h >> 16) as h from {name}{len(evaluate.MIX)})"])
+
+
+def boot_sql(rows: str, value: str, by: str = "") -> str:
+    """Intervals of means over ``rows``, as ``bt``: weights of 1000 replicates for each basket and replicate."""
+    g, on = (f"{by}, ", f" using ({by})") if by else ("", " on true")
+    return f""", bb as (select {g}order_id, sum({value}) as s, count(*) as n from {rows} group by {g}order_id),
+""" + mixed_sql("ow", "bb", "xor(order_id::ubigint, order_id::ubigint >> 32) & 4294967295") + """,
+rp as (select * exclude (h), h as own, r from ow, range(0, 1000) t(r)), """ + mixed_sql("rw", "rp", f"(own + ((r::ubigint * {evaluate.STRIDE}::ubigint) & 4294967295)) & 4294967295") + f""",
+me as (select {g}r, sum(w * s) / sum(w * n) as m from (select *, {STEPS} as w from (select *, h / 4294967296.0 as u from rw)) group by {g}r having sum(w * n) > 0),
+ends as (select {g}round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from me {'group by ' + by if by else ''}),
+bt as (select b.*, lo, hi from (select {g}round(sum(s) / sum(n), 6) as mean from bb {'group by ' + by if by else ''}) b join ends{on})"""
+
+
+@query(B + boot_sql("met", "hit10") + " select mean, lo, hi from bt")
 def bootstrap_ci(spark, sf):
     d = Data(spark, sf)
-    return r6(evaluate.bootstrap(d.ranks(models.itemitem(d.fit), "sim"), "rr"), "mean", "lo", "hi")
+    return r6(evaluate.bootstrap(d.ranks(models.itemitem(d.fit), "sim"), "hit10"), "mean", "lo", "hi")
 
 
-# ranks of the pair counts beside those of the item-item model
-TWO = B + """, sc2 as (select q.order_id, q.target, m.c as variant_id, sum(m.n) as score from (select order_id, target, unnest(context) as a from loo) q join mir m on m.a = q.a group by 1, 2, 3),
+#: The baseline of lifts and gates: pair counts with a least support.
+SUPPORT = 3
+BASE = f""", sc2 as (select q.order_id, q.target, m.c as variant_id, sum(m.n) as score from (select order_id, target, unnest(context) as a from loo) q join mir m on m.a = q.a and m.n >= {SUPPORT} group by 1, 2, 3),
 cand2 as (select s.order_id, s.target, s.variant_id, s.score as qs from sc2 s join loo q on q.order_id = s.order_id and q.target = s.target join avail a on a.variant_id = s.variant_id where a.available_from <= q.date and not list_contains(q.context, s.variant_id)),
 agg2 as (select c.order_id, c.target, count(*) as n_scored, max(t.qs) as qt, count(*) filter (where c.qs > t.qs) as above, count(*) filter (where c.qs = t.qs) as same
   from cand2 c left join cand2 t on t.order_id = c.order_id and t.target = c.target and t.variant_id = c.target group by 1, 2),
-met2 as (select q.order_id, q.target, 1 / (case when qt is not null then above + 1 + (same - 1) / 2 else coalesce(n_scored, 0) + 1 + (n_universe - len(q.context) - coalesce(n_scored, 0) - 1) / 2 end)::double as rr from loo q left join agg2 using (order_id, target) join uon using (date)),
-df as (select order_id, x.rr - y.rr as d from met x join met2 y using (order_id, target))"""
+rank2 as (select q.order_id, q.target, (case when qt is not null then above + 1 + (same - 1) / 2 else coalesce(n_scored, 0) + 1 + (n_universe - len(q.context) - coalesce(n_scored, 0) - 1) / 2 end)::double as rank from loo q left join agg2 using (order_id, target) join uon using (date)),
+met2 as (select order_id, target, case when rank <= 10 then 1.0 else 0.0 end::double as hit10, case when rank <= 10 then 1 / log2(rank + 1) else 0 end::double as ndcg10 from rank2)"""
+
+
+def baseline(d: Data) -> DataFrame:
+    return d.ranks(models.mirrored(models.pairs(d.fit)).where(F.col("n") >= SUPPORT), "n")
+
+
+LIFTS = B + BASE + ", df as (select order_id, 'hit10' as metric, x.hit10 - y.hit10 as d from met x join met2 y using (order_id, target) union all select order_id, 'ndcg10', x.ndcg10 - y.ndcg10 from met x join met2 y using (order_id, target))"
 
 
-@query(TWO + BOOT.format(v="d", t="df") + "select mean, lo, hi, lo > 0 or hi < 0 as distinguishable from bt")
+@query(LIFTS + boot_sql("df", "d", "metric") + " select metric, mean, lo, hi, lo > 0 or hi < 0 as distinguishable from bt")
 def paired_lift(spark, sf):
+    """The item-item model over the baseline, on the same queries."""
     d = Data(spark, sf)
-    a, b = d.ranks(models.itemitem(d.fit), "sim"), d.ranks(models.mirrored(models.pairs(d.fit)), "n")
-    return r6(evaluate.paired_lift(a, b, "rr"), "mean", "lo", "hi")
+    return r6(evaluate.paired_lifts(d.ranks(models.itemitem(d.fit), "sim"), baseline(d)), "mean", "lo", "hi")
 
 
 FOUR = [(f, s) for f in ("cosine", "lift") for s in (0.0, 5.0)]
@@ -594,15 +614,17 @@ LIMITS = [("hit10", 0.1), ("lift_hit10", 0.0), ("cold_hit10", 0.0), ("coverage10
 DATES = [("train_end", testdata.TRAIN_END, "2000-12-31"), ("val_end", testdata.VAL_END, "2001-04-01")]
 
 
-@query(TWO.replace("1 / (case when qt", "(case when qt").replace("::double as rr from loo q left join agg2", "::double as rank2 from loo q left join agg2").replace("select order_id, x.rr - y.rr as d", "select order_id, x.hit10 - (case when y.rank2 <= 10 then 1 else 0 end) as d") + TOP + """, va as (select 'hit10' as name, avg(hit10) as value from met union all select 'lift_hit10', avg(d) from df union all select 'cold_hit10', coalesce(avg(hit10) filter (where not warm), 0) from met
-union all select 'coverage10', count(distinct variant_id) / (select arg_max(n_universe, date) from uon) from tk union all select 'answered', avg(case when n_scored > 0 then 1.0 else 0.0 end) from met union all select 'queries', count(*) from met)
+@query(HYB + HYBRID_RANKS + BASE + """, tk as (select * from (select order_id, target, variant_id, row_number() over (partition by order_id, target order by qs desc, variant_id) as slot from al) where slot <= 10),
+va as (select 'hit10' as name, avg(hit10) as value from hm union all select 'lift_hit10', avg(x.hit10 - y.hit10) from hm x join met2 y using (order_id, target) union all select 'cold_hit10', coalesce(avg(hit10) filter (where not warm), 0) from hm
+union all select 'coverage10', count(distinct variant_id) / (select arg_max(n_universe, date) from uon) from tk union all select 'answered', avg(case when n_scored > 0 then 1.0 else 0.0 end) from hm union all select 'queries', count(*) from hm)
 select name, round(value, 6) as value, least, value >= least as passes from va join (values """ + ", ".join(f"('{n}', {x!r}::double)" for n, x in LIMITS) + """) l(name, least) using (name) union all
 select * from (values """ + ", ".join(f"('{n}', {a.replace('-', '')}::double, {b.replace('-', '')}::double, {str(a == b).lower()})" for n, a, b in DATES) + ")")
 def gates(spark, sf):
-    """Six floors and the two dates of the split (as yyyymmdd, which must be equal); the second date is planted to fail."""
+    """The chosen blend against six floors, its lift being over the baseline, and the two dates of the split (as yyyymmdd, which must be equal); the second date is planted to fail."""
     d = Data(spark, sf)
-    rows, base = d.ranks(models.itemitem(d.fit), "sim"), d.ranks(models.mirrored(models.pairs(d.fit)), "n")
-    board = evaluate.gate_values(rows, base, evaluate.coverage(top10(d), models.universe_on(d.available, d.queries.select("date"))))
+    b = Blended(d, counts=False, config=registry.current(spark))
+    top = ranker.best(b.queries, b.profile, b.items, b.tops, b.config.blend(), b.item)
+    board = evaluate.gate_values(scratch.written(hybrid_rows(d, b), "served-rows"), baseline(d), evaluate.coverage(top, models.universe_on(d.available, d.queries.select("date"))))
     limits = spark.createDataFrame(LIMITS, "name string, least double")
     return r6(evaluate.gates(board, limits).union(evaluate.date_gates(spark, DATES)), "value")
 
@@ -629,17 +651,18 @@ from loo q join avail a on a.available_from <= q.date join products p on p.varia
 left join wd w on w.order_id = q.order_id and w.target = q.target and w.variant_id = p.variant_id left join tie t on t.variant_id = p.variant_id)"""
 
 
-def served(d: Data, which: ranker.Blends) -> DataFrame:
-    """Lists of blends fitted on all orders, for the baskets of ``d.queries``, from what can be sold."""
-    b = Blended(d, d.lines, models.baskets(d.parts), counts=False)
+def served(d: Data, config: registry.Config, which: ranker.Blends | None = None) -> DataFrame:
+    """Lists of the chosen blend (or of ``which``) fitted on all orders, for the baskets of ``d.queries``, from what can be sold."""
+    b = Blended(d, d.lines, models.baskets(d.parts), counts=False, config=config)
+    which = which or config.blend()
     ok = catalog(d).where((F.col("status") == "ACTIVE") & F.coalesce("in_stock", F.lit(True))).select("variant_id")
     return ranker.best(b.queries, b.profile, b.items.join(ok, "variant_id", "left_semi"), b.tops, which, b.item)
 
 
 @query(SERVE + " select order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10")
 def recommend(spark, sf):
-    """Ten items for every basket, by the blend fitted on all orders; items without a score follow by popularity."""
-    return r6(served(Data(spark, sf), BLEND), "score").select(*evaluate.KEYS, "slot", "variant_id", "score")
+    """Ten items for every basket, by the chosen blend fitted on all orders; items without a score follow by popularity."""
+    return r6(served(Data(spark, sf), registry.current(spark)), "score").select(*evaluate.KEYS, "slot", "variant_id", "score")
 
 
 @query(B + "select t.term, slot, variant_id, title from (select t.term, p.variant_id, p.title, row_number() over (partition by t.term order by strpos(lower(p.title), lower(t.term)), p.title, p.variant_id)::int as slot from products p join (values ('red'), ('Ex'), ('glow'), ('x')) t(term) on strpos(lower(p.title), lower(t.term)) > 0 where p.status = 'ACTIVE' and length(t.term) >= 2) t where slot <= 8")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import evaluate, models, ranker, serve, sweep
+from ..operators import evaluate, models, ranker, registry, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
-from .queries import ATTR, B, BLEND, COUNTS, PQ, SERVE, STEPS, Blended, Data, query, r6, served
+from .queries import ATTR, B, COUNTS, PQ, SERVE, Blended, Data, boot_sql, query, r6, served
 
 MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
 
@@ -220,26 +220,22 @@ def export_query_results(spark, sf):
     return r6(out, "ndcg10", "rr")
 
 
-SEG = """, bb as (select segment_group, segment, order_id, sum(rr) as s, count(*) as n from (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
-  select *, 'channel', case when source = 'pos' then 'pos' else 'online' end from met union all select *, 'context', case when context_size = 1 then '1' else '2+' end from met) group by 1, 2, 3)"""
+SEG = """, sg as (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
+  select *, 'source', case when source = 'pos' then 'pos' else 'online' end from met union all select *, 'context', case when context_size = 1 then '1 item' else '2+ items' end from met)"""
 
 
-@query(B + """, bb as (select segment_group, segment, order_id, sum(rr) as s, count(*) as n from (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
-  select *, 'channel', case when source = 'pos' then 'pos' else 'online' end from met union all select *, 'context', case when context_size = 1 then '1' else '2+' end from met) group by 1, 2, 3)
-select segment_group, segment, sum(n)::bigint as n, round(sum(s) / sum(n), 6) as mean from bb group by 1, 2""")
+@query(B + SEG + " select segment_group, segment, count(*) as n, round(avg(rr), 6) as mean from sg group by 1, 2")
 def segment_means(spark, sf):
     d = Data(spark, sf)
     rows = evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim"))
     return r6(rows.groupBy("segment_group", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg("rr").alias("mean")), "mean")
 
 
-@query(B + SEG + """, re as (select bb.*, r, ('0x' || substr(md5(order_id || '-' || r || '-0'), 1, 8))::bigint / 4294967296.0 as u from bb, range(0, 1000) t(r)),
-me as (select segment_group, segment, r, sum(w * s) / sum(w * n) as m from (select *, """ + STEPS + """ as w from re) group by 1, 2, 3 having sum(w * n) > 0)
-select segment_group, segment, round(sum(s) / sum(n), 6) as mean, any_value(lo) as lo, any_value(hi) as hi from bb join (select segment_group, segment, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from me group by 1, 2) using (segment_group, segment) group by 1, 2""")
+@query(B + SEG + boot_sql("sg", "hit10", "segment_group, segment") + " select segment_group, segment, mean, lo, hi from bt")
 def segment_ci(spark, sf):
-    """Intervals within each segment."""
+    """Intervals of hit10 within each segment."""
     d = Data(spark, sf)
-    return r6(evaluate.bootstrap_by(evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim")), "rr", ["segment_group", "segment"]), "mean", "lo", "hi")
+    return r6(evaluate.bootstrap_by(evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim")), "hit10", ["segment_group", "segment"]), "mean", "lo", "hi")
 
 
 @query(B + """, fr as (select 'itemitem' as model, avg(hit10) as hit10, avg(ndcg10) as ndcg10 from met union all select 'moved', avg(hit10), avg(ndcg10) from met union all select 'new', avg(hit10), avg(ndcg10) from met),
@@ -262,7 +258,7 @@ def drift(spark, sf):
 from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10""")
 def recommend_why(spark, sf):
     """Ten items of the blend for every basket, with what each component adds; null where it adds nothing."""
-    top = r6(served(Data(spark, sf), BLEND), "score")
+    top = r6(served(Data(spark, sf), registry.current(spark)), "score")
     part = lambda n: F.nullif(F.round(n, 4), F.lit(0.0)).alias(f"by_{n}")
     return top.select(*KEYS, "slot", "variant_id", "score", *[part(n) for n in ("attr", "content", "item")])
 
@@ -274,5 +270,6 @@ FIVE = {"popularity": "coalesce(v, 0) / (select max(v) from now)", "itemitem": "
 @query(SERVE + NOW + " select model, order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by model, order_id, target order by score desc, variant_id)::int as slot from (" + " union all ".join(f"select '{m}' as model, order_id, target, variant_id, round({e}, 10) as score from ok left join now using (variant_id)" for m, e in FIVE.items()) + ")) where slot <= 10")
 def compare_models(spark, sf):
     """The same baskets through five models fitted on all orders, ten items each; single scores over their maxima."""
-    which = {"popularity": ({}, {"u30": 1.0}), **{m: ({c: 1.0}, {}) for m, c in (("itemitem", "item"), ("content", "content"), ("attr", "attr"))}, **BLEND}
-    return r6(served(Data(spark, sf), which), "score").select("model", *KEYS, "slot", "variant_id", "score")
+    config = registry.current(spark)
+    which = {"popularity": ({}, {config.popularity: 1.0}), **{m: ({c: 1.0}, {}) for m, c in (("itemitem", "item"), ("content", "content"), ("attr", "attr"))}, **config.blend()}
+    return r6(served(Data(spark, sf), config, which), "score").select("model", *KEYS, "slot", "variant_id", "score")
