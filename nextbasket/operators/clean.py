@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coarse_source, gid_number, hash_customer, order_day, strip
@@ -12,6 +12,7 @@ from ..sources.scratch import written
 TITLES = ["tip"]
 COLUMNS = ["order_id", "date", "source", "customer", "items"]
 ITEM_COLUMNS = ["variant_id", "product_id", "title", "quantity", "unit_price"]
+PRODUCT_COLUMNS = ["variant_id", "product_id", "title", "tags", "price", "created_at", "status", "image_url"]
 ONLY_VARIANT = ["", "Default Title"]
 
 
@@ -120,21 +121,36 @@ def snapshot_products(products: DataFrame) -> DataFrame:
     )
 
 
+EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+
+
+def violations(rows: DataFrame, other: int, rules: dict[str, Column]) -> DataFrame:
+    """``(rule, violations)``: rows for which a rule isn't true; null counts as a violation. ``columns`` is ``other``."""
+    row = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
+    each = [F.struct(F.lit("columns").alias("rule"), F.lit(other).cast("long").alias("violations"))]
+    return row.select(F.inline(F.array(*each, *[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])))
+
+
 def audit(snapshot: DataFrame) -> DataFrame:
-    """``(rule, violations)`` of an anonymized snapshot; ``columns`` counts those outside the public lists, and those missing."""
+    """``(rule, violations)`` of an anonymized snapshot; ``columns`` counts those outside the public lists, and those missing.
+
+    Only ``customer`` may be null."""
     inner = snapshot.schema["items"].dataType.elementType.names if "items" in snapshot.columns else []
     other = len(set(snapshot.columns) ^ set(COLUMNS)) + len(set(inner) ^ set(ITEM_COLUMNS))
-    rules = {
-        "columns": F.lit(False),
-        "source": ~F.col("source").isin("pos", "web", "app", "draft", "other"),
-        "customer": ~F.coalesce(F.col("customer").rlike("^[0-9a-f]{16}$"), F.lit(True)),
-        "items": F.size("items") == 0,
-        "quantity": F.exists("items", lambda i: i["quantity"] < 1),
-        "email": F.to_json(F.struct("*")).rlike(r"[\w.+-]+@[\w-]+\.[\w.-]+"),
-        "date": F.col("date").isNull(),
-    }
-    row = snapshot.agg(*[F.count_if(c).alias(n) for n, c in rules.items()]).withColumn("columns", F.lit(other).cast("long"))
-    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])))
+    return violations(snapshot, other, {
+        "source": F.col("source").isin("pos", "web", "app", "draft", "other"),
+        "customer": F.col("customer").isNull() | F.col("customer").rlike("^[0-9a-f]{16}$"),
+        "items": F.size("items") > 0,
+        "variant": F.forall("items", lambda i: i["variant_id"].isNotNull()),
+        "quantity": F.forall("items", lambda i: F.coalesce(i["quantity"] >= 1, F.lit(False))),
+        "email": ~F.to_json(F.struct("*")).rlike(EMAIL),
+        "date": F.col("date").isNotNull(),
+    })
+
+
+def audit_products(products: DataFrame) -> DataFrame:
+    """``(rule, violations)`` of the public catalog: its columns, and no address in any of them."""
+    return violations(products, len(set(products.columns) ^ set(PRODUCT_COLUMNS)), {"variant": F.col("variant_id").isNotNull(), "email": ~F.to_json(F.struct("*")).rlike(EMAIL)})
 
 
 def audit_sequence(snapshot: DataFrame) -> DataFrame:

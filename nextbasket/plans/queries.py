@@ -110,12 +110,14 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 # ---- sources ---------------------------------------------------------------------------------
 
 
-@query("with x as (" + testdata.PRODUCTS + ") select variant_id, title, price, status from x")
+@query("with x as (" + testdata.PRODUCTS + ") select variant_id, title, price, status, (select count(*) from x) as n_written from x")
 def read_write_jsonl(spark, sf):
+    """Rows written, counted by the sink, and read again beside a file of blank and commented lines."""
     path = f"{scratch.folder(spark)}/jsonl-{uuid.uuid4().hex}"
     rows = testdata.products(spark, sf).select("variant_id", "title", "price", "status")
-    jsonl.write_jsonl(rows, path)
-    return jsonl.read_jsonl(spark, path, rows.schema)
+    n = jsonl.write_jsonl(rows, path)
+    spark.createDataFrame([("",), ("\t",), ("# a",), ("  # b",)], "value string").coalesce(1).write.mode("append").text(path)
+    return jsonl.read_jsonl(spark, path, rows.schema).withColumn("n_written", F.lit(n).cast("long"))
 
 
 def order_nodes(spark, sf) -> DataFrame:
@@ -233,21 +235,40 @@ def snapshot(spark, sf) -> DataFrame:
 
 @query(B + ANON + f""", sn as (select order_id, date, {SRC} as source, {HMAC} as customer from kept)
 select 'columns' as rule, 0::bigint as violations union all select 'source', count(*) filter (where source not in ('pos', 'web', 'app', 'draft', 'other')) from sn union all
-select 'customer', count(*) filter (where not regexp_full_match(customer, '[0-9a-f]{{16}}')) from sn union all select 'items', count(*) filter (where id not in (select id from mrg)) from kept union all
+select 'customer', count(*) filter (where not regexp_full_match(customer, '[0-9a-f]{{16}}')) from sn union all select 'items', count(*) filter (where id not in (select id from mrg)) from kept union all select 'variant', count(distinct id) filter (where variant_id is null) from mrg union all
 select 'quantity', count(distinct id) filter (where quantity < 1) from mrg union all select 'email', count(distinct id) filter (where regexp_matches(title, '[a-z]+@[a-z]+[.]')) from mrg union all select 'date', count(*) filter (where date is null) from sn""")
 def audit_fields(spark, sf):
     return clean.audit(snapshot(spark, sf))
 
 
-@query(B + ANON + "".join(f"{' union all' if k else ''} select '{rule}' as rule, " + ("1::bigint" if rule == "columns" else f"count(*) filter (where order_id % 50 = {k})") + " as violations from " + ("(select 1)" if rule == "columns" else "kept") for k, rule in enumerate(["columns", "source", "customer", "items", "quantity", "email", "date"])))
+PLANTED = {"source": [1, 7], "customer": [2], "items": [3, 8], "variant": [8, 10], "quantity": [4, 8, 9], "email": [5], "date": [6]}
+
+
+@query(B + ANON + " select 'columns' as rule, 1::bigint as violations" + "".join(f" union all select '{rule}', count(*) filter (where order_id % 50 in ({', '.join(map(str, at))})) from kept" for rule, at in PLANTED.items()))
 def audit_violations(spark, sf):
-    """The audit of a snapshot with planted faults, one kind in every fiftieth order, and one column too many."""
+    """The audit of a snapshot with planted faults, a kind in every fiftieth order, nulls among them; and one column too many."""
     at = lambda k: F.col("order_id") % 50 == k
-    items = F.transform("items", lambda i: i.withField("quantity", F.when(at(4), 0).otherwise(i["quantity"])).withField("title", F.when(at(5), "ask me@example.com").otherwise(i["title"])))
-    rows = snapshot(spark, sf).withColumns({"source": F.when(at(1), "fax").otherwise(F.col("source")), "customer": F.when(at(2), "Jane").otherwise(F.col("customer")), "items": F.when(at(3), F.slice(items, 1, 0)).otherwise(items), "date": F.when(~at(6), F.col("date"))})
+    change = lambda i: (
+        i.withField("quantity", F.when(at(4), 0).when(~at(9), i["quantity"])).withField("title", F.when(at(5), "ask me@example.com").otherwise(i["title"])).withField("variant_id", F.when(~at(10), i["variant_id"]))
+    )
+    items = F.transform("items", change)
+    rows = snapshot(spark, sf).withColumns({
+        "source": F.when(at(1), "fax").when(~at(7), F.col("source")), "customer": F.when(at(2), "Jane").otherwise(F.col("customer")),
+        "items": F.when(at(3), F.slice(items, 1, 0)).when(~at(8), items), "date": F.when(~at(6), F.col("date")),
+    })
     return clean.audit(rows.withColumn("note", F.lit("x")))
 
 
+@query(B + "select 'columns' as rule, 1::bigint as violations union all select 'variant', count(*) filter (where variant_id % 50 = 2) from products union all select 'email', count(*) filter (where variant_id % 50 in (1, 3)) from products")
+def audit_products(spark, sf):
+    """The audit of a catalog with addresses in titles and tags, variants without an id, and one column too few."""
+    at = lambda k: F.col("variant_id") % 50 == k
+    rows = flatten_products(spark, sf).withColumns({
+        "title": F.when(at(1), "Only @ me@example.com").otherwise(F.concat("title", F.lit(" (Only @ Target)"))), "tags": F.when(at(3), F.array(F.lit("a.b@c-d.org"))).otherwise(F.col("tags")), "variant_id": F.when(~at(2), F.col("variant_id")),
+    })
+    return clean.audit_products(rows.drop("image_url"))
+
+
 SEQ = "select count(*) = count(distinct order_id) and min(order_id) = 1 and max(order_id) = count(*) as gap_free, (select count(*) from sq x join sq y on y.order_id = x.order_id + 1 where x.date > y.date) as dates_back from sq"
 
 
@@ -665,9 +686,9 @@ def recommend(spark, sf):
     return r6(served(Data(spark, sf), registry.current(spark)), "score").select(*evaluate.KEYS, "slot", "variant_id", "score")
 
 
-@query(B + "select t.term, slot, variant_id, title from (select t.term, p.variant_id, p.title, row_number() over (partition by t.term order by strpos(lower(p.title), lower(t.term)), p.title, p.variant_id)::int as slot from products p join (values ('red'), ('Ex'), ('glow'), ('x')) t(term) on strpos(lower(p.title), lower(t.term)) > 0 where p.status = 'ACTIVE' and length(t.term) >= 2) t where slot <= 8")
+@query(B + "select t.term, slot, variant_id, title from (select t.term, p.variant_id, p.title, row_number() over (partition by t.term order by strpos(lower(p.title), lower(trim(t.term))), p.title, p.variant_id)::int as slot from products p join (values ('red'), ('Ex'), (' glow '), ('x'), (' x ')) t(term) on strpos(lower(p.title), lower(trim(t.term))) > 0 where p.status = 'ACTIVE' and length(trim(t.term)) >= 2) t where slot <= 8")
 def search_titles(spark, sf):
-    return serve.search_titles(testdata.products(spark, sf), spark.createDataFrame([("red",), ("Ex",), ("glow",), ("x",)], "term string"))
+    return serve.search_titles(testdata.products(spark, sf), spark.createDataFrame([("red",), ("Ex",), (" glow ",), ("x",), (" x ",)], "term string"))
 
 
 @query(B + "select p.variant_id, count(distinct l.order_id) as n from products p left join lines l using (variant_id) group by 1")

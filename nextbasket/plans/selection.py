@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,9 +19,7 @@ MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
 
 def kept(spark, df: DataFrame) -> DataFrame:
     """A written copy, for frames that several jobs read."""
-    path = f"{scratch.folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.written(df, "kept")
 
 
 # ---- scalars and small steps -----------------------------------------------------------------
@@ -140,12 +139,47 @@ def chosen(rows: DataFrame) -> tuple[str, str]:
     return all_of[best("attr")][0], all_of[item][0]
 
 
+def config_of(hits: dict[str, float]) -> registry.Config:
+    """The configuration of the best of each family and the best blend by hit10; the first listed wins ties."""
+    singles = sweep.edge_models() | sweep.content_models()
+    best = lambda names: max(names, key=lambda n: hits.get(n, 0.0))
+    of = lambda start: best([n for n in singles if n.startswith(start)])
+    pop, attr, item, pair = of("popularity"), of("attr"), of("itemitem"), of("copurchase")
+    item = item if hits.get(item, 0.0) >= hits.get(pair, 0.0) else pair
+    label = best(list(sweep.hybrid_models()))
+    weights, _ = sweep.hybrid_models()[label]
+    names = (("popularity", pop), ("attr", attr), ("content", "content_cosine"), ("item", item))
+    return registry.Config(singles[pop][1], singles[attr][0], singles[item][0], tuple(weights.values()), sweep.TIE, label, names)
+
+
+def swept(spark, d: Data) -> tuple[DataFrame, registry.Config]:
+    """The means of all configurations, fitted on the first part and scored on the second; and what they choose."""
+    one, mixed, _ = Window(spark, d, ["train"], "val").all_ranks()
+    table = scratch.written(sweep.board(one.union(mixed)), "board")
+    return table, config_of({r.model: r.hit10 for r in table.select("model", "hit10").collect()})  # a row a configuration
+
+
+def folder_of(spark, sf, d: Data) -> str:
+    """Where the choice for this table of orders is kept: a folder for its path, number of lines and days."""
+    x = d.lines.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("a"), F.max("date").alias("b"), F.sum("quantity").alias("q")).first()
+    name = hashlib.sha256(f"{sf} {x.n} {x.a} {x.b} {x.q} {testdata.TRAIN_END} {testdata.VAL_END}".encode()).hexdigest()[:16]
+    return f"{scratch.folder(spark)}/models-{name}"
+
+
+def selected(spark, sf, d: Data) -> registry.Config:
+    """The choice for these orders: that of the table if it was made, else by a sweep, which is published."""
+    folder = folder_of(spark, sf, d)
+    if not registry.versions(spark, folder):
+        registry.publish(spark, swept(spark, d)[1], folder)
+    return registry.current(spark, folder)
+
+
 @query()
 def sweep_validation(spark, sf):
-    """All 43 configurations, fitted on the first part and scored on the second; the best of each family is marked."""
-    w = Window(spark, Data(spark, sf), ["train"], "val")
-    one, mixed, _ = w.all_ranks()
-    table = sweep.board(one.union(mixed))
+    """All 43 configurations, fitted on the first part and scored on the second; the best of each family is marked. Publishes the choice."""
+    d = Data(spark, sf)
+    table, config = swept(spark, d)
+    registry.publish(spark, config, folder_of(spark, sf, d))
     names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
     place = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "model string, position int")
     rows = table.join(F.broadcast(place), "model").withColumn("family", family(F.col("model")))
@@ -153,22 +187,33 @@ def sweep_validation(spark, sf):
     return r6(rows.join(best, "family").withColumn("wins", F.col("model") == F.col("best")).drop("best"), *MEANS)
 
 
+@query()
+def chosen_configuration(spark, sf):
+    """The published choice for these orders, a row a role."""
+    return registry.rows_of(spark, selected(spark, sf, Data(spark, sf)))
+
+
+@query()
+def recommend_selected(spark, sf):
+    """Ten items for every basket, by the blend that selection chose for these orders, fitted on all of them."""
+    d = Data(spark, sf)
+    return r6(served(d, selected(spark, sf, d)), "score").select(*KEYS, "slot", "variant_id", "score")
+
+
 BASE, ALWAYS = "copurchase(min_support=3)", ["copurchase(min_support=3)", "copurchase(min_support=1)"]
 
 
 def refitted(spark, sf) -> tuple[DataFrame, str]:
-    """Metric rows of the winners of the sweep and of the fixed models, fitted on all but the last part; and the served blend."""
+    """Metric rows of the chosen models and of the fixed ones, fitted on all but the last part; and the name of the chosen blend."""
     d = Data(spark, sf)
-    one, mixed, parts = Window(spark, d, ["train"], "val").all_ranks()
-    hit = {r.model: r.hit10 for r in sweep.board(one.union(mixed)).select("model", "hit10").collect()}  # a row a configuration
-    best = lambda names: max(names, key=lambda n: hit.get(n, 0.0))
-    singles = sweep.edge_models() | sweep.content_models()
-    of_part = [n for n, (score, tie) in singles.items() if score in parts and tie == "0D"]
-    named = list(dict.fromkeys([best([n for n in singles if n.startswith("popularity")]), *ALWAYS, "content_cosine", *of_part]))
-    served = best(list(sweep.hybrid_models()))
+    config = selected(spark, sf, d)
+    names, singles = dict(config.names), sweep.edge_models() | sweep.content_models()
+    # a component is its score alone, without the tie-break of its model
+    of_part = [n for n, (score, tie) in singles.items() if score in (config.attr, config.item) and tie == "0D"]
+    named = list(dict.fromkeys([names["popularity"], *ALWAYS, "content_cosine", *of_part]))
     w = Window(spark, d, ["train", "val"], "test")
-    one, mixed, _ = w.all_ranks(named, [served], parts)
-    return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), served
+    one, mixed, _ = w.all_ranks(named, [config.label], (config.attr, config.item))
+    return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), config.label
 
 
 @query()
