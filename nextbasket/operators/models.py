@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,16 +101,83 @@ def top_neighbours(sims: DataFrame, k: int = 10) -> DataFrame:
     return sims.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Tokens up to which a partition adds to a whole matrix; pairs of tokens that it holds beyond; baskets at once.
+DENSE, HELD, BASKETS = 2048, 4_000_000, 2000
+
+
 def attr_counts(rows: DataFrame, toks: DataFrame) -> DataFrame:
-    """``(f, g, n)``: tokens on ordered pairs of distinct items of a basket."""
+    """``(f, g, n)``: tokens on ordered pairs of distinct items of a basket.
+
+    Each partition adds its baskets to one Gram matrix of tokens, less the pairs within an item, and sends its sums:
+    a basket's pairs are never rows. Tokens are numbers in the tasks, by their 64-bit hashes."""
     multi = rows.where(F.size("items") >= 2).select("order_id", F.explode("items").alias("variant_id"))
-    s = multi.join(toks, "variant_id").groupBy("order_id", "token").agg(F.count(F.lit(1)).alias("s"))
-    left, right = s.select("order_id", F.col("token").alias("f"), F.col("s").alias("sf")), s.select("order_id", F.col("token").alias("g"), F.col("s").alias("sg"))
-    both = left.join(right, "order_id").groupBy("f", "g").agg(F.sum(F.col("sf") * F.col("sg")).alias("n"))
-    often = multi.groupBy("variant_id").agg(F.count(F.lit(1)).alias("b"))
-    own = toks.select("variant_id", F.col("token").alias("f")).join(toks.select("variant_id", F.col("token").alias("g")), "variant_id")
-    own = own.join(often, "variant_id").groupBy("f", "g").agg((-F.sum("b")).alias("n"))
-    return both.union(own).groupBy("f", "g").agg(F.sum("n").alias("n")).where("n <> 0")
+    lists = toks.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.xxhash64("token"))).alias("own"))
+    baskets = multi.join(lists, "variant_id").groupBy("order_id").agg(F.collect_list("own").alias("own"))
+    return named_counts(baskets.mapInArrow(gram, "f long, g long, n long"), toks)
+
+
+def gram(batches):
+    """Sums of pairs of numbers over rows ``(order_id, own)``, ``own`` being a list of lists."""
+    held: dict[int, int] = {}  # number of a token: its place in the matrix
+    whole, codes, size = np.zeros((0, 0)), [], 0
+
+    def sent(f, g, n):
+        some = n != 0
+        return pa.RecordBatch.from_arrays([pa.array(f[some]), pa.array(g[some]), pa.array(n[some].astype(np.int64))], ["f", "g", "n"])
+
+    def summed(parts):
+        f, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((g, f))
+        f, g, n = f[order], g[order], n[order]
+        edge = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (g[1:] != g[:-1]))) if len(f) else order
+        return f[edge], g[edge], np.add.reduceat(n, edge) if len(edge) else n
+
+    for b in batches:
+        for at in range(0, b.num_rows, BASKETS):
+            own = b.column(1).slice(at, BASKETS)
+            items = own.flatten()
+            flat = items.flatten().to_numpy()
+            basket = np.repeat(np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy()), pc.list_value_length(items).to_numpy())
+            item = np.repeat(np.arange(len(items)), pc.list_value_length(items).to_numpy())
+            tokens, code = np.unique(flat, return_inverse=True)
+            code = code.reshape(-1)
+            fresh = [t for t in tokens.tolist() if t not in held]
+            if len(held) + len(fresh) <= DENSE:
+                for t in fresh:
+                    held[t] = len(held)
+                if len(held) > len(whole):
+                    grown = np.zeros((len(held), len(held)))
+                    grown[: len(whole), : len(whole)] = whole
+                    whole = grown
+                place = np.array([held[t] for t in tokens.tolist()], np.int64)[code]
+                for who, sign in ((basket, 1), (item, -1)):
+                    m = np.zeros((int(who[-1]) + 1 if len(who) else 0, len(held)))
+                    np.add.at(m, (who, place), 1.0)
+                    whole += sign * (m.T @ m)  # whole numbers far below 2 ** 53
+                continue
+            # too many tokens for a matrix: sums of the pairs that occur
+            for who, sign in ((basket, 1), (item, -1)):
+                start, n = np.searchsorted(who, who, "left"), np.bincount(who, minlength=int(who[-1]) + 1)[who] if len(who) else who
+                left = np.repeat(np.arange(len(who)), n)
+                right = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                codes.append(summed([(flat[left], flat[right], np.full(len(left), sign, np.int64))]))
+                size += len(codes[-1][0])
+            if size >= HELD:
+                yield sent(*summed(codes))
+                codes, size = [], 0
+    if codes:
+        yield sent(*summed(codes))
+    names = np.array(list(held), np.int64)
+    for k in range(len(whole)):
+        yield sent(np.full(len(names), names[k]), names, whole[k])
+
+
+def named_counts(counts: DataFrame, toks: DataFrame) -> DataFrame:
+    """``(f, g, n)`` with the tokens for their hashes."""
+    names = toks.select("token").distinct().withColumn("h", F.xxhash64("token"))
+    sums = counts.groupBy("f", "g").agg(F.sum("n").alias("n")).where("n <> 0")
+    left, right = names.select(F.col("h").alias("f"), F.col("token").alias("tf")), names.select(F.col("h").alias("g"), F.col("token").alias("tg"))
+    return sums.join(left, "f").join(right, "g").select(F.col("tf").alias("f"), F.col("tg").alias("g"), "n")
 
 
 def pmi_weights(counts: DataFrame) -> DataFrame:
@@ -122,10 +192,3 @@ def pmi_weights(counts: DataFrame) -> DataFrame:
 def ppmi(counts: DataFrame, min_count: int = 5) -> DataFrame:
     """Positive PMI; the marginals are taken before the cut."""
     return pmi_weights(counts).where(F.col("n") >= min_count).select("f", "g", "m")
-
-
-def content_pairs(x: DataFrame, left: DataFrame) -> DataFrame:
-    """Cosine of a bounded set of variants with all others: ``(a, c, sim)``."""
-    a = x.join(left, "variant_id", "left_semi").select(F.col("variant_id").alias("a"), "token", F.col("w").alias("wa"))
-    out = a.join(x.select(F.col("variant_id").alias("c"), "token", "w"), "token").where("a <> c")
-    return out.groupBy("a", "c").agg(F.sum(F.col("wa") * F.col("w")).alias("sim"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import clean, evaluate, models, profile, ranker, registry, serve, sweep
-from ..sources import jsonl, nodes, scratch, testdata
+from ..sources import dated, jsonl, nodes, scratch, testdata
 
 EMAILS = ["customer7@example.com", "Customer11@example.com", "customer42@example.com"]
 SALT = b"a public example salt"
@@ -149,8 +149,10 @@ def flatten_inventory(spark, sf):
 
 @query(B + "select id, date from ordr where date >= (select max(date) from ordr) - 730")
 def lookback_orders(spark, sf):
-    o = testdata.view(spark, sf, testdata.RAW).select("id", "date").distinct()
-    return o.join(F.broadcast(o.agg(F.date_sub(F.max("date"), 730).alias("start"))), F.col("date") >= F.col("start")).select("id", "date")
+    """Orders of the last two years, from a table by months of which the others are not read."""
+    path = f"{scratch.folder(spark)}/orders-{uuid.uuid4().hex}"
+    dated.write_dated(testdata.view(spark, sf, testdata.RAW).select("id", "date").distinct(), path)
+    return dated.read_since_last(spark, path, 730)
 
 
 # ---- cleaning and anonymizing ----------------------------------------------------------------
@@ -658,6 +660,11 @@ def catalog(d: Data) -> DataFrame:
     return serve.in_stock(d.products.join(d.available, "variant_id"), stock)
 
 
+def sellable(d: Data) -> DataFrame:
+    """Variants that are active, and in stock or without any feed."""
+    return catalog(d).where((F.col("status") == "ACTIVE") & F.coalesce("in_stock", F.lit(True))).select("variant_id")
+
+
 @query(B + "select variant_id, coalesce(stock > 0, false) as in_stock from products")
 def stock_filter(spark, sf):
     return catalog(Data(spark, sf)).select("variant_id", "in_stock")
@@ -676,8 +683,7 @@ def served(d: Data, config: registry.Config, which: ranker.Blends | None = None)
     """Lists of the chosen blend (or of ``which``) fitted on all orders, for the baskets of ``d.queries``, from what can be sold."""
     b = Blended(d, d.lines, models.baskets(d.parts), counts=False, config=config)
     which = which or config.blend()
-    ok = catalog(d).where((F.col("status") == "ACTIVE") & F.coalesce("in_stock", F.lit(True))).select("variant_id")
-    return ranker.best(b.queries, b.profile, b.items.join(ok, "variant_id", "left_semi"), b.tops, which, b.item)
+    return ranker.best(b.queries, b.profile, b.items.join(sellable(d), "variant_id", "left_semi"), b.tops, which, b.item)
 
 
 @query(SERVE + " select order_id, target, slot, variant_id, round(score, 6) as score from (select *, row_number() over (partition by order_id, target order by score desc, variant_id)::int as slot from (select *, round(attr + content + item + 1e-6 * u, 10) as score from ok)) where slot <= 10")
@@ -709,9 +715,15 @@ def latest_stock(spark, sf):
     return serve.latest_stock(pulls)
 
 
-@query(B + "select a, c, round(sim, 6) as sim from (select x.variant_id as a, y.variant_id as c, sum(x.w * y.w) as sim, row_number() over (partition by x.variant_id order by round(sum(x.w * y.w), 9) desc, y.variant_id) as rank from vec x join vec y using (token) where x.variant_id <> y.variant_id and x.variant_id % 100 = 0 group by 1, 2) where rank <= 10")
+@query(B + """, today as (select max(date) as d from lines), sims as (select x.variant_id as a, y.variant_id as c, sum(x.w * y.w) as sim from vec x join vec y using (token) group by 1, 2),
+ok2 as (select variant_id from products join avail using (variant_id), today where status = 'ACTIVE' and coalesce(stock > 0, false) and available_from <= d)
+select a, c, rank, round(sim, 6) as sim from (select p.variant_id as a, o.variant_id as c, coalesce(s.sim, 0) as sim, row_number() over (partition by p.variant_id order by round(coalesce(s.sim, 0), 10) desc, o.variant_id)::int as rank
+  from products p join ok2 o on o.variant_id <> p.variant_id left join sims s on s.a = p.variant_id and s.c = o.variant_id) where rank <= 10""")
 def similar_items(spark, sf):
-    """Content neighbours of every hundredth variant, against all."""
+    """Content neighbours of every variant among what can be sold on the last day."""
     d = Data(spark, sf)
-    sims = models.content_pairs(d.vectors(), d.products.where("variant_id % 100 = 0").select("variant_id"))
-    return r6(models.top_neighbours(sims.withColumn("sim", F.round("sim", 9))).select("a", "c", "sim"), "sim")
+    x = scratch.written(d.vectors(), "vectors")
+    items = ranker.catalog_rows(x, d.available).join(sellable(d), "variant_id", "left_semi")
+    today = d.products.select("variant_id").join(F.broadcast(d.lines.agg(F.max("date").alias("date"))))
+    rows = ranker.similar(x, items, today)
+    return r6(rows.select(F.col("variant_id").alias("a"), F.col("similar").alias("c"), F.col("slot").alias("rank"), "sim"), "sim")

@@ -12,7 +12,7 @@ from .. import functions as fn
 from ..operators import evaluate, models, ranker, registry, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
-from .queries import ATTR, B, COUNTS, PQ, SERVE, Blended, Data, boot_sql, query, r6, served
+from .queries import ATTR, B, COUNTS, HYB, HYBRID_RANKS, PQ, SERVE, Blended, Data, boot_sql, hybrid_rows, query, r6, served
 
 MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
 
@@ -203,8 +203,8 @@ def recommend_selected(spark, sf):
 BASE, ALWAYS = "copurchase(min_support=3)", ["copurchase(min_support=3)", "copurchase(min_support=1)"]
 
 
-def refitted(spark, sf) -> tuple[DataFrame, str]:
-    """Metric rows of the chosen models and of the fixed ones, fitted on all but the last part; and the name of the chosen blend."""
+def refitted(spark, sf) -> tuple[DataFrame, registry.Config, Window]:
+    """Metric rows of the chosen models and of the fixed ones, fitted on all but the last part; the choice, and the fitted scores."""
     d = Data(spark, sf)
     config = selected(spark, sf, d)
     names, singles = dict(config.names), sweep.edge_models() | sweep.content_models()
@@ -213,13 +213,13 @@ def refitted(spark, sf) -> tuple[DataFrame, str]:
     named = list(dict.fromkeys([names["popularity"], *ALWAYS, "content_cosine", *of_part]))
     w = Window(spark, d, ["train", "val"], "test")
     one, mixed, _ = w.all_ranks(named, [config.label], (config.attr, config.item))
-    return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), config.label
+    return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), config, w
 
 
 @query()
 def refit_test(spark, sf):
     """A row a model on the last part: means, interval of hit10, lift over the baseline, warm and cold."""
-    rows, served = refitted(spark, sf)
+    rows, config, _ = refitted(spark, sf)
     rows = kept(spark, rows)
     base = rows.where(F.col("model") == BASE).select(*KEYS, F.col("hit10").alias("base"))
     lift = rows.join(base, KEYS).withColumn("d", F.col("hit10") - F.col("base"))
@@ -227,7 +227,7 @@ def refit_test(spark, sf):
     ci = evaluate.bootstrap_by(rows, "hit10", ["model"]).select("model", "lo", "hi")
     up = evaluate.bootstrap_by(lift, "d", ["model"]).select("model", F.col("mean").alias("lift"), F.col("lo").alias("lift_lo"), F.col("hi").alias("lift_hi"))
     out = sweep.board(rows.drop("hit5", "hit10", "ndcg10", "rr")).join(split, "model").join(ci, "model").join(up, "model")
-    out = out.withColumns({"baseline": F.col("model") == BASE, "served": F.col("model") == served})
+    out = out.withColumns({"baseline": F.col("model") == BASE, "served": F.col("model") == config.label})
     return r6(out, *MEANS, "warm10", "cold10", "lo", "hi", "lift", "lift_lo", "lift_hi")
 
 
@@ -247,7 +247,6 @@ round(case when rank <= 10 then 1 / log2(rank + 1) else 0 end::double, 6) as ndc
 @query(EXPORT)
 def export_query_results(spark, sf):
     """A row a model and query with its ten best items, written in a folder a model and read again."""
-    path = f"{scratch.folder(spark)}/results-{uuid.uuid4().hex}"
     d = Data(spark, sf)
     which = {n: sweep.edge_models()[n] for n in EXPORTED}
     wide, prior = kept(spark, sweep.edge_scores(d.queries, d.fit)), kept(spark, sweep.units_shares(d.fit_lines))
@@ -256,15 +255,57 @@ def export_query_results(spark, sf):
     for name, (score, tie) in which.items():
         scores = wide.select(*KEYS, "variant_id", F.expr(score).cast("double").alias("score")).where("score > 0")
         top = serve.recommend(d.queries, scores, every, prior=prior.select("variant_id", F.expr(tie).cast("double").alias("prior")))
-        top = top.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "variant_id"))), lambda x: x["variant_id"]).alias("top10")).withColumn("model", F.lit(name))
+        top = top10_of(top.withColumn("model", F.lit(name)))
         lists = top if lists is None else lists.unionByName(top)
     seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("target_warm", F.lit(True))
-    rows = evaluate.metrics(sweep.ranks(d.queries, wide, prior, d.available, which)).join(lists, ["model", *KEYS]).join(seen, "target", "left").na.fill(False, ["target_warm"])
-    rows.write.partitionBy("model").parquet(path)
+    rows = evaluate.metrics(sweep.ranks(d.queries, wide, prior, d.available, which)).join(seen, "target", "left").na.fill(False, ["target_warm"])
+    return exported(spark, rows, lists)
+
+
+def exported(spark, rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Metric rows and lists of models, written in a folder a model and read again."""
+    path = f"{scratch.folder(spark)}/results-{uuid.uuid4().hex}"
+    rows.join(lists, ["model", *KEYS]).write.partitionBy("model").parquet(path)
     out = spark.read.parquet(path).select("model", *KEYS, "target_warm", "date", "source", "context_size", "n_scored", "rank", "hit5", "hit10", "ndcg10", "rr", "top10")
     return r6(out, "ndcg10", "rr")
 
 
+def top10_of(top: DataFrame) -> DataFrame:
+    """``(model, order_id, target, top10)`` of rows with slots."""
+    return top.groupBy("model", *KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "variant_id"))), lambda x: x["variant_id"]).alias("top10"))
+
+
+@query(HYB + HYBRID_RANKS + """, tk as (select order_id, target, list(variant_id order by slot) as top10 from (select *, row_number() over (partition by order_id, target order by qs desc, variant_id) as slot from al) where slot <= 10 group by 1, 2)
+select 'hybrid' as model, order_id, target, warm as target_warm, q.date, q.source, len(q.context)::int as context_size, n_scored, rank, hit5, hit10, round(ndcg10, 6) as ndcg10, round(hm.rr, 6) as rr, top10 from hm join tk using (order_id, target) join loo q using (order_id, target)""")
+def export_hybrid_results(spark, sf):
+    """The same of the served blend."""
+    d = Data(spark, sf)
+    b = Blended(d, counts=False, config=registry.current(spark))
+    lists = top10_of(ranker.best(b.queries, b.profile, b.items, b.tops, b.config.blend(), b.item))
+    return exported(spark, hybrid_rows(d, b).withColumnRenamed("warm", "target_warm"), lists)
+
+
+@query()
+def export_selected_results(spark, sf):
+    """The same of every model that selection refits: the winners, the fixed ones and the chosen blend."""
+    d = Data(spark, sf)
+    rows, config, w = refitted(spark, sf)
+    names = [r.model for r in rows.select("model").distinct().collect()]  # a row a model
+    edge, lists = sweep.edge_models(), None
+    every = d.available.withColumns({"status": F.lit("ACTIVE"), "in_stock": F.lit(None).cast("boolean")})
+    for name in (n for n in names if n in edge):
+        score, tie = edge[name]
+        scores = w.edges.select(*KEYS, "variant_id", F.expr(score).cast("double").alias("score")).where("score > 0")
+        top = serve.recommend(w.queries, scores, every, prior=w.prior.select("variant_id", F.expr(tie).cast("double").alias("prior"))).withColumn("model", F.lit(name))
+        lists = top if lists is None else lists.unionByName(top)
+    item = kept(spark, w.edges.select(*KEYS, "variant_id", F.col(config.item).alias("score")).where("score > 0"))
+    blends = {n: ({s: 1.0}, {}) for n, (s, _) in sweep.content_models().items() if n in names} | {config.label: config.blend()["hybrid"]}
+    blends[config.label] = ({config.attr if c == "attr" else c: x for c, x in blends[config.label][0].items()}, blends[config.label][1])
+    top = ranker.best(w.queries, w.profile, w.items, ranker.with_item(w.tops, item), blends, item).select("model", *KEYS, "slot", "variant_id")
+    lists = top if lists is None else lists.select("model", *KEYS, "slot", "variant_id").unionByName(top)
+    return exported(spark, rows.withColumnRenamed("warm", "target_warm"), top10_of(lists))
+
+
 SEG = """, sg as (select *, 'target' as segment_group, case when warm then 'warm' else 'cold' end as segment from met union all
   select *, 'source', case when source = 'pos' then 'pos' else 'online' end from met union all select *, 'context', case when context_size = 1 then '1 item' else '2+ items' end from met)"""
 
