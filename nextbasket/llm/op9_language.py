@@ -7,9 +7,8 @@ the piece probabilities: Spark counts the words of the labelled sample, tasks ru
 forward-backward pass over distinct words, and Spark sums the expected counts by piece.
 
 Null texts and texts without a letter get ``und`` and score 0. All pieces of letters and whole
-words count in predictions, whatever their length (the forward sums are rescaled on the way);
-only the fit takes runs of more than ``LONGEST`` letters of its sample in parts. Other columns are ignored, repeated rows each
-get their own result, an empty table gives no rows; without labelled rows all are ``und``.
+words count in the fit and in predictions, whatever their length (sums over long words are rescaled on
+the way). Other columns are kept, but not such as are named lang_pred or score; repeated rows each get their own result, an empty table gives no rows; without labelled rows all are ``und``.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import written
 
-#: Labelled rows for each language, in expectation; passes of EM; parts of words in the fit; distinct words that a task keeps.
-SAMPLE_ROWS, PASSES, LONGEST, CACHE = 1500, 2, 32, 400_000
-#: Characters of words that are scored at once, and steps between rescalings.
-AREA, RESCALE = 200_000, 8
+#: Labelled rows for each language, in expectation; passes of EM; letters above which words are fitted one by one; distinct words that a task keeps.
+SAMPLE_ROWS, PASSES, LONGEST, CACHE = 1500, 2, 32, 250_000
+#: Characters of words that are scored at once, steps between rescalings, and bytes of text that are split at once.
+AREA, RESCALE, BLOCK = 100_000, 8, 1_500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a single character that is no piece, and what EM adds to each count.
 UNKNOWN, PRIOR = 1e-6, 0.05
@@ -128,9 +127,12 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected counts of pieces; ``counts[word, language]``."""
         total = np.zeros_like(self.probs)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for k in range(0, len(order), 8_192):
-            rows = order[k : k + 8_192]
+        order = sorted((k for k in range(len(words)) if len(words[k]) <= LONGEST), key=lambda k: len(words[k]))
+        for k in range(len(words)):
+            if len(words[k]) > LONGEST:
+                self.expected_of_long(words[k], counts[k], total)
+        for k in range(0, len(order), 4096):
+            rows = order[k : k + 4096]
             arcs, size = self.arcs([words[r] for r in rows])
             here = np.arange(len(rows))
             a = self.forward(arcs)
@@ -146,13 +148,38 @@ class Lattice:
         return total[2:]
 
 
-def parts(word: str, longest: int | None = None) -> list[str]:
-    """Scored runs of letters of a white-space word, in parts of ``longest`` if given."""
-    out = []
-    for run in LETTERS.findall(word.lower()):
-        run = "▁" + run
-        out += [run[k : k + longest] for k in range(0, len(run), longest)] if longest else [run]
-    return out
+    def expected_of_long(self, word: str, counts: np.ndarray, total: np.ndarray) -> None:
+        """Adds those of one word. Sums are numbers times ``exp`` of a scale that each position has."""
+        arcs, n, p = self.arcs([word])[0][0], len(word), self.longest
+        langs = self.probs.shape[1]
+        sums, scales = [], []
+        for back in (False, True):
+            m, s = np.zeros((n + 1, langs)), np.zeros((n + 1, langs))
+            m[n if back else 0] = 1
+            for k in range(1, n + 1):
+                e, step = (n - k, 1) if back else (k, -1)
+                sizes = np.arange(1, min(p, k) + 1)
+                other = e + step * sizes
+                arc = arcs[other, sizes - 1] if back else arcs[e, sizes - 1]
+                near = e + step
+                new = (m[other] * np.exp(s[other] - s[near]) * self.probs[arc]).sum(0)
+                top = np.where(new > 0, new, 1.0) if k % RESCALE == 0 else np.ones(langs)
+                m[e], s[e] = new / top, s[near] + np.log(top)
+            sums.append(m)
+            scales.append(s)
+        (a, b), (sa, sb) = sums, scales
+        with np.errstate(divide="ignore"):
+            whole = np.log(a[n]) + sa[n]
+        for e in range(1, n + 1):
+            sizes = np.arange(1, min(p, e) + 1)
+            arc = arcs[e, sizes - 1]
+            part = a[e - sizes] * b[e] * self.probs[arc] * np.exp(np.where(np.isfinite(whole), sa[e - sizes] + sb[e] - whole, -np.inf))
+            np.add.at(total, arc, part * counts)
+
+
+def parts(word: str) -> list[str]:
+    """Scored runs of letters of a white-space word."""
+    return ["▁" + run for run in LETTERS.findall(word.lower())]
 
 
 def fit(docs: DataFrame, path: str | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, passes: int = PASSES):
@@ -181,7 +208,7 @@ def fit(docs: DataFrame, path: str | None = None, text: str = "text", lang: str
             for b in batches:
                 words, rows = [], []
                 for k, w in enumerate(b.column("word").to_pylist()):
-                    for p in parts(w, LONGEST):
+                    for p in parts(w):
                         words.append(p)
                         rows.append(k)
                 if words:
@@ -210,7 +237,7 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
         lattice = Lattice(pieces, probs)
         keys, table, letters = np.zeros(0, np.uint64), np.zeros((0, len(langs))), np.zeros(0, np.int64)
         for b in batches:
-            for at, part in textnum.blocks(b.column(names.index(text)), 8 * textnum.BLOCK):
+            for at, part in textnum.blocks(b.column(names.index(text)), BLOCK):
                 w = textnum.words(part, lower=True, marks=False)
                 uniq, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
                 if len(keys) > CACHE:
@@ -227,10 +254,9 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
                     s = lattice.scores(words)
                     for j in range(len(langs)):
                         got[:, j] = np.bincount(rows, s[:, j], len(new))
-                keys, table = np.concatenate([keys, uniq[new]]), np.concatenate([table, got])
-                letters = np.concatenate([letters, np.bincount(rows, minlength=len(new)) if words else np.zeros(len(new), np.int64)])
-                order = np.argsort(keys)
-                keys, table, letters = keys[order], table[order], letters[order]
+                own = np.bincount(rows, minlength=len(new)) if words else np.zeros(len(new), np.int64)
+                here = np.searchsorted(keys, uniq[new])  # both in order
+                keys, table, letters = np.insert(keys, here, uniq[new]), np.insert(table, here, got, axis=0), np.insert(letters, here, own)
                 place = np.searchsorted(keys, uniq)[which.reshape(-1)]
                 run_of = np.zeros((len(place) + 1, len(langs)))
                 np.cumsum(table[place], axis=0, out=run_of[1:])

@@ -415,3 +415,33 @@ def test_substrings_of_rows_that_share_an_id(spark):
     assert (5, own, 0) in got and got.count((5, own, 0)) == 2 and (1, first, 0) in got and (None, first, 0) in got
     assert [x[2] for x in got if x[0] == 5 and x[1] != own] == [60]
     assert sorted(x[2] for x in got if x[0] == 6) == [0, 30]  # one of the two keeps the passage
+
+
+def test_expected_counts_equal_all_segmentations(monkeypatch):
+    """EM's counts against a list of all ways to cut, for words of plain and of rescaled sums; very long words keep all their letters."""
+    monkeypatch.setattr(op9_language, "LONGEST", 5)
+    pieces = ["▁", "a", "ab", "abc", "b", "▁a", "bb"]
+    probs = np.random.default_rng(2).random((len(pieces), 2)) / 9
+    lattice = op9_language.Lattice(pieces, probs)
+    words, counts = ["▁ab", "▁abcab", "▁xab", "▁aabbcabbab"], np.array([[2.0, 1.0], [1.0, 3.0], [0.5, 0.0], [4.0, 1.0]])
+    want = np.zeros_like(probs)
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in pieces or n == 1:
+                yield from ([w[:n], *rest] for rest in cuts(w[n:]))
+
+    value = lambda p: probs[pieces.index(p)] if p in pieces else np.full(2, op9_language.UNKNOWN)
+    for w, c in zip(words, counts, strict=True):
+        ways = [(way, np.prod([value(p) for p in way], axis=0)) for way in cuts(w)]
+        z = sum(x for _, x in ways)
+        for way, x in ways:
+            for p in way:
+                if p in pieces:
+                    want[pieces.index(p)] += c * x / z
+    assert np.allclose(lattice.expected(words, counts), want)
+    long = lattice.expected(["▁" + "ab" * 3000], np.ones((1, 2)))
+    letters = np.array([len(p.strip("▁")) for p in pieces])
+    assert np.allclose(letters @ long, 6000)
