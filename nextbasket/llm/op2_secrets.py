@@ -3,10 +3,11 @@
 Both models are first-order over the characters of tokens, trained from labelled samples. Random
 are the values that the fixed patterns found, and strings generated by hashes in the usual
 alphabets (base 64, base 62, hexadecimal in both cases, letters, digits). Identifiers are ordinary
-words of the sampled texts, alone and joined as programs join them, with numbers, and numbers
-with separators. A part of the sample is held out: on it the least log ratio a character is chosen
+words of the sampled texts, alone and joined as programs join them, with numbers, numbers with
+separators, rules of one character, and runs of the alphabet, the digits and the keys of a keyboard. A part of the sample is held out: on it the least log ratio a character is chosen
 that makes the fewest errors, a harmless token counting ``COST`` times a missed secret. A token
-that reaches it on average is a span of kind ``markov``. One without digits is scored in lower
+that reaches it on average is a span of kind ``markov``. Numbers are identifiers, so a random string of
+digits alone is mostly left. One without digits is scored in lower
 case, as identifiers in capitals are rare in texts. Main path: built-in DataFrame functions.
 
 Null text counts as empty: no spans. Spans are in code points, end exclusive. Other columns
@@ -49,6 +50,10 @@ server service session set setting size sort source stack start state status sto
 system table tag target task template test text thread time title token tool total transaction type update upload url user util
 validation value version very video view warning web width window word worker writer""".split()
 
+# Characters that rules are drawn with, and runs that people type.
+RULES = ["-", "_", "=", "/", "+", "x", "0"]
+RUNS = ["abcdefghijklmnopqrstuvwxyz", "1234567890", "qwertyuiopasdfghjklzxcvbnm", "0123456789"]
+
 #: Rows of the labelled sample in expectation, and what a token must score above the threshold a character.
 SAMPLE_ROWS = 20_000
 MIN_RATIO = 0.0
@@ -130,7 +135,11 @@ def identifiers(rows: DataFrame) -> DataFrame:
         F.upper(F.concat_ws("_", a, b, c, number(8, 100))), F.concat_ws("/", a, b, year, number(9, 12), c), F.concat_ws("-", year, padded(10, 12, 2), padded(11, 28, 2), digits),
         F.concat_ws("-", digits, padded(12, 10_000, 4), padded(13, 10_000, 4), F.concat(padded(14, 10_000, 4), F.substring(a, 1, 1))),
     ]
-    return rows.withColumn("names", F.array(*names))
+    some = lambda k, values: F.array(*map(F.lit, values))[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(len(values))).cast("int")]
+    size = F.lit(16) + F.pmod(F.xxhash64("row", F.lit(200)), F.lit(48)).cast("int")
+    typed = F.substring(F.repeat(some(201, RUNS), F.lit(8)), F.pmod(F.xxhash64("row", F.lit(202)), F.lit(10)).cast("int") + 1, size)
+    alphabets = F.concat(F.lit(RUNS[0]), F.upper(F.lit(RUNS[0])), F.lit(RUNS[3]))
+    return rows.withColumn("names", F.array(*names, F.repeat(some(203, RULES), size), typed, F.when(F.pmod(F.xxhash64("row", F.lit(204)), F.lit(4)) == 0, alphabets).otherwise(F.upper(typed))))
 
 
 def labelled(docs: DataFrame, text: str, sample_rows: int) -> DataFrame:

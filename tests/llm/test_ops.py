@@ -445,3 +445,25 @@ def test_expected_counts_equal_all_segmentations(monkeypatch):
     long = lattice.expected(["▁" + "ab" * 3000], np.ones((1, 2)))
     letters = np.array([len(p.strip("▁")) for p in pieces])
     assert np.allclose(letters @ long, 6000)
+
+
+def test_harmless_runs_are_no_secrets(spark):
+    r = random.Random(10)
+    prose = "some ordinary words of the language that make up the thousand names and phrases in a normal text with further information"
+    seen = [f"{prose} {' '.join(r.choice(prose.split()) for _ in range(20))} password={r.getrandbits(100):x} ok" for _ in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kept = ["-" * 16, "_" * 20, "=" * 40, "/" * 60, letters, letters.upper(), letters + letters.upper(), "qwertyuiopasdfghjkl", "12345678901234567890", "0" * 32]
+    every = letters + letters.upper() + "0123456789"
+    found = ["".join(r.choice(every) for _ in range(32)) for _ in range(20)]
+    df = docs(spark, [f"a {x} b" for x in kept + found])
+    rows = {x.doc_id: [s.value for s in x.spans if s.kind == "markov"] for x in op2_secrets.scan(df, op2_secrets.train(docs(spark, seen))).collect()}
+    assert [rows[k] for k in range(len(kept))] == [[]] * len(kept)
+    assert sum(rows[len(kept) + k] == [x] for k, x in enumerate(found)) >= 18
+
+
+def test_html_main_beside_a_card():
+    story = "The story goes on for a while and ends well. " * 5
+    text = op5_html.main_text(f"<main><h1>Title</h1><p>{story}</p><article><h2>Card</h2><p>Read this next</p></article></main>", None)
+    assert text == f"Title {story}".strip()
+    text = op5_html.main_text(f"<main><p>Lead</p><article><h1>Title</h1><p>{story}</p></article></main>", None)
+    assert text == f"Title {story}".strip()
