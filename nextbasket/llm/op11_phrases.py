@@ -232,8 +232,10 @@ def phrase_counts(rows: DataFrame, words: tuple[np.ndarray, np.ndarray], units:
                 unit = np.full(n, -1, np.int64)
                 unit[follows] = tops[k].find(h[follows])
                 # a hash may be that of another phrase: the ids decide
+                hit = np.flatnonzero(unit >= 0)
                 for j in range(k + 2):
-                    unit[(unit >= 0) & (own_ids[j][np.maximum(unit, 0)] != ids[j : n + j])] = -1
+                    unit[hit[own_ids[j][unit[hit]] != ids[hit + j]]] = -1
+                    hit = hit[unit[hit] >= 0]
                 passes = follows.copy()
                 passes[follows] = Filter.has(own_bits, h[follows])
                 often = passes | (unit >= 0)
