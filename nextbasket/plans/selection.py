@@ -12,6 +12,7 @@ from .. import functions as fn
 from ..operators import evaluate, models, ranker, registry, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
+from . import sweep_sql
 from .queries import ATTR, B, COUNTS, HYB, HYBRID_RANKS, PQ, SERVE, Blended, Data, boot_sql, hybrid_rows, query, r6, served
 
 MEANS = ["hit5", "hit10", "ndcg10", "rr", "answered"]
@@ -174,7 +175,7 @@ def selected(spark, sf, d: Data) -> registry.Config:
     return registry.current(spark, folder)
 
 
-@query()
+@query(sweep_sql.SWEEP)
 def sweep_validation(spark, sf):
     """All 43 configurations, fitted on the first part and scored on the second; the best of each family is marked. Publishes the choice."""
     d = Data(spark, sf)
@@ -187,7 +188,7 @@ def sweep_validation(spark, sf):
     return r6(rows.join(best, "family").withColumn("wins", F.col("model") == F.col("best")).drop("best"), *MEANS)
 
 
-@query()
+@query(sweep_sql.CHOICE)
 def chosen_configuration(spark, sf):
     """The published choice for these orders, a row a role."""
     return registry.rows_of(spark, selected(spark, sf, Data(spark, sf)))
@@ -216,7 +217,7 @@ def refitted(spark, sf) -> tuple[DataFrame, registry.Config, Window]:
     return evaluate.metrics(kept(spark, one.union(mixed))).join(w.seen, "target", "left").na.fill(False, ["warm"]), config, w
 
 
-@query()
+@query(sweep_sql.refitted(BASE, ALWAYS))
 def refit_test(spark, sf):
     """A row a model on the last part: means, interval of hit10, lift over the baseline, warm and cold."""
     rows, config, _ = refitted(spark, sf)
