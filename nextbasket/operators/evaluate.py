@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quantized
+from .asof import first_of_days
 from .models import universe_on
 
 KEYS = ["order_id", "target"]
@@ -54,8 +55,7 @@ def top_k(queries: DataFrame, cand: DataFrame, available: DataFrame, k: int = 10
     rows = queries.join(listed, KEYS, "left").withColumn("top", F.coalesce(F.transform("top", lambda x: x["variant_id"]), F.array().cast("array<bigint>")))
     # for a few days, the lowest ids that exist: enough for any context and k scored ones
     days = queries.groupBy("date").agg((F.max(F.size("context")) + 2 * k).alias("need"))
-    low = F.row_number().over(W.partitionBy("date").orderBy("variant_id"))
-    first = available.join(F.broadcast(days), F.col("available_from") <= F.col("date")).withColumn("r", low).where("r <= need")
+    first = first_of_days(available.withColumn("by_id", F.lit(0)), days, "by_id")
     fill = first.groupBy("date").agg(F.array_sort(F.collect_list("variant_id")).alias("fill"))
     rows = rows.join(fill, "date")
     full = F.slice(F.concat("top", F.array_except(F.array_except("fill", "context"), "top")), 1, k)

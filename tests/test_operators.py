@@ -6,10 +6,12 @@ import math
 import random
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nextbasket import functions as fn
-from nextbasket.operators import clean, evaluate, models, profile, ranker, serve, sweep
+from nextbasket.operators import asof, clean, evaluate, models, profile, ranker, registry, serve, sweep
+from nextbasket.sources import dated, jsonl
 
 LINE = "array<struct<pos:int,variant_id:string,product_id:string,title:string,quantity:int,refunded:int,unit_price:double>>"
 SCHEMA = f"id long, created_at string, test boolean, cancelled_at string, source_name string, email string, customer_id string, line_items {LINE}"
@@ -203,6 +205,119 @@ def test_ranker_with_copies_and_blocks(spark):
         assert found[0][1][k] == (n + 1 + (same - 1) / 2, sum(y > 0 for y in fine.values()))
 
 
+def test_first_items_of_days(spark):
+    r = random.Random(2)
+    day = lambda k: date(2026, 1, 1 + k)
+    items = [(v, day(r.randrange(20)), r.choice([0.0, 1.0, 2.0])) for v in r.sample(range(1000), 300)] + [(2000, None, 0.0)]
+    days = [(day(k), r.randint(1, 12)) for k in (0, 3, 4, 19)]
+    got = asof.first_of_days(spark.createDataFrame(items, "variant_id long, available_from date, o double").repartition(5), spark.createDataFrame(days, "date date, need int"), "o").collect()
+    want = {(d, v, k) for d, n in days for k, (_, v) in enumerate(sorted((o, v) for v, since, o in items if since and since <= d)[:n], 1)}
+    assert {(x.date, x.variant_id, x.r) for x in got} == want
+
+
+def test_published_choice_is_served(spark, tmp_path):
+    """The latest version counts, an older one can be asked for, and another blend gives other items."""
+    from nextbasket.plans import queries as q
+
+    folder = f"{tmp_path}/models"
+    assert registry.current(spark, folder) == registry.DEFAULT and registry.versions(spark, folder) == []
+    first = registry.Config("u30", "attr2", "n1", (0.0, 0.0, 1.0), label="hybrid(x)", names=(("item", "copurchase(min_support=1)"),))
+    assert registry.publish(spark, registry.DEFAULT, folder) == 1 and registry.publish(spark, first, folder) == 2
+    assert registry.current(spark, folder) == first and registry.current(spark, folder, 1) == registry.Config("u30", "attr5", "cosine5", (1.0, 1.0, 0.5))
+    assert registry.history(spark, folder).count() == 10
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: {(x.order_id, x.target, x.slot): x.variant_id for x in q.recommend(spark, sf).collect()}
+    before = rows()
+    spark.conf.set(registry.FOLDER, folder)
+    try:
+        after = rows()
+    finally:
+        spark.conf.unset(registry.FOLDER)
+    assert set(before) == set(after) and before != after
+    # only what was bought together scores: the pair counts decide the first item
+    d = q.Data(spark, sf)
+    pairs = {(x.a, x.c): x.n for x in models.mirrored(models.pairs(models.baskets(d.lines))).collect()}
+    for x in d.queries.limit(5).collect():
+        items = [after[x.order_id, x.target, k] for k in range(1, 11)]
+        scores = [sum(pairs.get((a, c), 0) for a in x.context) for c in items]
+        assert scores == sorted(scores, reverse=True)
+
+
+def test_attribute_counts_by_pairs_of_items(spark, monkeypatch):
+    """Whole matrices, and sums of the pairs that occur where tokens are many."""
+    r = random.Random(7)
+    toks = {v: r.sample("abcdefgh", r.randint(1, 4)) for v in range(30)}
+    baskets = [(k, r.sample(range(30), r.randint(1, 5))) for k in range(200)]
+    rows, names = spark.createDataFrame(baskets, "order_id long, items array<long>"), spark.createDataFrame([(v, t) for v, own in toks.items() for t in own], "variant_id long, token string")
+    want: dict = {}
+    for _, items in baskets:
+        for a in items:
+            for b in items:
+                if a != b:
+                    for f in toks[a]:
+                        for g in toks[b]:
+                            want[f, g] = want.get((f, g), 0) + 1
+    for dense, held in ((2048, 4_000_000), (3, 50), (0, 10**9)):
+        monkeypatch.setattr(models, "DENSE", dense)
+        monkeypatch.setattr(models, "HELD", held)
+        monkeypatch.setattr(models, "BASKETS", 7)
+        assert {(x.f, x.g): x.n for x in models.attr_counts(rows, names).collect()} == want
+    assert models.attr_counts(rows.where("false"), names).count() == 0
+
+
+def test_bootstrap_equals_numpy(spark):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), r.randrange(60), r.random()) for _ in range(500)]
+    got = {x.g: x for x in evaluate.bootstrap_by(spark.createDataFrame(rows, "g string, order_id long, v double").repartition(3), "v", ["g"], replicates=50).collect()}
+    for g in "ab":
+        own: dict = {}
+        for k, o, v in rows:
+            if k == g:
+                s, n = own.get(o, (0.0, 0))
+                own[o] = s + v, n + 1
+        ids = np.array(sorted(own))
+        w = evaluate.poisson_weights(ids, 50, 0)
+        s, n = (np.array([own[o][k] for o in ids.tolist()]) for k in (0, 1))
+        means = (w.T @ s) / (w.T @ n)
+        assert abs(got[g].mean - s.sum() / n.sum()) < 1e-12 and np.allclose([got[g].lo, got[g].hi], np.quantile(means, [0.025, 0.975]))
+    w = evaluate.poisson_weights(np.arange(4000), 100, 0)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+
+
+def test_look_back_reads_the_last_months(spark, tmp_path):
+    days = [date(2025, 1 + k % 12, 1 + k % 28) for k in range(100)] + [date(2026, 3, 5), None]
+    path = f"{tmp_path}/orders"
+    dated.write_dated(spark.createDataFrame(list(enumerate(days)), "id long, date date"), path)
+    rows = dated.read_since_last(spark, path, 100)
+    assert sorted(x.date for x in rows.collect()) == sorted(d for d in days if d and (date(2026, 3, 5) - d).days <= 100)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "month" in filters and "2025-11" in filters
+    dated.write_dated(spark.createDataFrame([], "id long, date date"), path)
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('# a\n\t\n  # b\n\n  {"a": 1}\n{"a": null}\n')
+    assert [x.a for x in jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl"), spark.createDataFrame([], "a int").schema).collect()] == [1, None]
+    assert jsonl.write_jsonl(spark.createDataFrame([(1,), (None,)], "a int"), f"{tmp_path}/out") == 2
+
+
+def test_audits_count_nulls(spark):
+    line = "array<struct<variant_id:long,product_id:long,title:string,quantity:int,unit_price:double>>"
+    rows = [(1, date(2026, 1, 1), None, None, [(1, 1, "t", 1, 1.0)]), (2, date(2026, 1, 1), "pos", "x", None), (3, None, "pos", None, [(None, 1, "t", None, 1.0)]), (4, date(2026, 1, 1), "web", None, [])]
+    got = {x.rule: x.violations for x in clean.audit(spark.createDataFrame(rows, f"order_id long, date date, source string, customer string, items {line}")).collect()}
+    assert got == {"columns": 0, "source": 1, "customer": 1, "items": 2, "variant": 2, "quantity": 2, "email": 0, "date": 1}
+
+
+def test_titles_by_their_rarest_piece(spark):
+    titles = [(1, "Red hat", "ACTIVE"), (2, "hat, RED", "ACTIVE"), (3, "red", "DRAFT"), (4, None, "ACTIVE"), (5, "Reading", "ACTIVE"), (6, "r", "ACTIVE"), (7, "é (red)", "ACTIVE")]
+    terms = [("red",), (" RED ",), ("re",), ("r",), ("",), (None,), ("d)",), ("zzz",), ("hat, r",)]
+    got: dict = {}
+    for x in serve.search_titles(spark.createDataFrame(titles, "variant_id long, title string, status string"), spark.createDataFrame(terms, "term string")).orderBy("slot").collect():
+        got.setdefault(x.term, []).append(x.variant_id)
+    assert got == {"red": [1, 7, 2], " RED ": [1, 7, 2], "re": [5, 1, 7, 2], "d)": [7], "hat, r": [2]}
+
+
 def test_configurations():
     names = [*sweep.edge_models(), *sweep.content_models(), *sweep.hybrid_models()]
     assert len(names) == len(set(names)) == 43
