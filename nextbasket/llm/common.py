@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def scratch(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+        own = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
