@@ -33,7 +33,9 @@ from . import textnum
 from .common import written
 from .fmindex import FMIndex, Minimum
 
-WINDOW, SEED, HOT, SHARD_WORDS = 20, 4, 1000, 60_000
+WINDOW, SEED, HOT, SHARD_WORDS = 20, 6, 1000, 60_000
+#: Texts that are taken apart at once.
+SLICE = 256
 
 
 def sliding_least(h: np.ndarray, n: int) -> np.ndarray:
@@ -237,7 +239,7 @@ def removed(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "d
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             total, gone, kept = [], [], []
             for t, own in zip(b.column(names.index(text)).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 words = (t or "").encode().split()
