@@ -46,6 +46,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``, which gives memory that is free back to the system at the end of each partition.
+
+    Workers are used again, and those that wait would hold what their last task needed."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return wrapped
+
+
 def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)``.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, connected, grouped, written
+from .common import Forest, block_pairs, connected, grouped, lean, written
 
 COSINE, TABLES, BLOCKS, SCALE, BLOCK_ROWS = 0.98, 3, 2, 0.35, 256
 
@@ -88,7 +88,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vecto
                 key = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * own.shape[1], pa.int32()), pa.array(own.ravel()))
                 yield pa.RecordBatch.from_arrays([some.column("node"), some.column("copies"), some.column("label").cast(pa.string()), unit, key], ["node", "copies", "label", "unit", "codes"])
 
-    nodes = written(good.mapInArrow(code, "node long, copies long, label string, unit binary, codes array<long>"), "vectors")
+    nodes = written(good.mapInArrow(lean(code), "node long, copies long, label string, unit binary, codes array<long>"), "vectors")
     places = nodes.select("node", F.explode(F.array_distinct("codes")).alias("code"), "label", F.length("unit").alias("dim"))
     places = places.select("node", "code", F.xxhash64("code", "label", "dim").alias("cell"))
 
@@ -122,7 +122,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vecto
     # the code goes along: it tells in which cell a pair counts
     groups = groups.join(places, ["cell", "node"]).select("g", "left", "right", "node", "code")
     groups = groups.join(nodes, "node").repartition(F.col("g")).sortWithinPartitions("g")
-    found = written(groups.mapInArrow(compare, "a long, edge long, b long"), "links")
+    found = written(groups.mapInArrow(lean(compare), "a long, edge long, b long"), "links")
     roots = connected(found.where("edge = 1").select("a", "b"), "vector-links")
     counts = found.where("edge = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     done = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import written
+from .common import lean, written
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Ranked words, and ranked phrases of each length; the cells of a tile are the squares of 256 ranks.
@@ -114,7 +114,7 @@ def word_counts(rows: DataFrame, seed: int = 0) -> DataFrame:
         if held:
             yield sent(held)
 
-    return rows.mapInArrow(run, "lang string, word string, id long, c long").groupBy("lang", "word", "id").agg(F.sum("c").alias("f"))
+    return rows.mapInArrow(lean(run), "lang string, word string, id long, c long").groupBy("lang", "word", "id").agg(F.sum("c").alias("f"))
 
 
 class Filter:
@@ -256,7 +256,7 @@ def phrase_counts(rows: DataFrame, words: tuple[np.ndarray, np.ndarray], units:
         for got in tiles.rest():
             yield from_tiles(*got)
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "c"]))
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "c"]))
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, head: int = HEAD) -> DataFrame:
@@ -297,7 +297,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
                     yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*names, "a", "lang", "phrase")], pa.array(h.view(np.int64))], [*names, "a", "lang", "phrase", "h"])
 
             kinds = ", ".join(f"{c} long" for c in [*names, "a"]) + ", lang string, phrase string, h long"
-            level = levels[-1] = written(level.mapInArrow(hashed, kinds), f"ranked-{length}")
+            level = levels[-1] = written(level.mapInArrow(lean(hashed), kinds), f"ranked-{length}")
             got = level.orderBy(F.desc("a"), *names).limit(head).select("h", *names).toArrow()
             units.append((np.ascontiguousarray(got.column("h").to_numpy()).view(np.uint64), Filter.of(level.select("h")), np.stack([got.column(c).to_numpy() for c in names])))
     return first_phrases(scored(levels, longest), totals, top)

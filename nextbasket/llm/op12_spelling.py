@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import written
+from .common import lean, written
 
 SHORTEST, LEAST, DAMAGED, RATIO = 7, 2, 31, 10
 #: Bigrams of a prefix; letters beyond the other pivot that belong to a key.
@@ -131,7 +131,7 @@ def word_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", shorte
         if held:
             yield from sent(held, odd)
 
-    rows = docs.select(F.col(key), F.col(text)).mapInArrow(run, "word string, n long")
+    rows = docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -163,7 +163,7 @@ def gram_counts(words: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["gram", "c"])
 
-    got = words.select("word").mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c")).toArrow()  # a row a bigram
+    got = words.select("word").mapInArrow(lean(run), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c")).toArrow()  # a row a bigram
     out = np.zeros(1 << 16, np.int64)
     out[got.column("gram").to_numpy()] = got.column("c").to_numpy()
     return out
@@ -235,7 +235,7 @@ def entries(words: DataFrame, counts: np.ndarray) -> DataFrame:
                 blob = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(textnum.gather(flat, offs[w], size).tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pivot), pa.array(last[w], pa.int32()), pa.array(part.column(1).to_numpy()[w]), blob], ["key", "pivot", "last", "n", "word"])
 
-    return words.select("word", "n").mapInArrow(run, "key long, pivot boolean, last int, n long, word binary")
+    return words.select("word", "n").mapInArrow(lean(run), "key long, pivot boolean, last int, n long, word binary")
 
 
 def near(flat: np.ndarray, offs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -308,7 +308,7 @@ def matched(rows: DataFrame) -> DataFrame:
                     text = lambda k: pa.array([flat[s:e].tobytes().decode("latin-1") for s, e in zip(offs[k].tolist(), offs[k + 1].tolist(), strict=True)], pa.string())  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([text(x), pa.array(n[x]), text(y), pa.array(n[y])], ["word", "n", "other", "m"])
 
-    return rows.mapInArrow(run, "word string, n long, other string, m long")
+    return rows.mapInArrow(lean(run), "word string, n long, other string, m long")
 
 
 def near_words(words: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Forest, connected, cross_blocks, grouped, written
+from .common import Forest, connected, cross_blocks, grouped, lean, written
 
 SHINGLE, PERCENT, RATIO, SEEN, RUN_SETS = 4, 85, 1.6, 500_000, 1_000_000
 #: Sets of a block whose sketches are compared, and of one whose shingles are.
@@ -145,7 +145,7 @@ def sets_of(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(np.diff(offs), pa.int64()), pa.array(signatures(h, offs)), lists], ["doc", "n", "s", "sketches"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, s long, sketches array<struct<band: long, bits: binary>>")
+    return rows.mapInArrow(lean(run), "doc long, n long, s long, sketches array<struct<band: long, bits: binary>>")
 
 
 def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -164,7 +164,7 @@ def chunk_keys(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
                 keys, ends = sketch_keys(textnum.gather(h, offs[at], n[at]), np.concatenate([[0], np.cumsum(n[at])]), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(s[at], np.diff(ends)))], ["key", "s"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, s long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "key long, s long")
 
 
 def runs(keys: DataFrame, block: int) -> DataFrame:
@@ -232,7 +232,7 @@ def runs(keys: DataFrame, block: int) -> DataFrame:
             yield part()[0] if sent else closed(np.full(len(held), held_key), held)
 
     rows = keys.repartition(F.col("key")).sortWithinPartitions("key", "s")
-    return rows.mapInArrow(run, "run long, block long, s long, pivot long").distinct()
+    return rows.mapInArrow(lean(run), "run long, block long, s long, pivot long").distinct()
 
 
 def spread(members: DataFrame, block: int) -> DataFrame:
@@ -266,7 +266,7 @@ def passing(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], ["a", "b"])
 
     rows = members.repartition(F.col("g")).sortWithinPartitions("g", "s")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verified(members: DataFrame, percent: int) -> DataFrame:
@@ -309,7 +309,7 @@ def verified(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(out).T], schema=kind)
 
     rows = members.repartition(F.col("g")).sortWithinPartitions("g")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def joined(blocks: DataFrame, key: str, compare, block: int, name: str, once: bool) -> DataFrame:
@@ -365,7 +365,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int
                 yield pa.RecordBatch.from_arrays([pa.array(s), blob], ["s", "h"]).filter(same)
 
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    texts = texts.join(members.select("s").join(first, "s"), "doc").mapInArrow(hashes, "s long, h binary")
+    texts = texts.join(members.select("s").join(first, "s"), "doc").mapInArrow(lean(hashes), "s long, h binary")
     shingles = written(texts.dropDuplicates(["s"]), "shingles")  # only of sets in clusters
 
     def by_set(groups: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from . import textnum
-from .common import written
+from .common import lean, written
 from .fmindex import FMIndex, Minimum
 
 WINDOW, SEED, HOT, SHARD_WORDS = 20, 6, 1000, 60_000
@@ -91,7 +91,7 @@ def fragments(docs: DataFrame, text: str = "text", key: str = "doc_id", window:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "doc", "tag", "start", "n", "inner"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col("__tag").alias("tag"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "anchor long, content long, doc long, tag long, start long, n long, inner long")
+    return rows.mapInArrow(lean(run), "anchor long, content long, doc long, tag long, start long, n long, inner long")
 
 
 def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: int, hot: int) -> DataFrame:
@@ -125,7 +125,7 @@ def extracted(docs: DataFrame, wanted: DataFrame, text: str, key: str, window: i
                 blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(tags), pa.array(start), blob, pa.array(is_hot)], ["anchor", "doc", "tag", "start", "words", "hot"])
 
-    return rows.mapInArrow(run, "anchor long, doc long, tag long, start long, words binary, hot boolean")
+    return rows.mapInArrow(lean(run), "anchor long, doc long, tag long, start long, words binary, hot boolean")
 
 
 def later_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -206,7 +206,7 @@ def searched(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
             count = sum(len(x) // 8 for x in rest.column("words").to_pylist()) if rest.num_rows else 0
 
     rows = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "doc long, tag long, a long, b long")
+    return rows.mapInArrow(lean(run), "doc long, tag long, a long, b long")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -258,7 +258,7 @@ def removed(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "d
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", out])
 
     schema = StructType(list(docs.schema.fields)).add("n_words", LongType()).add("n_removed", LongType()).add(out, StringType())
-    return rows.select(*names, "spans").mapInArrow(run, schema)
+    return rows.select(*names, "spans").mapInArrow(lean(run), schema)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, textnum
-from .common import grouped
+from .common import grouped, lean
 
 #: Bytes of text in a block (a longer text is a block of its own), and those split at once.
 BLOCK, PART = 24_000_000, 3_000_000
@@ -103,7 +103,7 @@ def shares_of(rows: DataFrame, buckets: int) -> DataFrame:
                 types = pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], ["block", "bucket", "n", "words", "bytes", "plain", "ranks"])
 
-    return rows.mapInArrow(run, "block long, bucket int, n int, words binary, bytes int, plain binary, ranks binary")
+    return rows.mapInArrow(lean(run), "block long, bucket int, n int, words binary, bytes int, plain binary, ranks binary")
 
 
 def encoded(shares: DataFrame, path: str | None) -> DataFrame:
@@ -135,7 +135,7 @@ def encoded(shares: DataFrame, path: str | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("bucket"), rows.column("n"), rows.column("ranks"), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()), pa.array(total, pa.int32())], ["block", "bucket", "n", "ranks", "ids", "sizes", "total"])
                 at = to
 
-    return shares.repartition(F.col("bucket")).mapInArrow(run, "block long, bucket int, n int, ranks binary, ids binary, sizes binary, total int")
+    return shares.repartition(F.col("bucket")).mapInArrow(lean(run), "block long, bucket int, n int, ranks binary, ids binary, sizes binary, total int")
 
 
 def placed_of(rows: DataFrame, kind: str) -> DataFrame:
@@ -147,7 +147,7 @@ def placed_of(rows: DataFrame, kind: str) -> DataFrame:
             cols = [pa.array([block.name]), pa.array([len(block.key)], pa.int32()), one(keys), one(pa.array(block.ends, pa.int64())), pa.array([packed(block.places)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "n", "keys", "ends", "places"])
 
-    return rows.mapInArrow(run, f"block long, n int, keys array<{kind}>, ends array<long>, places binary")
+    return rows.mapInArrow(lean(run), f"block long, n int, keys array<{kind}>, ends array<long>, places binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
                     types = pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()
                     yield pa.RecordBatch.from_arrays([keys.slice(a, len(cols[0])), *map(pa.array, cols, types)], ["key", "n", "ids", "decoded"])
 
-    out = both.mapInArrow(run, f"key {kind}, n long, ids {'string' if digests else 'array<int>'}, decoded string")
+    out = both.mapInArrow(lean(run), f"key {kind}, n long, ids {'string' if digests else 'array<int>'}, decoded string")
     end = "_sha256" if digests else ""
     return out.toDF(key, "n_tokens", f"ids{end}", f"decoded{end}")
 

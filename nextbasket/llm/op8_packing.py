@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import lean
 
 LENGTH, END_ID, GROUP_DOCS = 2048, 1, 1024
 PIECE = "key long, start long, length long, crc long, doc_tokens long, ids binary, doc_crc long"
@@ -104,7 +105,7 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text", key:
                         rows.append((doc, k, len(part), zlib.crc32(part), len(own), rest, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary(), pa.int64()), strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, PIECE)
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(lean(run), PIECE)
 
 
 def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:

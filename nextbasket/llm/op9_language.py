@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import written
+from .common import lean, written
 
 #: Labelled rows for each language, in expectation; passes of EM; letters above which words are fitted one by one; distinct words that a task keeps.
 SAMPLE_ROWS, PASSES, LONGEST, CACHE = 1500, 2, 32, 250_000
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, path: str | None = None, text: str = "text", lang: str
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["piece", "n"])
 
-        sums = table.mapInArrow(step, "piece long, n array<double>")
+        sums = table.mapInArrow(lean(step), "piece long, n array<double>")
         sums = sums.groupBy("piece").agg(F.array(*[F.sum(F.col("n")[k]) for k in range(len(langs))]).alias("n"))
         new = np.full_like(probs, PRIOR)
         for r in sums.collect():  # as many rows as the fixed vocabulary has pieces
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(key: str = "doc_id"):
