@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quantized
+from . import nearby
 from .asof import first_of_days
 from .models import universe_on
 
@@ -17,8 +18,8 @@ KEYS = ["order_id", "target"]
 
 def score_neighbours(queries: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     """Sum over the context of an edge weight: ``(order_id, target, variant_id, score)``."""
-    ctx = queries.select(*KEYS, F.explode("context").alias("a"))
-    return ctx.join(edges.select("a", F.col("c").alias("variant_id"), F.col(weight).alias("w")), "a").groupBy(*KEYS, "variant_id").agg(F.sum("w").alias("score"))
+    score = F.col(weight) if dict(edges.dtypes)[weight] == "double" else F.col(weight).cast("long")
+    return nearby.scored(queries, edges, [weight]).select(*KEYS, "variant_id", score.alias("score"))
 
 
 def candidates(queries: DataFrame, scores: DataFrame, available: DataFrame) -> DataFrame:
@@ -34,6 +35,11 @@ def expected_ranks(queries: DataFrame, cand: DataFrame, available: DataFrame) ->
     agg = cand.join(target, KEYS, "left").groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_scored"), F.max("qt").alias("qt"), F.count_if(F.col("qs") > F.col("qt")).alias("above"), F.count_if(F.col("qs") == F.col("qt")).alias("same")
     )
+    return closed_form(queries, agg, available)
+
+
+def closed_form(queries: DataFrame, agg: DataFrame, available: DataFrame) -> DataFrame:
+    """The ranks of ``expected_ranks`` from the counts of a query's candidates, ``(order_id, target, n_scored, qt, above, same)``."""
     rows = queries.join(agg, KEYS, "left").join(universe_on(available, queries.select("date")), "date").na.fill(0, ["n_scored", "above", "same"])
     n_cand = F.col("n_universe") - F.size("context")
     zero = F.col("n_scored") + 1 + (n_cand - F.col("n_scored") - 1) / 2
@@ -52,7 +58,12 @@ def top_k(queries: DataFrame, cand: DataFrame, available: DataFrame, k: int = 10
     rank = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("qs"), "variant_id"))
     best = cand.withColumn("slot", rank).where(F.col("slot") <= k)
     listed = best.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("slot", "variant_id"))).alias("top"))
-    rows = queries.join(listed, KEYS, "left").withColumn("top", F.coalesce(F.transform("top", lambda x: x["variant_id"]), F.array().cast("array<bigint>")))
+    return filled(queries, listed.withColumn("top", F.transform("top", lambda x: x["variant_id"])), available, k)
+
+
+def filled(queries: DataFrame, listed: DataFrame, available: DataFrame, k: int = 10) -> DataFrame:
+    """The rows of ``top_k`` from the first scored candidates ``listed(order_id, target, top)``."""
+    rows = queries.join(listed, KEYS, "left").withColumn("top", F.coalesce("top", F.array().cast("array<bigint>")))
     # for a few days, the lowest ids that exist: enough for any context and k scored ones
     days = queries.groupBy("date").agg((F.max(F.size("context")) + 2 * k).alias("need"))
     first = first_of_days(available.withColumn("by_id", F.lit(0)), days, "by_id")

@@ -74,18 +74,35 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 def mirrored(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("a", "c")]
-    return edges.select("a", "c", *rest).union(edges.select(F.col("c").alias("a"), F.col("a").alias("c"), *rest))
+    return edges.select(F.inline(F.array(F.struct("a", "c", *rest), F.struct(F.col("c").alias("a"), F.col("a").alias("c"), *rest))))
 
 
-def itemitem(rows: DataFrame, kind: str = "cosine", shrink: float = 5.0) -> DataFrame:
-    """``(a, c, sim)``, both directions. For lift, N counts baskets of one item too."""
+def known(edges: DataFrame, about: DataFrame) -> DataFrame:
+    """``edges`` with what ``about(variant_id, ..)`` says of ``c``; those without a row go."""
+    return edges.join(about.withColumnRenamed("variant_id", "c"), "c")
+
+
+def counted(rows: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """``(a, c, k, na, nc, <about>)``, both directions: baskets with both and with each. ``a`` comes last, so that lists of ``a`` need no shuffle."""
     own = rows.select(F.explode("items").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    e = mirrored(pairs(rows)).withColumnRenamed("n", "k")
-    e = e.join(own.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("v").alias("c"), F.col("n").alias("nc")), "c")
-    if kind == "cosine":
-        return e.select("a", "c", (F.col("k") / (F.sqrt(F.col("na") * F.col("nc")) + shrink)).alias("sim"))
-    e = e.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("N"))))
-    return e.select("a", "c", (F.col("k") / (F.col("k") + shrink) * F.col("k") * F.col("N") / (F.col("na") * F.col("nc"))).alias("sim"))
+    there = own.select(F.col("v").alias("c"), F.col("n").alias("nc"))
+    there = there if about is None else known(there, about)
+    return mirrored(pairs(rows)).withColumnRenamed("n", "k").join(there, "c").join(own.select(F.col("v").alias("a"), F.col("n").alias("na")), "a")
+
+
+def itemitem(rows: DataFrame, kind: str = "cosine", shrink: float = 5.0, about: DataFrame | None = None) -> DataFrame:
+    """``(a, c, sim, <about>)``, both directions. For lift, N counts baskets of one item too."""
+    return similarities(rows, {"sim": (kind, shrink)}, about)
+
+
+def similarities(rows: DataFrame, which: dict[str, tuple[str, float]], about: DataFrame | None = None) -> DataFrame:
+    """Several of ``itemitem`` as columns of the same edges."""
+    e, k, both = counted(rows, about), F.col("k"), F.col("na") * F.col("nc")
+    if any(kind != "cosine" for kind, _ in which.values()):
+        e = e.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("N"))))
+    of = {n: k / (F.sqrt(both) + s) if kind == "cosine" else k / (k + s) * k * F.col("N") / both for n, (kind, s) in which.items()}
+    rest = [] if about is None else [c for c in about.columns if c != "variant_id"]
+    return e.select("a", "c", *[w.alias(n) for n, w in of.items()], *rest)
 
 
 def edges_of(rows: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import evaluate, models, ranker
+from ..sources.scratch import written
+from . import evaluate, models, nearby, ranker
 from .evaluate import KEYS
 
 Models = dict[str, tuple[str, str]]
@@ -43,19 +44,28 @@ def edge_models() -> Models:
     return out | {f"itemitem({k}, shrink={s:g})": (f"{k}{s:g}", "0D") for k in ("cosine", "lift") for s in SHRINKS}
 
 
+def edge_weights(rows: DataFrame, about: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """``(a, c, <names>, <about>)``: weights of the score columns of ``edge_models``; all of them where no names are given."""
+    names = names if names is not None else list(dict.fromkeys(s for s, _ in edge_models().values() if s != "0D"))
+    if all(n.startswith("n") for n in names):
+        e = models.mirrored(models.pairs(rows)).withColumnRenamed("n", "k")
+        e = e if about is None else models.known(e, about)
+        k = F.col("k")
+        of = {n: F.when(k >= int(n[1:]), k).otherwise(0).cast("double") for n in names}
+    else:
+        e = models.counted(rows, about).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("N"))))
+        k, both = F.col("k"), F.col("na") * F.col("nc")
+        of = {f"n{s}": F.when(k >= s, k).otherwise(0).cast("double") for s in SUPPORTS}
+        of |= {f"cosine{s:g}": k / (F.sqrt(both) + s) for s in SHRINKS}
+        of |= {f"lift{s:g}": k / (k + s) * k * F.col("N") / both for s in SHRINKS}
+    rest = [] if about is None else [c for c in about.columns if c != "variant_id"]
+    return e.select("a", "c", *[of[n].alias(n) for n in names], *rest)
+
+
 def edge_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Scores of all co-purchase and item-item models: one pair count and one join serve them all."""
-    own = rows.select(F.explode("items").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    e = models.mirrored(models.pairs(rows)).withColumnRenamed("n", "k")
-    e = e.join(own.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("v").alias("c"), F.col("n").alias("nc")), "c")
-    e = e.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("N"))))
-    k, both = F.col("k"), F.col("na") * F.col("nc")
-    weights = {f"n{s}": F.when(k >= s, k).otherwise(0).cast("double") for s in SUPPORTS}
-    weights |= {f"cosine{s:g}": k / (F.sqrt(both) + s) for s in SHRINKS}
-    weights |= {f"lift{s:g}": k / (k + s) * k * F.col("N") / both for s in SHRINKS}
-    e = e.select("a", F.col("c").alias("variant_id"), *[w.alias(n) for n, w in weights.items()])
-    ctx = queries.select(*KEYS, F.explode("context").alias("a"))
-    return ctx.join(e, "a").groupBy(*KEYS, "variant_id").agg(*[F.sum(n).alias(n) for n in weights])
+    e = edge_weights(rows)
+    return nearby.scored(queries, e, [c for c in e.columns if c not in ("a", "c")])
 
 
 def content_models() -> Models:
@@ -89,25 +99,63 @@ def ranks(queries: DataFrame, wide: DataFrame, prior: DataFrame, available: Data
     count = lambda s, p: F.sum(F.expr(f"if(scored, int({s}), 0) - int({p})")).alias
     part = cells.groupBy(*KEYS, "m").agg(count("s > t", "p > t")("above"), count("s = t", "p = t")("same"), count("true", "p > 0")("n"))
 
-    # priors of all that exist on a day, as a histogram; thresholds share its running sum
-    days = F.broadcast(queries.select("date").distinct())
-    exist = available.join(days, F.col("available_from") <= F.col("date")).join(prior, "variant_id", "left").na.fill(0.0, prior_columns)
-    each = ", ".join(f"struct({k} as kind, {q12(p)} as v)" for k, p in enumerate(priors))
-    hist = exist.select("date", F.inline(F.expr(f"array({each})"))).groupBy("date", "kind", "v").agg(F.count(F.lit(1)).alias("c"))
     kind = F.expr("array(" + ", ".join(str(priors.index(p)) for _, p in which.values()) + ")")
     each_query = asked.withColumn("kinds", kind).select(*KEYS, "date", "source", F.size("context").alias("context_size"), F.posexplode(F.arrays_zip("kinds", "qt")).alias("m", "z"))
     each_query = each_query.select("*", F.col("z.kinds").alias("kind"), F.col("z.qt").alias("v")).drop("z")
-    points = hist.union(each_query.select("date", "kind", "v").distinct().withColumn("c", F.lit(0).cast("long"))).groupBy("date", "kind", "v").agg(F.sum("c").alias("c"))
+    return placed(each_query, each_query.join(part, [*KEYS, "m"], "left"), prior, available, which)
+
+
+def placed(asked: DataFrame, rows: DataFrame, prior: DataFrame, available: DataFrame, which: Models) -> DataFrame:
+    """Ranks from ``rows``, which are ``asked(order_id, target, date, source, context_size, m, kind, v)`` with the counts of the candidates
+    that have a score, ``(above, same, n)``: the rest are counted in the priors of all that exist on a day."""
+    priors, prior_columns = list(dict.fromkeys(p for _, p in which.values())), [c for c in prior.columns if c != "variant_id"]
+    q12 = lambda e: f"cast(floor(({e}) * 1e12D + 0.5D) as bigint)"
+    days = asked.select("date").distinct()
+    # what exists before the first day counts as of that day, so that few starts meet the days; thresholds share the running sum
+    exist = available.where("available_from is not null").join(F.broadcast(days.agg(F.min("date").alias("first")))).join(prior, "variant_id", "left").na.fill(0.0, prior_columns)
+    each = ", ".join(f"struct({k} as kind, {q12(p)} as v)" for k, p in enumerate(priors))
+    starts = exist.select(F.greatest("available_from", "first").alias("start"), F.inline(F.expr(f"array({each})"))).groupBy("start", "kind", "v").agg(F.count(F.lit(1)).alias("c"))
+    hist = starts.join(F.broadcast(days), F.col("start") <= F.col("date")).groupBy("date", "kind", "v").agg(F.sum("c").alias("c"))
+    points = hist.union(asked.select("date", "kind", "v").distinct().withColumn("c", F.lit(0).cast("long"))).groupBy("date", "kind", "v").agg(F.sum("c").alias("c"))
     by = W.partitionBy("date", "kind")
     run = F.sum("c").over(by.orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0))
     points = points.select("date", "kind", "v", (run - F.col("c")).alias("day_above"), F.col("c").alias("day_same"), F.sum(F.expr("if(v > 0, c, 0)")).over(by).alias("day_n"))
 
-    out = each_query.join(part, [*KEYS, "m"], "left").join(points, ["date", "kind", "v"]).na.fill(0, ["above", "same", "n"])
+    out = rows.join(points, ["date", "kind", "v"]).na.fill(0, ["above", "same", "n"])
     rank = F.col("above") + F.col("day_above") + 1 + (F.col("same") + F.col("day_same") - 1) / 2
     name = F.element_at(F.array(*[F.lit(n) for n in which]), F.col("m") + 1)
     return out.select(name.alias("model"), *KEYS, "date", "source", "context_size", (F.col("n") + F.col("day_n")).alias("n_scored"), rank.cast("double").alias("rank"))
 
 
+class Edges:
+    """Models of ``edge_models`` over the baskets ``fit``: only the weights and priors they use go along with the edges."""
+
+    def __init__(self, fit: DataFrame, prior: DataFrame, available: DataFrame, which: Models):
+        self.prior, self.available, self.which = prior, available, which
+        self.scores, self.priors = list(dict.fromkeys(s for s, _ in which.values() if s != "0D")), list(dict.fromkeys(p for _, p in which.values()))
+        self.names = [f"p{k}" for k in range(len(self.priors))]
+        self.shares = prior.select("variant_id", *[F.expr(p).cast("double").alias(n) for n, p in zip(self.names, self.priors, strict=True)])
+        about = available.join(self.shares, "variant_id", "left").na.fill(0.0, self.names)
+        self.edges = edge_weights(fit, about, self.scores) if self.scores else None
+        self.places = [(None if s == "0D" else self.scores.index(s), self.priors.index(p)) for s, p in which.values()]
+
+    def ranks(self, queries: DataFrame) -> DataFrame:
+        """The rows of ``ranks``, in which no scored candidate of a query is a row."""
+        counts = nearby.prior_counts(queries, self.edges, self.scores, self.names, self.shares, self.places)
+        kind = F.array(*[F.lit(p) for _, p in self.places])
+        rows = queries.select(*KEYS, "date", "source", F.size("context").alias("context_size")).join(counts, KEYS).withColumn("kinds", kind)
+        rows = rows.select(*KEYS, "date", "source", "context_size", F.posexplode(F.arrays_zip("kinds", "qt", "above", "same", "n")).alias("m", "z"))
+        rows = written(rows.select("*", F.col("z.kinds").alias("kind"), F.col("z.qt").alias("v"), "z.above", "z.same", "z.n").drop("z"), "counts")
+        return placed(rows, rows, self.prior, self.available, self.which)
+
+    def firsts(self, queries: DataFrame, k: int = 10) -> dict[str, DataFrame | None]:
+        """``(order_id, target, variant_id, score)`` of each model: what ``serve.recommend`` needs of its scores; None without a score."""
+        own = [(m, p) for m, p in enumerate(self.places) if p[0] is not None]
+        rows = written(nearby.firsts(queries, self.edges, self.scores, self.names, [p for _, p in own], k), "firsts")
+        at = {m: n for n, (m, _) in enumerate(own)}
+        return {name: rows.where(F.col("m") == at[m]).drop("m") if m in at else None for m, name in enumerate(self.which)}
+
+
 def board(rows: DataFrame) -> DataFrame:
     """A row a model: means of the metrics of ``rows(model, ...)``."""
     mean = lambda c: F.avg(c).alias(c)

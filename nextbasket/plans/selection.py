@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import evaluate, models, ranker, registry, serve, sweep
+from ..operators import evaluate, models, nearby, ranker, registry, serve, sweep
 from ..operators.evaluate import KEYS
 from ..sources import scratch, testdata
 from . import sweep_sql
@@ -45,8 +45,8 @@ def seen_set(spark, sf):
 @query(B + "select order_id, target, variant_id, qs from cand")
 def candidates(spark, sf):
     """Scored candidates of each query; those without a score are only counted, see ``expected_rank``."""
-    d = Data(spark, sf)
-    return evaluate.candidates(d.queries, evaluate.score_neighbours(d.queries, models.itemitem(d.fit), "sim"), d.available)
+    d = Data(spark, sf).kept()
+    return nearby.candidates(d.queries, d.itemitem(), "sim")
 
 
 POP = "un as (select variant_id, sum(quantity)::double as units from parts where part <> 'test' group by 1), tie as (select variant_id, units / (select max(units) from un) as u from un)"
@@ -72,8 +72,8 @@ select '{name}' as model, order_id, target, count(*) filter (where qs > 0) as n_
 
 
 def one_model(spark, sf, name: str) -> DataFrame:
-    d = Data(spark, sf)
-    rows = sweep.ranks(d.queries, sweep.edge_scores(d.queries, d.fit), sweep.units_shares(d.fit_lines), d.available, {name: sweep.edge_models()[name]})
+    d = Data(spark, sf).kept()
+    rows = sweep.Edges(d.fit, kept(spark, sweep.units_shares(d.fit_lines)), d.available, {name: sweep.edge_models()[name]}).ranks(d.queries)
     return rows.select("model", *KEYS, "n_scored", "rank")
 
 
@@ -248,18 +248,18 @@ round(case when rank <= 10 then 1 / log2(rank + 1) else 0 end::double, 6) as ndc
 @query(EXPORT)
 def export_query_results(spark, sf):
     """A row a model and query with its ten best items, written in a folder a model and read again."""
-    d = Data(spark, sf)
-    which = {n: sweep.edge_models()[n] for n in EXPORTED}
-    wide, prior = kept(spark, sweep.edge_scores(d.queries, d.fit)), kept(spark, sweep.units_shares(d.fit_lines))
+    d = Data(spark, sf).kept()
+    which, prior = {n: sweep.edge_models()[n] for n in EXPORTED}, kept(spark, sweep.units_shares(d.fit_lines))
+    edges = sweep.Edges(d.fit, prior, d.available, which)
+    firsts, nothing = edges.firsts(d.queries), spark.createDataFrame([], "order_id long, target long, variant_id long, score double")
     every = d.available.withColumns({"status": F.lit("ACTIVE"), "in_stock": F.lit(None).cast("boolean")})
     lists = None
-    for name, (score, tie) in which.items():
-        scores = wide.select(*KEYS, "variant_id", F.expr(score).cast("double").alias("score")).where("score > 0")
-        top = serve.recommend(d.queries, scores, every, prior=prior.select("variant_id", F.expr(tie).cast("double").alias("prior")))
+    for name, (_, tie) in which.items():
+        top = serve.recommend(d.queries, nothing if firsts[name] is None else firsts[name], every, prior=prior.select("variant_id", F.expr(tie).cast("double").alias("prior")))
         top = top10_of(top.withColumn("model", F.lit(name)))
         lists = top if lists is None else lists.unionByName(top)
     seen = d.fit_lines.select(F.col("variant_id").alias("target")).distinct().withColumn("target_warm", F.lit(True))
-    rows = evaluate.metrics(sweep.ranks(d.queries, wide, prior, d.available, which)).join(seen, "target", "left").na.fill(False, ["target_warm"])
+    rows = evaluate.metrics(edges.ranks(d.queries)).join(seen, "target", "left").na.fill(False, ["target_warm"])
     return exported(spark, rows, lists)
 
 
@@ -313,16 +313,16 @@ SEG = """, sg as (select *, 'target' as segment_group, case when warm then 'warm
 
 @query(B + SEG + " select segment_group, segment, count(*) as n, round(avg(rr), 6) as mean from sg group by 1, 2")
 def segment_means(spark, sf):
-    d = Data(spark, sf)
-    rows = evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim"))
+    d = Data(spark, sf).kept()
+    rows = evaluate.in_segments(d.ranks(d.itemitem(), "sim"))
     return r6(rows.groupBy("segment_group", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg("rr").alias("mean")), "mean")
 
 
 @query(B + SEG + boot_sql("sg", "hit10", "segment_group, segment") + " select segment_group, segment, mean, lo, hi from bt")
 def segment_ci(spark, sf):
     """Intervals of hit10 within each segment."""
-    d = Data(spark, sf)
-    return r6(evaluate.bootstrap_by(evaluate.in_segments(d.ranks(models.itemitem(d.fit), "sim")), "hit10", ["segment_group", "segment"]), "mean", "lo", "hi")
+    d = Data(spark, sf).kept()
+    return r6(evaluate.bootstrap_by(evaluate.in_segments(kept(spark, d.ranks(d.itemitem(), "sim"))), "hit10", ["segment_group", "segment"]), "mean", "lo", "hi")
 
 
 @query(B + """, fr as (select 'itemitem' as model, avg(hit10) as hit10, avg(ndcg10) as ndcg10 from met union all select 'moved', avg(hit10), avg(ndcg10) from met union all select 'new', avg(hit10), avg(ndcg10) from met),
@@ -331,8 +331,8 @@ bo as (select fr.model, fr.hit10 as a, co.hit10 as b, fr.ndcg10 as c, co.ndcg10
 select model, 'hit10' as metric, round(a, 6) as value, abs(a - b) <= 1e-9 as same from bo where b is not null union all select model, 'ndcg10', round(c, 6), abs(c - d) <= 1e-9 from bo where b is not null union all select model, 'present', null, false from bo where b is null""")
 def drift(spark, sf):
     """Means of a fresh run against a stored table, in which one model has moved by 1e-6 and one is missing."""
-    d = Data(spark, sf)
-    one = evaluate.summary(d.ranks(models.itemitem(d.fit), "sim"), "itemitem").select("hit10", "ndcg10")
+    d = Data(spark, sf).kept()
+    one = evaluate.summary(d.ranks(d.itemitem(), "sim"), "itemitem").select("hit10", "ndcg10")
     fresh = kept(spark, one.select(F.explode(F.array(*map(F.lit, ("itemitem", "moved", "new")))).alias("model"), "*"))
     stored = kept(spark, fresh.where("model <> 'new'").withColumn("hit10", F.expr("hit10 + if(model = 'moved', 1e-6D, 0D)")))
     return r6(evaluate.drift(fresh, stored), "value")
