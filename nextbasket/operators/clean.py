@@ -57,23 +57,29 @@ def clean_orders(orders: DataFrame, emails: list[str]) -> DataFrame:
     return orders.drop("line_items").join(items, "id")
 
 
+ORDER_RULES = ["dropped_test_order", "dropped_cancelled_order", "dropped_excluded_email_order"]
+LINE_RULES = ["dropped_line_no_variant", "dropped_line_blocklisted_title", "dropped_line_fully_refunded"]
+
+
 def clean_stats(orders: DataFrame, emails: list[str]) -> DataFrame:
-    """``(rule, n)`` of the rules that fired."""
-    lines = tagged(orders, emails)
-    one = lines.where("reason is null")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
-    by = lambda df: df.where("reason is not null").groupBy(F.col("reason").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
-    m = merged(lines)
-    left = lines.select("id").distinct().join(m.select("id").distinct(), "id", "left_anti")
-    parts = [
-        count(orders, "orders_in"), by(order_reason(orders, emails)), count(lines.where("pos is not null"), "lines_in"), by(lines.where("pos is not null")),
-        count(one.where("qty < quantity"), "lines_partially_refunded"), m.agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit("lines_merged_duplicate_variant").alias("rule"), "n"),
-        count(m, "lines_out"), count(left, "dropped_order_no_lines_left"), count(m.select("id").distinct(), "orders_out"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.where("n > 0")
+    """``(rule, n)`` of the rules that fired, in one pass: each order's lines are counted by variant, then by order, then all."""
+    item = F.transform("line_items", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "variant_id", "title", "quantity", "refunded")]))
+    rows = order_reason(orders, emails).select("id", F.col("reason").alias("why"), F.posexplode_outer(item).alias("at", "x"))
+    rows = line_reason(rows.select("id", "why", F.coalesce(F.col("at") == 0, F.lit(True)).alias("head"), "x.*"))
+    kept, head = F.col("why").isNull(), F.col("head")
+    line, ok = kept & F.col("pos").isNotNull(), kept & F.col("reason").isNull()
+    sums = {
+        "orders_in": head, **{r: head & (F.col("why") == r) for r in ORDER_RULES}, "lines_in": line, **{r: line & (F.col("reason") == r) for r in LINE_RULES},
+        "lines_partially_refunded": ok & (F.col("qty") < F.col("quantity")),
+    }
+    by_variant = rows.groupBy("id", "variant_id").agg(*[F.count_if(c).alias(n) for n, c in sums.items()], F.count_if(ok).alias("ok"), F.max(kept).alias("kept"))
+    total = [F.sum(n).alias(n) for n in sums]
+    by_order = by_variant.groupBy("id").agg(*total, F.sum(F.greatest(F.col("ok") - 1, F.lit(0))).alias("merged"), F.count_if(F.col("ok") > 0).alias("out"), F.max("kept").alias("kept"))
+    row = by_order.agg(
+        *total, F.sum("merged").alias("lines_merged_duplicate_variant"), F.sum("out").alias("lines_out"),
+        F.count_if(F.col("kept") & ((F.col("out") == 0) | F.col("id").isNull())).alias("dropped_order_no_lines_left"), F.count_if(F.col("out") > 0).alias("orders_out"),
+    )
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in row.columns]))).where("n > 0")
 
 
 def identity(stats: DataFrame) -> DataFrame:
