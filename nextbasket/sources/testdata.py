@@ -55,10 +55,31 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PRODUCTS).withColumn("tags", F.array("tag1", "tag2", "tag3", "tag4"))
 
 
+#: The fields of an order and of a line in ``RAW``, of a row that holds the order's columns and its sorted lines ``z``.
+HEAD = """
+o_orderkey as id, cast(o_orderdate as date) as date, concat(cast(cast(o_orderdate as date) as varchar(10)), 'T', case when o_orderkey % 24 < 10 then '0' else '' end, cast(o_orderkey % 24 as varchar(2)), ':00:00Z') as created_at, o_orderkey % 97 = 0 as test,
+case when o_orderstatus = 'P' and o_orderkey % 10 = 3 then '2001-01-01T00:00:00Z' else '' end as cancelled_at,
+case substr(o_orderpriority, 1, 1) when '2' then 'pos' when '1' then 'web' when '3' then '3890849' when '4' then 'shopify_draft_order' else 'subscription' end as source_name,
+concat('customer', cast(o_custkey as varchar(20)), '@Example.com') as email,
+case when o_orderkey % 3 <> 0 then concat('gid://shopify/Customer/', cast(o_custkey as varchar(20))) end as customer_id
+"""
+LINE_ITEMS = """
+transform(z, (x, i) -> named_struct('pos', i + 1, 'variant_id', case when x.l_suppkey % 11 <> 0 then concat('gid://shopify/ProductVariant/', cast(x.l_partkey as varchar(20))) end,
+  'product_id', concat('gid://shopify/Product/', cast(cast(floor(x.l_partkey / 4) as bigint) as varchar(20))), 'title', case when x.l_partkey % 89 = 5 then ' Tip ' else concat('Item ', cast(x.l_partkey as varchar(20))) end,
+  'quantity', cast(x.l_quantity as int), 'refunded', case when x.l_returnflag <> 'R' then 0 when x.l_discount >= 0.08 then cast(x.l_quantity as int) else cast(floor(x.l_quantity / 2) as int) end,
+  'unit_price', floor(x.l_extendedprice * (1 - x.l_discount) / x.l_quantity * 10000 + 0.5) / 10000)) as line_items
+"""
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their lines nested in order of ``pos``."""
+    """Orders of ``RAW`` with their lines nested in order of ``pos``.
+
+    The tables' own columns are joined and grouped; texts are made of them afterwards, once an order."""
     from pyspark.sql import functions as F
 
-    line = F.struct("pos", "variant_id", "product_id", "title", "quantity", "refunded", "unit_price")
-    head = ["id", "date", "created_at", "test", "cancelled_at", "source_name", "email", "customer_id"]
-    return view(spark, sf_dir, RAW).groupBy(*head).agg(F.array_sort(F.collect_list(line)).alias("line_items"))
+    line = ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_discount"]
+    head = ["o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_custkey"]
+    lines, orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = lines.select("l_orderkey", *line).join(orders.select(*head), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.groupBy(*head).agg(F.array_sort(F.collect_list(F.struct(*line))).alias("z"))
+    return spark.sql(f"select {HEAD}, {LINE_ITEMS} from {{rows}}", rows=rows)
