@@ -15,8 +15,7 @@ longest run that is not frequent, or most of their text), so they don't lose the
 tags and classes, so each layout has its own counts.
 
 Children are matched from both ends while their shapes are equal; what is left between is matched
-in full up to ``CELLS`` pairs, and beyond by equal shapes in order. Trees of any depth are walked
-without recursion.
+in full, whatever its length. Trees of any depth are walked without recursion.
 
 Null html counts as empty: empty text. Null urls and those without ``://`` share one host.
 White space is collapsed, blocks are joined by one space. Other columns are ignored, repeated
@@ -25,13 +24,13 @@ rows each get their own result, an empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as entities
 import json
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +43,7 @@ from .op4_urls import parsed
 SAMPLE_PAGES = 4
 #: Distinct pages of a host that must share a run of text before it is a constant.
 LEAST_PAGES = 3
-#: Pairs of children that are matched in full.
+#: Pairs of children beyond which the same match is made by whole rows.
 CELLS = 40_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -173,6 +172,7 @@ def key_of(text: str) -> int:
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Matched nodes of two shaped trees by simple tree matching."""
+    # by both shapes: the size, and the places of the kids that match
     known: dict[tuple[int, int], tuple[int, list]] = {}
 
     def middle(x: Node, y: Node) -> tuple[int, int, int]:
@@ -184,70 +184,87 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
             n, m = n - 1, m - 1
         return low, n, m
 
-    def by_shape(xs: list[Node], ys: list[Node]) -> list:
-        """Long runs: equal shapes in order."""
-        places: dict[int, list[int]] = {}
-        for j, q in enumerate(ys):
-            places.setdefault(q.shape, []).append(j)
-        out, last = [], -1
-        for p in xs:
-            own = places.get(p.shape, [])
-            k = bisect.bisect_right(own, last)
-            if k < len(own):
-                last = own[k]
-                out.append((p, ys[last]))
-        return out
-
     def best(x: Node, y: Node, asked: list) -> tuple[int, list] | None:
         """Size of the largest match of two trees, and the pairs of kids in it; None if other pairs come first."""
         low, n, m = middle(x, y)
-        pairs = list(zip(x.kids[:low], y.kids[:low], strict=True)) + list(zip(x.kids[n:], y.kids[m:], strict=True))
-        size = 1 + sum(p.size for p, _ in pairs)
+        pairs = [(k, k) for k in range(low)] + [(n + k, m + k) for k in range(len(x.kids) - n)]
+        size = 1 + sum(x.kids[i].size for i, _ in pairs)
         xs, ys = x.kids[low:n], y.kids[low:m]
-        if len(xs) * len(ys) > CELLS:
-            more = by_shape(xs, ys)
-            return size + sum(p.size for p, _ in more), pairs + more
-        need = [(p, q) for p in xs for q in ys if p.tag == q.tag and p.shape != q.shape and (id(p), id(q)) not in known]
+        kinds, others = {p.shape: p for p in xs}, {q.shape: q for q in ys}
+        need = [(p, q) for p in kinds.values() for q in others.values() if p.tag == q.tag and p.shape != q.shape and (p.shape, q.shape) not in known]
         if need:
             asked += need
             return None
-        weight = lambda p, q: p.size if p.shape == q.shape else known[id(p), id(q)][0] if p.tag == q.tag else 0
-        rows = [[0] * (len(ys) + 1)]
-        for p in xs:
-            row, prev = [0], rows[-1]
-            for j, q in enumerate(ys):
-                row.append(max(row[j], prev[j + 1], prev[j] + weight(p, q)))
-            rows.append(row)
-        i, j, more = len(xs), len(ys), []
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                more.append((xs[i], ys[j]))
-        return size + rows[-1][-1], pairs + more
+        weight = lambda p, q: p.size if p.shape == q.shape else known[p.shape, q.shape][0] if p.tag == q.tag else 0
+        most, more = (match_long if len(xs) * len(ys) > CELLS else match_short)(xs, ys, weight)
+        return size + most, pairs + [(low + i, low + j) for i, j in more]
 
     todo = [(a, b)] if a.tag == b.tag and a.shape != b.shape else []
     while todo:
         x, y = todo[-1]
         asked: list = []
-        got = known.get((id(x), id(y))) or best(x, y, asked)
+        got = known.get((x.shape, y.shape)) or best(x, y, asked)
         if got is None:
             todo += asked
         else:
-            known[id(x), id(y)] = got
+            known[x.shape, y.shape] = got
             todo.pop()
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.tag == y.tag:
             out.append((x, y))
-            todo += zip(x.kids, y.kids, strict=True) if x.shape == y.shape else known[id(x), id(y)][1]
+            todo += zip(x.kids, y.kids, strict=True) if x.shape == y.shape else [(x.kids[i], y.kids[j]) for i, j in known[x.shape, y.shape][1]]
     return out
 
 
+def match_short(xs: list[Node], ys: list[Node], weight) -> tuple[int, list[tuple[int, int]]]:
+    """Weight of the best match in order of two lists, and its places from the last on."""
+    rows = [[0] * (len(ys) + 1)]
+    for p in xs:
+        row, prev = [0], rows[-1]
+        for j, q in enumerate(ys):
+            row.append(max(row[j], prev[j + 1], prev[j] + weight(p, q)))
+        rows.append(row)
+    i, j, more = len(xs), len(ys), []
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            more.append((i, j))
+    return rows[-1][-1], more
+
+
+def match_long(xs: list[Node], ys: list[Node], weight) -> tuple[int, list[tuple[int, int]]]:
+    """The same match for long lists: weights by shape, whole rows at once, and two bits a pair for the way back."""
+    others = {q.shape: q for q in ys}
+    place = {shape: k for k, shape in enumerate(others)}
+    code, of = np.array([place[q.shape] for q in ys]), {}
+    prev, up, left = np.zeros(len(ys) + 1, np.int64), [], []
+    for p in xs:
+        if p.shape not in of:
+            of[p.shape] = np.array([weight(p, q) for q in others.values()], np.int64)
+        row = np.zeros_like(prev)
+        row[1:] = np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + of[p.shape][code]))
+        up.append(np.packbits(row[1:] == prev[1:]))
+        left.append(np.packbits(row[1:] == row[:-1]))
+        prev = row
+    bit = lambda bits, j: bits[j >> 3] >> (7 - (j & 7)) & 1
+    i, j, more = len(xs), len(ys), []
+    while i and j:
+        if bit(up[i - 1], j - 1):
+            i -= 1
+        elif bit(left[i - 1], j - 1):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            more.append((i, j))
+    return int(prev[-1]), more
+
+
 def skeleton(root: Node) -> Node:
     """A copy with hashes of the texts, without scripts and styles."""
     top = Node(root.tag)
