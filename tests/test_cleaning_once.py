@@ -18,3 +18,10 @@ def test_stats_read_the_orders_once(spark, tmp_path):
         "dropped_order_no_lines_left": 2, "orders_out": 1,
     }
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_only_texts_with_an_at_sign_meet_the_pattern(spark):
+    df = spark.createDataFrame([("a@b.org",), ("a@b",), ("none",), (None,)], "t string")
+    rows = df.select(clean.holds_email(df.t).alias("e"))
+    assert [r.e for r in rows.collect()] == [True, False, False, None]
+    assert "Contains" in rows._jdf.queryExecution().optimizedPlan().toString()
