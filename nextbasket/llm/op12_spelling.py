@@ -251,6 +251,8 @@ def near(flat: np.ndarray, offs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
         tail = int(np.argmin(np.append(x[::-1][:s] == y[::-1][:s], False)))
         out[k] = head + tail >= longest[k] - 1 and not (len(x) == len(y) == head)
     own = np.flatnonzero(longest <= WIDE)
+    if not len(own):
+        return out
     a, b, n, m, longest = a[own], b[own], n[own], m[own], longest[own]
     width, short = int(longest.max(initial=0)), np.minimum(n, m)
     padded = np.concatenate([np.zeros(WIDE, np.uint8), flat, np.zeros(WIDE, np.uint8)])

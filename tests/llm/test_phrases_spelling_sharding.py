@@ -207,3 +207,11 @@ def test_shards_of_equal_metadata_and_few_rows(spark):
     assert op13_sharding.shard(table(spark, [])).count() == 0
     got, loads = checked(spark, [(k, f"{k:06d}", "en", "s") for k in range(500)], shards=None, target_bytes=700)
     assert set(loads) == set(range(5)) and max(loads.values()) <= 735
+
+
+def test_near_words_of_no_pairs_and_of_long_ones_only():
+    flat = np.frombuffer(b"a" * 50 + b"a" * 49 + b"b" * 50, np.uint8)
+    offs = np.array([0, 50, 99, 149])
+    none = np.zeros(0, np.int64)
+    assert op12_spelling.near(flat, offs, none, none).tolist() == []
+    assert op12_spelling.near(flat, offs, np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
