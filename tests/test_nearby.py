@@ -59,3 +59,27 @@ def test_scores_of_queries_are_not_shuffled(spark):
     queries = models.loo_queries(spark.createDataFrame([(o, date(2026, 3, 1), "pos", [1, 2, 3, 4]) for o in range(5000, 5020)], "order_id long, date date, source string, items array<long>"))
     rows, moved = shuffled_rows(spark, evaluate.score_neighbours(queries, models.itemitem(fit), "sim"))
     assert len(rows) == 20 * 4 * 1200 and moved < 20_000
+
+
+def test_edges_are_shuffled_once(spark):
+    """200 baskets of 12 items make 26,400 edges; without broadcast joins they were shuffled as pairs and twice in both directions."""
+    fit = spark.createDataFrame([(o, [12 * o + k for k in range(12)]) for o in range(200)], "order_id long, items array<long>")
+    available = spark.createDataFrame([(v, date(2026, 1, 1)) for v in range(2400)], "variant_id long, available_from date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = shuffled_rows(spark, nearby.lists(models.itemitem(fit, about=available), ["sim"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 2400 and moved < 45_000
+
+
+def test_edges_of_asked_items_and_packed_lists(spark):
+    fit = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3]), (3, [3])], "order_id long, items array<long>")
+    known = spark.createDataFrame([(1, None), (2, date(2026, 1, 1))], "variant_id long, available_from date")
+    edges = models.itemitem(fit, shrink=0.0, about=known, asked=spark.createDataFrame([(3,), (3,), (9,)], "a long"))
+    assert sorted((r.a, r.c, round(r.sim, 6)) for r in edges.collect()) == [(3, 1, 0.57735), (3, 2, 0.816497)]
+    (row,) = nearby.lists(edges, ["sim"]).collect()
+    ids, start, sim = nearby.unpacked(bytes(row.z), 1)
+    assert dict(zip(ids.tolist(), start.tolist(), strict=True)) == {1: nearby.NEVER, 2: 20454} and sim.round(6).tolist() == [0.57735, 0.816497]
+    assert [len(x) for x in nearby.unpacked(None, 2)] == [0, 0, 0, 0]
