@@ -8,29 +8,37 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Rows that leave a task at once.
 ROWS = 50_000
 KEY_TYPES = "order_id bigint, target bigint"
 
 
-def lists(edges: DataFrame, weights: list[str], about: list[str] = ()) -> DataFrame:
-    """``(a, z)``: an item's neighbours ``c`` of ``edges``, with the day of ``available_from`` and the columns named, packed."""
+def neighbours(edges: DataFrame, weights: list[str], about: list[str] = ()) -> DataFrame:
+    """``(a, z)``: an item's neighbours ``c`` of ``edges``, with the day of ``available_from`` and the columns named."""
     start = F.unix_date("available_from") if "available_from" in edges.columns else F.lit(None).cast("int")
     cell = F.struct("c", F.coalesce(start, F.lit(NEVER)).alias("start"), *[F.col(w).cast("double").alias(w) for w in (*weights, *about)])
-    rows = edges.groupBy("a").agg(F.collect_list(cell).alias("z"))
+    return edges.groupBy("a").agg(F.collect_list(cell).alias("z"))
+
+
+def lists(edges: DataFrame, weights: list[str], about: list[str] = ()) -> DataFrame:
+    """The rows of ``neighbours``, packed."""
+    return neighbours(edges, weights, about).select("a", F.arrow_udf(pack, "binary")("z").alias("z"))
 
-    def pack(z: pa.Array) -> pa.Array:
-        flat, end = z.flatten(), z.offsets.to_numpy() - z.offsets[0].as_py()
-        columns = [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]
-        return pa.array([packed([x[s:e] for x in columns]) for s, e in zip(end[:-1], end[1:], strict=True)], pa.binary())
 
-    return rows.select("a", F.arrow_udf(pack, "binary")("z").alias("z"))
+def pack(z: pa.Array) -> pa.Array:
+    """Lists of neighbours as bytes."""
+    flat, end = z.flatten(), z.offsets.to_numpy() - z.offsets[0].as_py()
+    columns = [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]
+    return pa.array([packed([x[s:e] for x in columns]) for s, e in zip(end[:-1], end[1:], strict=True)], pa.binary())
 
 
 #: The day of neighbours that have none.
@@ -38,43 +46,68 @@ NEVER = 2147483647
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
-    """Ids, days and numbers of some neighbours in a few bytes: equal numbers, of which there are many, come together."""
+    """Ids, days and numbers of some neighbours in a few bytes: equal numbers, of which there are many, come together, and bytes of one place."""
     by = np.lexsort(columns[::-1]) if len(columns) < 3 else np.lexsort((columns[0], *columns[:1:-1]))
-    ints = [np.ascontiguousarray(x[by].astype(t)).view(np.uint8).reshape(len(by), -1).T.tobytes() for x, t in zip(columns[:2], ("<i8", "<i4"), strict=True)]
-    return zlib.compress(b"".join([*ints, *[x[by].astype("<f8").tobytes() for x in columns[2:]]]), 1)
+    kinds = ["<i8", "<i4", *["<f8"] * (len(columns) - 2)]
+    return zlib.compress(b"".join(np.ascontiguousarray(x[by].astype(t)).view(np.uint8).reshape(len(by), np.dtype(t).itemsize).T.tobytes() for x, t in zip(columns, kinds, strict=True)), 1)
 
 
 def unpacked(z: bytes | None, n: int) -> tuple[np.ndarray, ...]:
     """The columns of ``packed``, ``n`` of them behind the ids and days."""
     data = b"" if z is None else zlib.decompress(z)
     m = len(data) // (12 + 8 * n)
-    ints = [np.ascontiguousarray(np.frombuffer(data, np.uint8, w * m, at * m).reshape(w, m).T).view(t).reshape(-1) for w, at, t in ((8, 0, "<i8"), (4, 8, "<i4"))]
-    return *ints, *[np.frombuffer(data, "<f8", m, (12 + 8 * k) * m) for k in range(n)]
+    places = [(8, 0, "<i8"), (4, 8, "<i4"), *[(8, 12 + 8 * k, "<f8") for k in range(n)]]
+    return tuple(np.ascontiguousarray(np.frombuffer(data, np.uint8, w * m, at * m).reshape(w, m).T).view(t).reshape(-1) for w, at, t in places)
+
+
+class Coded(NamedTuple):
+    """Numbers about neighbours that take few values: ``values`` has an array a column, ``rows`` their place ``code`` in place of the columns."""
+
+    rows: DataFrame
+    values: list[np.ndarray]
+
 
+#: Distinct values that are sent to all tasks.
+SENT = 1_000_000
 
-def streamed(queries: DataFrame, near: DataFrame | None, weights: list[str], about: list[str], step: Callable, schema: str, own: DataFrame | None = None) -> DataFrame:
-    """The rows that ``step`` makes of each basket.
 
-    ``own(variant_id, <about>)`` are the same columns for items of the baskets and for targets; without a row they count as 0."""
+def coded(about: DataFrame, names: list[str]) -> Coded | None:
+    """``about`` with one number for the columns named; None if they take more than ``SENT`` values."""
+    kinds = written(about.select(*names).distinct(), "kinds")
+    if not names or kinds.count() > SENT:
+        return None
+    table = kinds.sort(*names).toArrow()  # SENT rows at most
+    place = about.sparkSession.createDataFrame(table.append_column("code", pa.array(np.arange(len(table)), pa.int64())))
+    return Coded(about.join(F.broadcast(place), names).drop(*names), [table.column(c).to_numpy() for c in names])
+
+
+def streamed(queries: DataFrame, near: DataFrame | None, weights: list[str], about: list[str], step: Callable, schema: str, own: DataFrame | None = None, coded: Coded | None = None) -> DataFrame:
+    """The rows that ``step`` makes of each basket, from the rows ``near`` of ``neighbours``.
+
+    ``own(variant_id, <about>)`` are the same columns for items of the baskets and for targets; without a row they count as 0.
+    With ``coded`` the lists hold a code for the columns ``about``. A list meets the baskets that ask for it where it is made."""
     ask = queries.groupBy("order_id").agg(F.array_distinct(F.flatten(F.collect_list("context"))).alias("a")).select("order_id", F.explode("a").alias("a"))
     asked = queries.select("order_id", "target", F.unix_date("date").alias("day"), "context")
     nothing = F.array().cast("array<double>")
-    if near is None:
-        held = ask.select("*", F.lit(None).cast("binary").alias("z"))
-    else:
-        held = ask.join(near, "a", "inner" if own is None else "left")
     if own is not None:
         names = own.select(F.col("variant_id").alias("__v"), *[F.col(c).cast("double").alias(f"__{c}") for c in about])
         mine = F.array(*[F.coalesce(F.col(f"__{c}"), F.lit(0.0)) for c in about]).cast("array<double>").alias("own")
-        held = held.join(names, F.col("a") == F.col("__v"), "left").select("order_id", "a", mine, "z")
         asked = asked.join(names, F.col("target") == F.col("__v"), "left").select("order_id", "target", "day", "context", mine)
     else:
-        held, asked = held.withColumn("own", nothing), asked.withColumn("own", nothing)
+        asked = asked.withColumn("own", nothing)
+    who = ask.groupBy("a").agg(F.collect_list(F.struct("order_id")).alias("orders"))
+    who = who.withColumn("own", nothing) if own is None else who.join(names, F.col("a") == F.col("__v"), "left").select("a", "orders", mine)
+    if near is None:
+        held = who.withColumn("z", F.lit(None).cast("binary"))
+    else:
+        # only the askers are hashed: lists are neither sorted nor dealt again before they are packed
+        held = who.hint("shuffle_hash").join(near, "a", "inner" if own is None else "left").select("a", "orders", "own", F.arrow_udf(pack, "binary")("z").alias("z"))
+    held = held.select(F.inline("orders"), "a", "own", "z")
     null = lambda t: F.lit(None).cast(t)
     # the queries of a basket come after its lists
     rows = held.select("order_id", F.lit(0).alias("kind"), F.col("a").alias("item"), null("int").alias("day"), null("array<bigint>").alias("context"), "own", "z")
     rows = rows.unionAll(asked.select("order_id", F.lit(1), "target", "day", "context", "own", null("binary")))
-    return rows.repartition("order_id").sortWithinPartitions("order_id", "kind").mapInArrow(baskets(step, len(weights), len(about), pa_schema(queries, schema)), schema)
+    return rows.repartition("order_id").sortWithinPartitions("order_id", "kind").mapInArrow(baskets(step, len(weights), len(about), pa_schema(queries, schema), None if coded is None else coded.values), schema)
 
 
 def pa_schema(df: DataFrame, schema: str) -> pa.Schema:
@@ -101,9 +134,15 @@ def quantized(score: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(score * 1e12 + 0.5), 9223372036854774784.0).astype(np.int64)
 
 
-def baskets(step: Callable, n_weights: int, n_about: int, schema: pa.Schema) -> Callable:
-    """Calls ``step(order, {target: [(day, context, own), ..]}, find, held)`` for each basket, and sends the rows of its columns on."""
-    n = n_weights + n_about
+def baskets(step: Callable, n_weights: int, n_about: int, schema: pa.Schema, values: list[np.ndarray] | None = None) -> Callable:
+    """Calls ``step(order, {target: [(day, context, own), ..]}, find, held)`` for each basket, and sends the rows of its columns on.
+
+    With ``values`` the last number of a neighbour is the place of those about it."""
+    n = n_weights + (n_about if values is None else 1)
+
+    def opened(z: bytes | None) -> tuple:
+        columns = unpacked(z, n)
+        return columns if values is None else (*columns[:-1], *[v[columns[-1].astype(np.int64)] for v in values])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in schema]
@@ -138,7 +177,7 @@ def baskets(step: Callable, n_weights: int, n_about: int, schema: pa.Schema) ->
                 if kind == 1:
                     asked.setdefault(items[i], []).append((days[i], context[i], own[i]))
                 else:
-                    held[items[i]] = own[i], unpacked(near[i], n)
+                    held[items[i]] = own[i], opened(near[i])
         yield from closed()
         if size:
             yield sent()
@@ -156,7 +195,7 @@ def scored(queries: DataFrame, edges: DataFrame, weights: list[str]) -> DataFram
             yield [pa.repeat(pa.scalar(order, pa.int64()), n), pa.repeat(pa.scalar(target, pa.int64()), n), f.ids, *f.sums]
 
     schema = f"{KEY_TYPES}, variant_id bigint, " + ", ".join(f"{w} double" for w in weights)
-    return streamed(queries, lists(edges.drop("available_from"), weights), weights, [], step, schema)
+    return streamed(queries, neighbours(edges.drop("available_from"), weights), weights, [], step, schema)
 
 
 def gathered(queries: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
@@ -171,7 +210,7 @@ def gathered(queries: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
             yield [[order], [target], [f.ids[at]], [score], [score.max()], [own[0] if len(own) else None]]
 
     schema = f"{KEY_TYPES}, item_ids array<bigint>, item array<double>, top_item double, at_item double"
-    return streamed(queries, lists(edges.drop("available_from"), [weight]), [weight], [], step, schema)
+    return streamed(queries, neighbours(edges.drop("available_from"), [weight]), [weight], [], step, schema)
 
 
 def allowed(f: Found, k: int, rows: list[tuple]) -> np.ndarray:
@@ -189,7 +228,7 @@ def candidates(queries: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
         if len(at) and order is not None:
             yield [pa.repeat(pa.scalar(order, pa.int64()), len(at)), pa.repeat(pa.scalar(target, pa.int64()), len(at)), f.ids[at], quantized(f.sums[0][at])]
 
-    return streamed(queries, lists(edges, [weight]), [weight], [], step, f"{KEY_TYPES}, variant_id bigint, qs bigint")
+    return streamed(queries, neighbours(edges, [weight]), [weight], [], step, f"{KEY_TYPES}, variant_id bigint, qs bigint")
 
 
 def counts(queries: DataFrame, edges: DataFrame, weights: list[str]) -> DataFrame:
@@ -208,7 +247,7 @@ def counts(queries: DataFrame, edges: DataFrame, weights: list[str]) -> DataFram
             above, same = sum(int((qs > t).sum()) for t in own), sum(int((qs == t).sum()) for t in own)
             yield [[order], [target], [m], [len(at) * max(1, len(own))], [int(own.max()) if len(own) else None], [above], [same]]
 
-    return streamed(queries, lists(edges, weights), weights, [], step, f"{KEY_TYPES}, m int, n_scored bigint, qt bigint, above bigint, same bigint")
+    return streamed(queries, neighbours(edges, weights), weights, [], step, f"{KEY_TYPES}, m int, n_scored bigint, qt bigint, above bigint, same bigint")
 
 
 def listed(queries: DataFrame, edges: DataFrame, weight: str, k: int) -> DataFrame:
@@ -222,14 +261,14 @@ def listed(queries: DataFrame, edges: DataFrame, weight: str, k: int) -> DataFra
         if len(at):
             yield [[order], [target], [f.ids[at][np.lexsort((f.ids[at], -quantized(f.sums[0][at])))[:k]].tolist()]]
 
-    return streamed(queries, lists(edges, [weight]), [weight], [], step, f"{KEY_TYPES}, top array<bigint>")
+    return streamed(queries, neighbours(edges, [weight]), [weight], [], step, f"{KEY_TYPES}, top array<bigint>")
 
 
-def prior_counts(queries: DataFrame, edges: DataFrame | None, weights: list[str], priors: list[str], own: DataFrame, which: list[tuple[int | None, int]]) -> DataFrame:
+def prior_counts(queries: DataFrame, edges: DataFrame | None, weights: list[str], priors: list[str], own: DataFrame, which: list[tuple[int | None, int]], coded: Coded | None = None) -> DataFrame:
     """``(order_id, target, qt, above, same, n)``, arrays with a place for each model: the target's key, and what scored candidates and
     context items change in the counts over all priors. A model is a place in ``weights`` (or none) and one in ``priors``.
 
-    ``edges`` carry ``available_from`` and the priors of ``c``; ``own`` has the priors of any item."""
+    ``edges`` carry ``available_from`` and the priors of ``c``; ``own`` has the priors of any item. With ``coded`` the edges carry its code for them."""
 
     def step(order, target, rows, find, held):
         f = find([a for _, context, _ in rows for a in context])
@@ -248,12 +287,12 @@ def prior_counts(queries: DataFrame, edges: DataFrame | None, weights: list[str]
             got[3].append(len(at) - int((bare > 0).sum()) - int((kept > 0).sum()))
         yield [[order], [target], *[[x] for x in got]]
 
-    near = None if edges is None else lists(edges, weights, priors)
+    near = None if edges is None else neighbours(edges, weights, priors if coded is None else ["code"])
     arrays = ", ".join(f"{n} array<bigint>" for n in ("qt", "above", "same", "n"))
-    return streamed(queries, near, weights, priors, step, f"{KEY_TYPES}, {arrays}", own)
+    return streamed(queries, near, weights, priors, step, f"{KEY_TYPES}, {arrays}", own, coded)
 
 
-def firsts(queries: DataFrame, edges: DataFrame, weights: list[str], priors: list[str], which: list[tuple[int, int]], k: int) -> DataFrame:
+def firsts(queries: DataFrame, edges: DataFrame, weights: list[str], priors: list[str], which: list[tuple[int, int]], k: int, coded: Coded | None = None) -> DataFrame:
     """``(m, order_id, target, variant_id, score)``: the candidates that can be among the first ``k`` by score plus prior,
     rounded at 1e-10, and id. Of equal sums the lowest ``k`` ids are kept; sums that may round alike all count."""
 
@@ -273,4 +312,4 @@ def firsts(queries: DataFrame, edges: DataFrame, weights: list[str], priors: lis
             keep = at[(place < k) & (value >= value[min(k, len(at)) - 1] - 2e-10)]
             yield [np.full(len(keep), m, np.int32), np.full(len(keep), order), np.full(len(keep), target), f.ids[keep], f.sums[w][keep]]
 
-    return streamed(queries, lists(edges, weights, priors), weights, priors, step, f"m int, {KEY_TYPES}, variant_id bigint, score double")
+    return streamed(queries, neighbours(edges, weights, priors if coded is None else ["code"]), weights, priors, step, f"m int, {KEY_TYPES}, variant_id bigint, score double", coded=coded)

@@ -133,13 +133,17 @@ class Edges:
         self.scores, self.priors = list(dict.fromkeys(s for s, _ in which.values() if s != "0D")), list(dict.fromkeys(p for _, p in which.values()))
         self.names = [f"p{k}" for k in range(len(self.priors))]
         self.shares = prior.select("variant_id", *[F.expr(p).cast("double").alias(n) for n, p in zip(self.names, self.priors, strict=True)])
-        about = available.join(self.shares, "variant_id", "left").na.fill(0.0, self.names)
-        self.edges = edge_weights(fit, about, self.scores, asked) if self.scores else None
+        self.edges, self.coded = None, None
+        if self.scores:
+            about = available.join(self.shares, "variant_id", "left").na.fill(0.0, self.names)
+            # priors take few values: edges and lists carry their place
+            self.coded = nearby.coded(about, self.names)
+            self.edges = edge_weights(fit, about if self.coded is None else self.coded.rows, self.scores, asked)
         self.places = [(None if s == "0D" else self.scores.index(s), self.priors.index(p)) for s, p in which.values()]
 
     def ranks(self, queries: DataFrame) -> DataFrame:
         """The rows of ``ranks``, in which no scored candidate of a query is a row."""
-        counts = nearby.prior_counts(queries, self.edges, self.scores, self.names, self.shares, self.places)
+        counts = nearby.prior_counts(queries, self.edges, self.scores, self.names, self.shares, self.places, self.coded)
         kind = F.array(*[F.lit(p) for _, p in self.places])
         rows = queries.select(*KEYS, "date", "source", F.size("context").alias("context_size")).join(counts, KEYS).withColumn("kinds", kind)
         rows = rows.select(*KEYS, "date", "source", "context_size", F.posexplode(F.arrays_zip("kinds", "qt", "above", "same", "n")).alias("m", "z"))
@@ -149,7 +153,7 @@ class Edges:
     def firsts(self, queries: DataFrame, k: int = 10) -> dict[str, DataFrame | None]:
         """``(order_id, target, variant_id, score)`` of each model: what ``serve.recommend`` needs of its scores; None without a score."""
         own = [(m, p) for m, p in enumerate(self.places) if p[0] is not None]
-        rows = written(nearby.firsts(queries, self.edges, self.scores, self.names, [p for _, p in own], k), "firsts")
+        rows = written(nearby.firsts(queries, self.edges, self.scores, self.names, [p for _, p in own], k, self.coded), "firsts")
         at = {m: n for n, (m, _) in enumerate(own)}
         return {name: rows.where(F.col("m") == at[m]).drop("m") if m in at else None for m, name in enumerate(self.which)}
 

@@ -83,3 +83,30 @@ def test_edges_of_asked_items_and_packed_lists(spark):
     ids, start, sim = nearby.unpacked(bytes(row.z), 1)
     assert dict(zip(ids.tolist(), start.tolist(), strict=True)) == {1: nearby.NEVER, 2: 20454} and sim.round(6).tolist() == [0.57735, 0.816497]
     assert [len(x) for x in nearby.unpacked(None, 2)] == [0, 0, 0, 0]
+
+
+def test_lists_are_packed_before_they_are_dealt_and_priors_are_coded(spark):
+    """Lists of 300 neighbours, asked for by one basket: they are shuffled once, as bytes, to that basket; their priors, doubles of
+    12 values, are codes."""
+    fit = spark.createDataFrame([(1, list(range(300))), (2, [5, 6])], "order_id long, items array<long>")
+    available = spark.createDataFrame([(v, date(2026, 1, 1)) for v in range(310)], "variant_id long, available_from date")
+    prior = spark.createDataFrame([(v, (v % 12) / 7) for v in range(300)], "variant_id long, u double")
+    queries = models.loo_queries(spark.createDataFrame([(9, date(2026, 3, 1), "pos", [1, 2, 3])], "order_id long, date date, source string, items array<long>"))
+    name, n = "copurchase(min_support=1)+pop", 9
+    own = sweep.Edges(fit, prior, available, {name: sweep.edge_models()[name]})
+    assert [len(v) for v in own.coded.values] == [12] and "code" in own.edges.columns and "p0" not in own.edges.columns
+    with_codes = sorted(map(tuple, own.ranks(queries).collect()))
+    before, nearby.SENT = nearby.SENT, n  # more values than are sent
+    try:
+        plain = sweep.Edges(fit, prior, available, {name: sweep.edge_models()[name]})
+    finally:
+        nearby.SENT = before
+    assert plain.coded is None and sorted(map(tuple, plain.ranks(queries).collect())) == with_codes and len(with_codes) == 3
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = nearby.counts(queries, models.itemitem(fit, about=available), ["sim"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    pack = plan.split("ArrowEvalPython")[0]
+    assert pack.count("Exchange") == 1 and "ShuffledHashJoin" in plan
