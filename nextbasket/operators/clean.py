@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coarse_source, gid_number, hash_customer, order_day, strip
@@ -57,6 +58,18 @@ def clean_orders(orders: DataFrame, emails: list[str]) -> DataFrame:
     return orders.drop("line_items").join(items, "id")
 
 
+HEAD = ["id", "created_at", "test", "cancelled_at", "source_name", "email", "customer_id"]
+
+
+def kept_orders(lines: DataFrame, emails: list[str]) -> DataFrame:
+    """``(id, created_at)`` of the orders of ``clean_orders``, from raw lines that carry the fields of their order.
+
+    Lines are only looked at one by one: none are nested, merged or sorted."""
+    rows = line_reason(order_reason(lines, emails).withColumnRenamed("reason", "why"))
+    heads = rows.groupBy(*HEAD).agg(F.max(F.col("why").isNull() & F.col("reason").isNull()).alias("ok"))
+    return heads.withColumn("ok", F.max("ok").over(W.partitionBy("id"))).where("ok").select("id", "created_at")
+
+
 ORDER_RULES = ["dropped_test_order", "dropped_cancelled_order", "dropped_excluded_email_order"]
 LINE_RULES = ["dropped_line_no_variant", "dropped_line_blocklisted_title", "dropped_line_fully_refunded"]
 
