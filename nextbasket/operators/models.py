@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import item_tokens
+from ..sources.scratch import written
 
 
 def availability(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def attr_counts(rows: DataFrame, toks: DataFrame) -> DataFrame:
     Each partition adds its baskets to one Gram matrix of tokens, less the pairs within an item, and sends its sums:
     a basket's pairs are never rows. Tokens are numbers in the tasks, by their 64-bit hashes."""
     lists = toks.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.xxhash64("token"))).alias("own"))
-    known = lists.select("variant_id", F.xxhash64("own").alias("v"), "own")
+    # read four times
+    known = written(lists.select("variant_id", F.xxhash64("own").alias("v"), "own"), "token-lists")
     vectors = known.groupBy("v").agg(F.first("own").alias("own"))
     if known.count() <= KNOWN and vectors.count() <= KNOWN // 8:
         variants, kinds = known.select("variant_id", "v").where("variant_id is not null").toArrow(), vectors.toArrow()  # numbers of KNOWN variants at most
